@@ -1,0 +1 @@
+"""No streaming operators: every operator in scope is a one-shot batch computation."""
