@@ -9,83 +9,64 @@ from tillwise.functions.numeric import is_numeric
 from tillwise.functions.text import strip
 
 _TIME = r"([T ]([01]\d|2[0-3])(:[0-5]\d(:[0-5]\d(\.\d+)?)?)?\s*(Z|[+-]\d{2}:?\d{2})?)?"
-_ISO = r"^(\d{4}-\d{2}-\d{2})" + _TIME + "$"
-_ISO_START = r"^\d{4}-\d{2}-\d{2}(?:$|[T ])"
-_SLASH = r"^(\d{1,2})/(\d{1,2})/(\d{4})$"
-_DASHED = r"^(\d{1,2})[-.](\d{1,2})[-.](\d{4})$"
-_YEAR_FIRST = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$"
-_COMPACT = r"^(\d{4})(\d{2})(\d{2})$"
-_YEAR_MONTH = r"^(\d{4})-(\d{2})$"
-_DAY_NAME = r"^(\d{1,2})[- ]([A-Za-z]{3})[a-z]*[-, ]+(\d{4})$"
-_NAME_DAY = r"^([A-Za-z]{3})[a-z]* (\d{1,2}),? (\d{4})$"
-_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
-
-
-def _build(year: Column, month: Column, day: Column) -> Column:
-    return F.concat(year, F.lit("-"), month, F.lit("-"), day).try_cast("date")
-
-
-def _month_number(name: Column) -> Column:
-    position = F.instr(F.lit(_MONTHS), F.lower(name))
-    valid = (position > 0) & (position % 3 == 1)
-    return F.when(valid, ((position + 2) / 3).cast("int").cast("string"))
+_ISO = r"^\s*(\d{4}-\d{2}-\d{2})" + _TIME + r"\s*$"
+_SLASH = r"^\s*(\d{1,2})/(\d{1,2})/(\d{4})\s*$"
+_MONTH, _LATE_DAY = r"(0?[1-9]|1[0-2])", r"(1[3-9]|2\d|3[01])"
+_NOT_PLAIN = r"^(?!\d{4}-\d{2}-\d{2}$)"
+
+# Text forms and the order of their parts. A rewritten text starts with "=" (all digits)
+# or "@" (month name), which no later form matches. Where day and month can be told apart
+# only by size, the second form of a pair catches the days above twelve.
+_COMMON_FORMS = (
+    (r"^(\d{4})(\d{2})(\d{2})$", "=$1-$2-$3"),
+    (r"^(\d{4})-(\d{2})$", "=$1-$2-01"),
+    (r"^(\d{1,2})[- ]([A-Za-z]{3})[a-z]*[-, ]+(\d{4})$", "@$3-$2-$1"),
+    (r"^([A-Za-z]{3})[a-z]* (\d{1,2}),? (\d{4})$", "@$3-$1-$2"),
+)
+_DAY_FIRST_FORMS = (
+    (r"^(\d{1,2})[-.]" + _MONTH + r"[-.](\d{4})$", "=$3-$2-$1"),
+    (r"^" + _MONTH + "[-.]" + _LATE_DAY + r"[-.](\d{4})$", "=$3-$1-$2"),
+    (_NOT_PLAIN + r"(\d{4})[-/.](\d{1,2})[-/.]" + _MONTH + "$", "=$1-$3-$2"),
+    (_NOT_PLAIN + r"(\d{4})[-/.]" + _MONTH + "[-/.]" + _LATE_DAY + "$", "=$1-$2-$3"),
+)
+_MONTH_FIRST_FORMS = (
+    (r"^" + _MONTH + r"[-.](\d{1,2})[-.](\d{4})$", "=$3-$1-$2"),
+    (r"^" + _LATE_DAY + "[-.]" + _MONTH + r"[-.](\d{4})$", "=$3-$2-$1"),
+    (_NOT_PLAIN + r"(\d{4})[-/.]" + _MONTH + r"[-/.](\d{1,2})$", "=$1-$2-$3"),
+    (_NOT_PLAIN + r"(\d{4})[-/.]" + _LATE_DAY + "[-/.]" + _MONTH + "$", "=$1-$3-$2"),
+)
 
 
 def parse_text_date(value: Column, month_first: bool = False, serials: bool = False) -> Column:
     """Calendar date of the listed text forms; any other text is null.
 
-    ``serials`` also reads whole or fractional numbers as spreadsheet day counts. It is
-    off by default because digits in a text cell are not a date.
+    ISO and slash dates are read directly, the rarer forms by rewriting. ``serials`` also
+    reads whole or fractional numbers as spreadsheet day counts. It is off by default
+    because digits in a text cell are not a date.
     """
-    text = strip(value)
-
-    def part(pattern: str, group: int) -> Column:
-        return F.regexp_extract(text, pattern, group)
-
-    def two_way(pattern: str) -> Column:
-        first, second, year = part(pattern, 1), part(pattern, 2), part(pattern, 3)
-        day_first, reverse = _build(year, second, first), _build(year, first, second)
-        return F.coalesce(reverse, day_first) if month_first else F.coalesce(day_first, reverse)
-
-    slash_first, slash_second = (1, 2) if month_first else (2, 1)
-    year, middle, last = part(_YEAR_FIRST, 1), part(_YEAR_FIRST, 2), part(_YEAR_FIRST, 3)
-    year_first = (
-        F.coalesce(_build(year, middle, last), _build(year, last, middle))
-        if month_first
-        else F.coalesce(_build(year, last, middle), _build(year, middle, last))
-    )
+    iso = F.regexp_extract(value, _ISO, 1).try_cast("date")
+    slash = F.regexp_replace(value, _SLASH, "$3-$1-$2" if month_first else "$3-$2-$1")
     parsed = (
-        F.when(text.rlike(_ISO), part(_ISO, 1).try_cast("date"))
-        .when(text.rlike(_ISO_START), F.lit(None).cast("date"))
-        .when(
-            text.rlike(_SLASH),
-            _build(part(_SLASH, 3), part(_SLASH, slash_first), part(_SLASH, slash_second)),
-        )
-        .when(text.rlike(_DASHED), two_way(_DASHED))
-        .when(text.rlike(_YEAR_FIRST), year_first)
-        .when(
-            text.rlike(_COMPACT),
-            _build(part(_COMPACT, 1), part(_COMPACT, 2), part(_COMPACT, 3)),
-        )
-        .when(
-            text.rlike(_YEAR_MONTH),
-            _build(part(_YEAR_MONTH, 1), part(_YEAR_MONTH, 2), F.lit("01")),
-        )
-        .when(
-            text.rlike(_DAY_NAME),
-            _build(part(_DAY_NAME, 3), _month_number(part(_DAY_NAME, 2)), part(_DAY_NAME, 1)),
-        )
-        .when(
-            text.rlike(_NAME_DAY),
-            _build(part(_NAME_DAY, 3), _month_number(part(_NAME_DAY, 1)), part(_NAME_DAY, 2)),
-        )
+        F.when(value.rlike(_ISO), iso)
+        .when(value.rlike(_SLASH), slash.try_cast("date"))
+        .otherwise(_rewritten(strip(value), month_first))
     )
     if serials:
+        text = strip(value)
         number = F.when(text.rlike(r"^\d+(\.\d+)?$"), text.try_cast("double"))
         parsed = F.coalesce(parse_serial(number), parsed)
     return parsed
 
 
+def _rewritten(text: Column, month_first: bool) -> Column:
+    ordered = text
+    for pattern, parts in _COMMON_FORMS + (_MONTH_FIRST_FORMS if month_first else _DAY_FIRST_FORMS):
+        ordered = F.regexp_replace(ordered, pattern, parts)
+    digits = F.when(ordered.startswith("="), F.substring(ordered, 2, 10).try_cast("date"))
+    named = F.try_to_timestamp(F.substring(ordered, 2, 11), F.lit("yyyy-MMM-d")).cast("date")
+    return F.when(text.rlike("[A-Za-z]{3}"), F.when(ordered.startswith("@"), named)).otherwise(digits)
+
+
 def parse_serial(value: Column) -> Column:
     """Spreadsheet day count (day 0 is 1899-12-30) as a date."""
     return F.date_add(F.lit("1899-12-30").cast("date"), F.floor(value).try_cast("int"))

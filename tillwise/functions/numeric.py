@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tillwise.functions.text import is_blank, strip
+from tillwise.functions.text import strip
 
 # Widths leave room for price x quantity x discount without losing a digit:
 # decimal(26,6) * decimal(9,6) = decimal(36,12), and a sum of those is decimal(38,12).
@@ -18,47 +18,58 @@ WHOLE = "decimal(18,0)"
 MONEY_OUT = "decimal(28,2)"
 PERCENT_OUT = "decimal(18,2)"
 
-_PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-_NOT_A_NUMBER = r"(?i)^[+-]?nan\d*$"
-
-
-def canonical_number(value: Column) -> Column:
-    """Number text with one decimal point, percent sign kept at the end."""
-    text = F.translate(strip(value), " \u00a0", "")
-    percent = F.when(text.endswith("%"), F.lit("%")).otherwise(F.lit(""))
-    text = F.translate(F.regexp_replace(text, "%$", ""), "$€£¥", "")
-    comma_last = F.locate(",", F.reverse(text)) < F.locate(".", F.reverse(text))
-    text = (
-        F.when(
-            text.contains(",") & text.contains("."),
-            F.when(comma_last, F.translate(text, ",.", ".")).otherwise(F.translate(text, ",", "")),
-        )
-        .otherwise(F.translate(text, ",", "."))
-    )
-    return F.concat(text, percent)
+_PLAIN_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+_NUMBER_CELL = r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)%?$"
+_NOT_A_NUMBER = r"(?i)^\s*[+-]?nan\d*\s*$"
+_PERCENT = r"%[\s\x{a0}]*$"
+_NOISE = r"[ \x{a0}$€£¥]|^\s+|\s+$"
+# A separator counts as thousands when the last separator is the other one.
+_THOUSANDS = r"\.(?=.*,[^.,]*$)|,(?=.*\.[^.,]*$)"
+_WIDE = "decimal(38,10)"
+
+
+def _localised(value: Column) -> Column:
+    """Number text with one decimal point, empty when the cell is not a number.
+
+    Each step rewrites the text once, so the expression stays a short chain.
+    """
+    text = F.regexp_replace(value, _NOISE, "")
+    text = F.translate(F.regexp_replace(text, _THOUSANDS, ""), ",", ".")
+    return F.regexp_extract(text, _NUMBER_CELL, 1)
+
+
+def scaled_number(value: Column) -> Column:
+    """Localised number text at full scale; a percent sign divides by one hundred.
+
+    Text that is already a plain number skips the rewriting.
+    """
+    divisor = F.when(value.rlike(_PERCENT), 100).otherwise(1)
+    other = _localised(value).try_cast(_WIDE) / divisor
+    return F.when(value.rlike(_PLAIN_NUMBER), strip(value).try_cast(_WIDE)).otherwise(other)
 
 
 def parse_number(value: Column, data_type: str) -> Column:
     """Localised number text as a decimal; a percent sign divides by one hundred."""
-    text = canonical_number(value)
-    body = F.regexp_replace(text, "%$", "")
-    wide = F.when(body.rlike(_PLAIN_NUMBER), body.try_cast("decimal(38,10)"))
-    scaled = F.when(text.endswith("%"), wide / F.lit(100)).otherwise(wide)
-    return scaled.try_cast(data_type)
+    return scaled_number(value).try_cast(data_type)
+
+
+def reads_as_number(value: Column) -> Column:
+    """Whether text is a number without any rewriting."""
+    return value.rlike(_PLAIN_NUMBER)
 
 
 def is_nan_text(value: Column) -> Column:
     """Text that reads as a missing number rather than as a wrong one."""
-    return F.coalesce(canonical_number(value).rlike(_NOT_A_NUMBER), F.lit(False))
+    return F.coalesce(value.rlike(_NOT_A_NUMBER), F.lit(False))
+
+
+def whole_number(number: Column) -> Column:
+    return F.when(number == F.floor(number), number.try_cast("bigint"))
 
 
 def parse_integer(value: Column) -> Column:
     """Localised number text as a whole number, else null."""
-    text = canonical_number(value)
-    body = F.regexp_replace(text, "%$", "")
-    number = F.when(body.rlike(_PLAIN_NUMBER), body.try_cast("double"))
-    number = F.when(text.endswith("%"), number / 100).otherwise(number)
-    return F.when(number == F.floor(number), number.try_cast("bigint"))
+    return whole_number(scaled_number(value))
 
 
 def is_numeric(data_type: str) -> bool:
@@ -75,10 +86,8 @@ def strict_number(value: Column, data_type: str, whole: bool = False) -> Column:
             finite = ~F.isnan(value) & (F.abs(value) != F.lit(float("inf")))
             number = F.when(finite, value)
     else:
-        text = strip(value.cast("string"))
-        number = F.when(
-            ~is_blank(value) & text.rlike(_PLAIN_NUMBER), text.try_cast("double")
-        )
+        text = value.cast("string")
+        number = F.when(text.rlike(_PLAIN_NUMBER), strip(text).try_cast("double"))
     return F.when(number == F.floor(number), number) if whole else number
 
 
@@ -91,19 +100,23 @@ def round_money(value: Column) -> Column:
     return F.coalesce(F.round(value, 2), F.lit(0)).cast(MONEY_OUT)
 
 
+def _nonzero(value: Column, data_type: str) -> Column:
+    return F.when(value != 0, value.cast(data_type))
+
+
 def percentage(numerator: Column, denominator: Column) -> Column:
     """Share of one hundred to two places; zero when there is no denominator."""
-    bottom = F.nullif(denominator.cast(RATIO), F.lit(0).cast(RATIO))
+    bottom = _nonzero(denominator, RATIO)
     ratio = numerator.cast(RATIO) / bottom
     return F.coalesce(F.round(ratio * 100, 2), F.lit(0)).cast(PERCENT_OUT)
 
 
 def count_percentage(numerator: Column, denominator: Column) -> Column:
-    bottom = F.nullif(denominator.cast(WHOLE), F.lit(0).cast(WHOLE))
+    bottom = _nonzero(denominator, WHOLE)
     ratio = numerator.cast(WHOLE) / bottom
     return F.coalesce(F.round(ratio * 100, 2), F.lit(0)).cast(PERCENT_OUT)
 
 
 def money_per(total: Column, count: Column) -> Column:
-    bottom = F.nullif(count.cast(WHOLE), F.lit(0).cast(WHOLE))
+    bottom = _nonzero(count, WHOLE)
     return F.coalesce(F.round(total.cast(RATIO) / bottom, 2), F.lit(0)).cast(MONEY_OUT)

@@ -50,27 +50,33 @@ FAILURE_SECRET_PATTERN = (
     r"(?i)\b(api[_ -]?token|authorization|bearer|password|secret)\b(\s*[:=]?\s*)([^\s,;]+)"
 )
 
-# White space as Unicode defines it; the default regex class covers ASCII only.
+# White space as Unicode defines it; the regex class \s covers ASCII only.
+_SPACES = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0        "
+    "        　"
+)
 _SPACE = (
     r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
-_EDGE_SPACE = f"^{_SPACE}+|{_SPACE}+$"
-_INNER_SPACE = f"{_SPACE}+"
+_UNEVEN = f"{_SPACE}{{2,}}|(?! ){_SPACE}"
 
 
 def strip(value: Column) -> Column:
     """Remove all leading and trailing white space, not only blanks."""
-    return F.regexp_replace(value, _EDGE_SPACE, "")
+    return F.btrim(value, F.lit(_SPACES))
 
 
 def clean_text(value: Column) -> Column:
     """Trimmed text; blank text becomes null."""
-    return F.nullif(strip(value), F.lit(""))
+    text = strip(value)
+    return F.when(text != "", text)
 
 
 def squeeze(value: Column) -> Column:
     """Trimmed text with each inner run of white space reduced to one blank."""
-    return F.regexp_replace(clean_text(value), _INNER_SPACE, " ")
+    text = strip(value)
+    even = F.regexp_replace(text, f"{_SPACE}+", " ")
+    return F.when(text.rlike(_UNEVEN), even).otherwise(F.when(text != "", text))
 
 
 def title_case(value: Column) -> Column:
@@ -108,7 +114,7 @@ def sales_channel(value: Column) -> Column:
 
 def is_blank(value: Column) -> Column:
     """Null or white space only."""
-    return value.isNull() | (strip(value.cast("string")) == "")
+    return F.coalesce(strip(value.cast("string")) == "", F.lit(True))
 
 
 def plain(value: Column, data_type: str) -> Column:
@@ -129,7 +135,7 @@ def redact_message(value: Column) -> Column:
 def redact_failure(value: Column) -> Column:
     """Remove inline credentials from a stored failure text; empty text becomes null."""
     text = F.regexp_replace(value, FAILURE_SECRET_PATTERN, "$1$2[redacted]")
-    return F.nullif(text, F.lit(""))
+    return F.when(value != "", text)
 
 
 def private_field(field: Column) -> Column:

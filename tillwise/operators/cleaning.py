@@ -16,9 +16,11 @@ from tillwise.functions.numeric import (
     MONEY,
     is_nan_text,
     is_numeric,
-    parse_integer,
     parse_number,
+    reads_as_number,
+    scaled_number,
     strict_number,
+    whole_number,
 )
 from tillwise.operators.duplicates import KEEP_FIRST, flag_duplicates
 from tillwise.operators.issues import (
@@ -133,9 +135,10 @@ def _convert(
         return parse_month(value, data_type, options.month_first)
     target = schema_of(kind).field(name).data_type
     if is_numeric(data_type):
-        number = strict_number(value, data_type, whole=converter == "integer")
-        return number.try_cast(target)
-    return parse_integer(value) if converter == "integer" else parse_number(value, target)
+        number = strict_number(value, data_type)
+        return number if converter == "integer" else number.try_cast(target)
+    # Whole numbers are told apart in the next projection, which then reads a column.
+    return scaled_number(value) if converter == "integer" else parse_number(value, target)
 
 
 def _changed(converter: str, raw: Column, data_type: str, cleaned: Column) -> Column:
@@ -143,9 +146,10 @@ def _changed(converter: str, raw: Column, data_type: str, cleaned: Column) -> Co
 
     A number counts as unaltered when its source text already reads as that number.
     """
-    if converter in ("integer", "number"):
-        before = strict_number(raw, data_type).cast("double")
-        same = before.eqNullSafe(cleaned.cast("double")) & (raw.isNull() == cleaned.isNull())
+    if converter in ("integer", "number") and not is_numeric(data_type):
+        same = F.coalesce(reads_as_number(raw), F.lit(True)) & (raw.isNull() | cleaned.isNotNull())
+    elif converter in ("integer", "number"):
+        same = raw.cast("double").eqNullSafe(cleaned.cast("double"))
     elif converter == "date" and data_type == "string":
         same = raw.isNull()
     else:
@@ -179,10 +183,12 @@ def clean_dataset(
     converters = {c: _converter_of(schema.kind, c) for c in columns}
     converts_currency = schema.kind in (ORDERS, RETURNS) and "currency" in columns
 
+    raw_code = F.col("currency").cast("string") if converts_currency else F.lit(None)
     prepared = frame.select(
         *[c for c in frame.columns if c in TRACE_COLUMNS],
         (F.col("_issues") if "_issues" in frame.columns else no_issues()).alias("_issues"),
         F.struct(*[F.col(f"`{c}`").alias(c) for c in columns]).alias("_source"),
+        F.coalesce(text.currency_code(raw_code), F.lit(options.currency)).alias("_code"),
         *[
             (
                 _convert(converters[c], c, schema.kind, types[c], options)
@@ -192,6 +198,8 @@ def clean_dataset(
             for c in columns
         ],
     )
+    whole = {c: whole_number(F.col(c)) for c in columns if converters[c] == "integer"}
+    prepared = prepared.withColumns({**whole, "_rate": options.rate_of(F.col("_code"))})
 
     found: list[Column] = []
     changes = {
@@ -208,9 +216,10 @@ def clean_dataset(
 
     if converts_currency:
         raw = F.col("_source")["currency"].cast("string")
-        code = F.coalesce(text.currency_code(raw), F.lit(options.currency))
-        supported = options.rate_of(code).isNotNull()
-        message = F.concat(F.lit("Currency '"), code, F.lit("' has no configured exchange rate."))
+        supported, home = F.col("_rate").isNotNull(), F.lit(options.currency)
+        message = F.concat(
+            F.lit("Currency '"), F.col("_code"), F.lit("' has no configured exchange rate.")
+        )
         found.append(
             F.when(
                 ~supported,
@@ -223,12 +232,11 @@ def clean_dataset(
                 ),
             )
         )
-        home = F.lit(options.currency)
-        outputs["currency"] = F.when(supported, home).otherwise(code)
+        outputs["currency"] = F.when(supported, home).otherwise(F.col("_code"))
         changes["currency"] = F.when(supported & ~raw.eqNullSafe(home), 1).otherwise(0)
         if schema.amount in columns:
             amount = F.col(schema.amount)
-            moved = (amount * options.rate_of(code)).try_cast(MONEY)
+            moved = (amount * F.col("_rate")).try_cast(MONEY)
             outputs[schema.amount] = F.when(supported, moved).otherwise(amount)
             changes[schema.amount] = changes[schema.amount] + F.when(
                 supported & (moved != amount), 1
@@ -246,6 +254,9 @@ def clean_dataset(
         "_step", F.when(F.lit(structural) | blocks(F.col("_issues")), F.lit(CLEANING))
     )
     keys = list(schema.key)
+    if stage is not None:
+        # The duplicate check reads the table twice; conversions should run once.
+        annotated = stage.write(annotated, f"cleaned-{schema.kind}")
     if structural or not set(keys) <= set(columns):
         return annotated
     return flag_duplicates(

@@ -45,7 +45,7 @@ def difference(current: Column, previous: Column) -> Column:
 
 def percentage_difference(current: Column, previous: Column) -> Column:
     """Change in percent of the previous size; undefined growth from zero is null."""
-    base = F.nullif(F.abs(previous), F.lit(0).cast(_VALUE))
+    base = F.when(previous != 0, F.abs(previous))
     change = F.round((current - previous).cast(_VALUE) / base * 100, 2)
     grown = F.when(current == 0, F.lit(0)).cast(PERCENT_OUT)
     return F.when(previous == 0, grown).otherwise(change.cast(PERCENT_OUT))
@@ -187,7 +187,7 @@ def target_achievement(targets: DataFrame, lines: DataFrame) -> DataFrame:
     """Targets with the month's actual revenue and its ratio to the target."""
     actual = F.coalesce(F.col("actual_revenue"), F.lit(0).cast("decimal(38,12)"))
     joined = targets.join(monthly_revenue(lines), "month", "left")
-    goal = F.nullif(F.col("revenue_target").cast("decimal(28,8)"), F.lit(0))
+    goal = F.when(F.col("revenue_target") != 0, F.col("revenue_target").cast("decimal(28,8)"))
     return joined.withColumn("actual_revenue", actual).withColumn(
         "target_achievement", F.round(F.col("actual_revenue").cast("decimal(28,8)") / goal, 6)
     )

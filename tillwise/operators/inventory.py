@@ -210,6 +210,7 @@ def inventory_metrics(
 
     available, units = F.col("available_stock"), F.col("units_sold")
     days, whole_units = F.lit(period.days), units.cast(WHOLE)
+    some_units = F.when(units != 0, whole_units)
     day_count = days.cast("decimal(9,0)")
     # Coverage is available / (units / days); comparing products instead of quotients keeps
     # the status exact at the thresholds.
@@ -230,7 +231,7 @@ def inventory_metrics(
     reorder = F.greatest(
         F.greatest(F.col("reorder_level"), target_units.cast("bigint")) - available, F.lit(0)
     ).cast("bigint")
-    rate = F.round(F.col("returned_quantity").cast(WHOLE) / F.nullif(whole_units, F.lit(0)) * 100, 2)
+    rate = F.round(F.col("returned_quantity").cast(WHOLE) / some_units * 100, 2)
     return joined.select(
         "product_id",
         "warehouse",
@@ -240,7 +241,7 @@ def inventory_metrics(
         "available_stock",
         "reorder_level",
         F.round(whole_units / day_count, 4).cast("decimal(18,4)").alias("average_daily_sales"),
-        F.when(units > 0, F.round(supply / F.nullif(whole_units, F.lit(0)), 2))
+        F.when(units > 0, F.round(supply / some_units, 2))
         .cast(PERCENT_OUT)
         .alias("stock_coverage_days"),
         (available <= F.col("reorder_level")).alias("reorder_alert"),

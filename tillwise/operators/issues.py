@@ -49,7 +49,7 @@ def issue(
         value.cast("string").alias("original_value"),
         F.lit(action).alias("recommended_action"),
         F.lit(can_continue).alias("row_can_continue"),
-    ).cast(ISSUE_TYPE)
+    )
 
 
 def no_issues() -> Column:

@@ -87,7 +87,8 @@ def quality_score(health: DataFrame) -> DataFrame:
     """Score per dataset: clean rows count one, warning-only rows a half."""
     earned = F.col("valid_rows") + F.lit(0.5) * F.col("warning_rows")
     empty = F.when(F.col("has_dataset_issues"), 0.0).otherwise(100.0)
-    share = F.bround(100.0 * earned / F.nullif(F.col("total_rows"), F.lit(0)), 2)
+    rows = F.when(F.col("total_rows") != 0, F.col("total_rows"))
+    share = F.bround(100.0 * earned / rows, 2)
     return health.withColumn(
         "quality_score", F.coalesce(share, empty).cast("double")
     )
@@ -96,7 +97,7 @@ def quality_score(health: DataFrame) -> DataFrame:
 def combined_quality(scores: DataFrame) -> DataFrame:
     """Score over all datasets: their rounded scores weighted by rows."""
     weighted = F.sum(F.col("quality_score") * F.col("total_rows"))
-    total = F.nullif(F.sum("total_rows"), F.lit(0))
+    total = F.sum(F.when(F.col("total_rows") != 0, F.col("total_rows")))
     return scores.agg(
         F.sum("total_rows").alias("total_rows"),
         F.sum("valid_rows").alias("valid_rows"),

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+_WORTH_SPREADING, _SPLIT = 8 << 20, 128 << 20
 _TRACE = (
     "'{file}' as source_file, cast({row} + 2 as bigint) as source_row_number, "
     "'pending' as processing_status, cast(null as string) as exclusion_reason"
@@ -245,7 +246,18 @@ class Sample:
     def table(self, name: str) -> DataFrame:
         """A sample table with its row position as ``rn``."""
         frame = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        return frame.select("*", F.col("_metadata.row_index").alias("rn"))
+        return self._spread(frame.select("*", F.col("_metadata.row_index").alias("rn")))
+
+    def _spread(self, frame: DataFrame) -> DataFrame:
+        """Share out a table that is too small for Spark to split it among all cores.
+
+        A large table has a split per block already and is left alone.
+        """
+        cores = self.spark.sparkContext.defaultParallelism
+        size = frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        if _WORTH_SPREADING < int(str(size)) < cores * _SPLIT:
+            return frame.repartition(cores)
+        return frame
 
     def _select(self, text: str) -> DataFrame:
         used = {name: self.table(name) for name in TABLES if f"{{{name}}}" in text}
