@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def oracle_queries() -> dict[str, str]:
-    from oracles import typed
+    from oracles import raw, typed
 
-    return dict(typed.QUERIES)
+    return {**typed.QUERIES, **raw.QUERIES}

@@ -617,7 +617,7 @@ _TYPED_ISSUE = """select '{severity}' as severity, '{kind}' as source_dataset,
   '{code}' as issue_code, {value} as original_value, {free} as row_can_continue
   from {source} where {test}"""
 define(
-    "returns_checked",
+    "returns_with_sales",
     """select r.*, o.sold_on, o.sold_units from returns_clean r left join (select order_id,
     product_id, sum(quantity) as sold_units, arg_min(order_date, source_row_number) as sold_on
     from orders_clean group by all) o using (order_id, product_id)""",
@@ -645,11 +645,11 @@ add(
                    "reserved_quantity > stock_quantity", "cast(reserved_quantity as varchar)",
                    "inventory_clean"),
             _typed("returns", "unknown_product_id", "product_id", _NOT_LISTED, "product_id",
-                   "returns_checked"),
+                   "returns_with_sales"),
             _typed("returns", "return_date_before_order_date", "return_date",
-                   "return_date < sold_on", "cast(return_date as varchar)", "returns_checked"),
+                   "return_date < sold_on", "cast(return_date as varchar)", "returns_with_sales"),
             _typed("returns", "returned_quantity_exceeds_sold", "quantity",
-                   "quantity > sold_units", "cast(quantity as varchar)", "returns_checked"),
+                   "quantity > sold_units", "cast(quantity as varchar)", "returns_with_sales"),
         ]
     ),
 )
