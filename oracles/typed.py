@@ -527,7 +527,7 @@ define(
         + [_finding(rule, True) for rule in _PER_PRODUCT]
     ),
 )
-add("recommendations_table", "select * exclude (warehouse) from findings")
+add("recommendations", "select * exclude (warehouse) from findings")
 add(
     "filter_recommendations",
     """select severity, product_id, rule_identifier from findings

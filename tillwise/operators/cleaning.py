@@ -170,11 +170,13 @@ def clean_dataset(
     options: CleaningOptions | None = None,
     structural: bool = False,
     stage: Stage | None = None,
+    count_changes: bool = True,
 ) -> DataFrame:
     """Return the annotated table: typed values, issues, source values, blocking step.
 
     ``frame`` holds canonical columns and trace columns, and may already carry ``_issues``
-    from an earlier check. ``structural`` blocks every row.
+    from an earlier check. ``structural`` blocks every row. ``count_changes`` adds the
+    per-column change marks that ``cleaning_stats`` sums.
     """
     options = options or CleaningOptions()
     schema = schema_of(kind)
@@ -248,8 +250,11 @@ def clean_dataset(
         *[c for c in prepared.columns if c in TRACE_COLUMNS],
         issues.alias("_issues"),
         F.struct(*[F.col("_source")[c].cast("string").alias(c) for c in columns]).alias("_raw"),
-        (F.struct(*[v.alias(c) for c, v in changes.items()]) if changes else F.struct(F.lit(0)))
-        .alias("_changes"),
+        *(
+            [F.struct(*[v.alias(c) for c, v in changes.items()]).alias("_changes")]
+            if count_changes and changes
+            else []
+        ),
     ).withColumn(
         "_step", F.when(F.lit(structural) | blocks(F.col("_issues")), F.lit(CLEANING))
     )
@@ -287,7 +292,8 @@ def cleaning_stats(annotated: DataFrame, kind: str) -> DataFrame:
 
     ``subject`` is a column name for ``changed_values`` per column and null for totals.
     """
-    names = annotated.schema["_changes"].dataType.fieldNames()
+    marked = "_changes" in annotated.columns
+    names = annotated.schema["_changes"].dataType.fieldNames() if marked else []
     codes = ("invalid_numeric_value", "invalid_date", "invalid_month", "unsupported_currency")
     invalid = F.size(F.filter("_issues", lambda item: item["issue_code"].isin(*codes)))
     duplicate = F.exists("_issues", lambda item: item["issue_code"] == "duplicate_row")

@@ -101,7 +101,7 @@ class Run:
 
     def cleaned(self, kind: str, strategy: str = "keep_first") -> DataFrame:
         options = cleaning.CleaningOptions("USD", RATES, strategy)
-        return cleaning.clean_dataset(self.mapped(kind), kind, options)
+        return cleaning.clean_dataset(self.mapped(kind), kind, options, stage=Stage(self.spark))
 
     @cached_property
     def result(self) -> processing.ProcessingResult:
@@ -131,8 +131,9 @@ def run_of(spark: SparkSession, folder: str) -> Run:
 
 
 def query(build: Callable[[Run], DataFrame]) -> Callable[[Run], DataFrame]:
-    """Register a query under the name of its function."""
-    QUERIES[build.__name__] = lambda spark, folder: build(run_of(spark, folder))
+    """Register a query under the name of its function, less a final underscore."""
+    name = build.__name__.removesuffix("_")
+    QUERIES[name] = lambda spark, folder: build(run_of(spark, folder))
     return build
 
 
@@ -568,7 +569,7 @@ def _flat(found: DataFrame) -> DataFrame:
 
 
 @query
-def recommendations_table(run: Run) -> DataFrame:
+def recommendations_(run: Run) -> DataFrame:
     return _flat(run.recommendations)
 
 

@@ -9,13 +9,16 @@ read the columns they need from files.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.operators.cleaning import CleaningOptions, clean_dataset, default_currency
 from tillwise.operators.issues import (
+    CLEANING,
     ISSUE_SCHEMA,
     dataset_issues,
     excluded_rows,
@@ -175,19 +178,33 @@ def _join_products(annotated: DataFrame, products: DataFrame, null_matches: bool
     )
 
 
-def _merged(annotated: DataFrame, extra: list) -> DataFrame:
-    """Kept rows with further carried columns."""
-    base = [c for c in annotated.columns if not c.startswith("_")]
+def _merged(annotated: DataFrame, extra: Mapping[str, str]) -> DataFrame:
+    """Kept rows with further carried columns, given as new name and carried column.
+
+    A name that both sides use is told apart by the suffixes ``_x`` and ``_y``.
+    """
+    base = [name for name in annotated.columns if not name.startswith("_")]
+    shared = set(base) & set(extra)
     status = {
         "processing_status": F.lit("processed"),
         "exclusion_reason": F.lit(None).cast("string"),
     }
-    return _active(annotated).select(*base, *extra).withColumns(status)
+    return (
+        _active(annotated)
+        .withColumns(status)
+        .select(
+            *[F.col(f"`{name}`").alias(f"{name}_x" if name in shared else name) for name in base],
+            *[
+                F.col(f"`{carried}`").alias(f"{name}_y" if name in shared else name)
+                for name, carried in extra.items()
+            ],
+        )
+    )
 
 
 def _clean(mapped: MappedDataset, options: CleaningOptions, stage: Stage) -> DataFrame:
     return clean_dataset(
-        mapped.frame, mapped.kind, options, bool(mapped.findings), stage
+        mapped.frame, mapped.kind, options, bool(mapped.findings), stage, count_changes=False
     )
 
 
@@ -226,23 +243,39 @@ def process_datasets(
     annotated: dict[str, DataFrame] = {}
 
     def finish(kind: str, frame: DataFrame) -> None:
-        annotated[kind] = stage.write(check_rules(frame, kind, codes), kind)
-
-    finish(PRODUCTS, _clean(mapped[PRODUCTS], cleaning, stage))
+        checked = check_rules(frame, kind, codes)
+        # Source values are shown only for rows that cleaning blocked.
+        needed = F.when(F.col("_step") == CLEANING, F.col("_raw"))
+        annotated[kind] = stage.write(checked.withColumn("_raw", needed), kind)
+
+    # The datasets are cleaned independently of each other, so their jobs may overlap; the
+    # checks follow the order of the references between them.
+    with ThreadPoolExecutor(len(mapped)) as pool:
+        jobs = {
+            kind: pool.submit(inheritable_thread_target(spark)(_clean), entry, cleaning, stage)
+            for kind, entry in mapped.items()
+        }
+        cleaned = {kind: job.result() for kind, job in jobs.items()}
+    finish(PRODUCTS, cleaned[PRODUCTS])
     products = annotated[PRODUCTS]
+    finish(ORDERS, _join_products(cleaned[ORDERS], products, null_matches=True))
 
-    orders = _clean(mapped[ORDERS], cleaning, stage)
-    finish(ORDERS, _join_products(orders, products, null_matches=True))
+    def finish_inventory() -> None:
+        finish(INVENTORY, _join_products(cleaned[INVENTORY], products, null_matches=False))
 
-    stock = _clean(mapped[INVENTORY], cleaning, stage)
-    finish(INVENTORY, _join_products(stock, products, null_matches=False))
+    def finish_returns() -> None:
+        back = _join_products(cleaned[RETURNS], products, null_matches=False)
+        finish(RETURNS, _join_orders(back, annotated[ORDERS]))
 
-    back = _join_products(_clean(mapped[RETURNS], cleaning, stage), products, null_matches=False)
-    finish(RETURNS, _join_orders(back, annotated[ORDERS]))
+    def finish_targets() -> None:
+        if TARGETS in cleaned:
+            finish(TARGETS, cleaned[TARGETS])
 
-    if TARGETS in mapped:
-        finish(TARGETS, _clean(mapped[TARGETS], cleaning, stage))
-    return _collect_result(mapped, annotated, currency, stage)
+    with ThreadPoolExecutor(3) as pool:
+        steps = (finish_inventory, finish_returns, finish_targets)
+        for job in [pool.submit(inheritable_thread_target(spark)(step)) for step in steps]:
+            job.result()
+    return _collect_result(mapped, {k: annotated[k] for k in mapped}, currency, stage)
 
 
 def _join_orders(returns: DataFrame, orders: DataFrame) -> DataFrame:
@@ -280,20 +313,17 @@ def _collect_result(
     products = annotated[PRODUCTS]
     product_names = _merge_columns(products)
 
-    def carried(prefix: str) -> list:
-        return [F.col(f"_product_{name}").alias(f"{prefix}{name}") for name in product_names]
+    def carried(prefix: str) -> dict[str, str]:
+        return {f"{prefix}{name}": f"_product_{name}" for name in product_names}
 
     targets = kept_rows(annotated[TARGETS]) if TARGETS in annotated else None
     orders = _merged(annotated[ORDERS], carried(""))
-    returns = _merged(
-        annotated[RETURNS],
-        [
-            F.col("_sold_on").alias("original_order_date"),
-            F.col("_sold_units").alias("sold_quantity"),
-            F.col("_sold_price").alias("original_unit_price"),
-            *carried("product_"),
-        ],
-    )
+    sold = {
+        "original_order_date": "_sold_on",
+        "sold_quantity": "_sold_units",
+        "original_unit_price": "_sold_price",
+    }
+    returns = _merged(annotated[RETURNS], {**sold, **carried("product_")})
     structural = [structural_issues(entry) for entry in mapped.values() if entry.findings]
     issues = [issue_rows(frame, kind) for kind, frame in annotated.items()]
     excluded = [

@@ -8,8 +8,7 @@ the row positions of the Parquet file (``rn``).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import cached_property
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -236,15 +235,28 @@ from (
 }
 
 
-@dataclass(frozen=True)
 class Sample:
-    """Datasets of one sample folder, built lazily."""
+    """Datasets of one sample folder.
 
-    spark: SparkSession
-    folder: str
+    Only plans are kept between calls (a table's schema is read from its files once); no
+    rows are cached.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark = spark
+        self.folder = folder
+        self._plans: dict[str, DataFrame] = {}
+
+    def _once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        if name not in self._plans:
+            self._plans[name] = build()
+        return self._plans[name]
 
     def table(self, name: str) -> DataFrame:
         """A sample table with its row position as ``rn``."""
+        return self._once(name, lambda: self._read(name))
+
+    def _read(self, name: str) -> DataFrame:
         frame = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return self._spread(frame.select("*", F.col("_metadata.row_index").alias("rn")))
 
@@ -264,11 +276,11 @@ class Sample:
         return self.spark.sql(text, **used)
 
     def clean(self, kind: str) -> DataFrame:
-        return self._select(CLEAN[kind])
+        return self._once(f"clean {kind}", lambda: self._select(CLEAN[kind]))
 
     def raw(self, kind: str) -> DataFrame:
-        return self._select(RAW[kind])
+        return self._once(f"raw {kind}", lambda: self._select(RAW[kind]))
 
-    @cached_property
+    @property
     def events(self) -> DataFrame:
         return self.table("events")
