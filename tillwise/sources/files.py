@@ -59,7 +59,7 @@ def detect_encoding(sample: bytes) -> str:
         # A multi-byte character may be cut at the end of the sample.
         sample[: len(sample) - 3].decode("utf-8") if len(sample) > 3 else sample.decode("utf-8")
     except UnicodeDecodeError:
-        return "windows-1252"
+        return "cp1252"
     return "UTF-8"
 
 
@@ -76,27 +76,56 @@ def detect_delimiter(sample: str) -> str:
     return best if steady.get(best) else ","
 
 
+def _read_cp1252(frame: DataFrame) -> DataFrame:
+    """Turn Latin-1 text into Windows-1252, which differs in the range 0x80 to 0x9f.
+
+    Spark decodes a fixed list of character sets, and this one is not on it.
+    """
+    codes = [bytes([code]) for code in range(0x80, 0xA0)]
+    pairs = [(c.decode("latin-1"), c.decode("cp1252", "ignore")) for c in codes]
+    known = [(old, new) for old, new in pairs if new]
+    old, new = ("".join(part) for part in zip(*known, strict=True))
+    table = str.maketrans(old, new)
+    return frame.select(
+        *[
+            F.translate(F.col(f"`{name}`"), old, new).alias(name.translate(table))
+            for name in frame.columns
+        ]
+    )
+
+
 def read_csv_source(
-    spark: SparkSession, path: str, encoding: str | None = None, delimiter: str | None = None
+    spark: SparkSession,
+    path: str,
+    encoding: str | None = None,
+    delimiter: str | None = None,
+    multi_line: bool = False,
 ) -> Source:
-    """Read CSV with every column as text; a malformed row fails the job."""
+    """Read CSV with every column as text; a malformed row fails the job.
+
+    ``multi_line`` allows line breaks inside quotes, at the price of one task per file.
+    UTF-16 needs it as well, because its line ends are not single bytes.
+    """
     sample = _head(spark, path)
     if not sample.strip():
         raise SourceError(f"The source '{path}' is empty.")
     chosen_encoding = encoding or detect_encoding(sample)
     mark = delimiter or detect_delimiter(sample.decode(chosen_encoding, errors="replace"))
+    windows = chosen_encoding.lower() in ("cp1252", "windows-1252")
+    wide = chosen_encoding.lower().startswith(("utf-16", "utf-32"))
     frame = (
         spark.read.option("header", True)
         .option("sep", mark)
-        .option("encoding", chosen_encoding)
+        .option("encoding", "ISO-8859-1" if windows else chosen_encoding)
         .option("mode", "FAILFAST")
         .option("escape", '"')
+        .option("multiLine", multi_line or wide)
         .option("enforceSchema", False)
         .csv(path)
     )
     if not frame.columns:
         raise SourceError(f"The source '{path}' has no columns.")
-    return Source(frame, "csv", mark, chosen_encoding)
+    return Source(_read_cp1252(frame) if windows else frame, "csv", mark, chosen_encoding)
 
 
 def load_source(
