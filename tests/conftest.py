@@ -17,7 +17,7 @@ from tillwise.staging import Stage, configure  # noqa: E402
 def spark(tmp_path_factory) -> SparkSession:
     builder = configure(SparkSession.builder.master("local[*]").appName("tests"))
     session = (
-        builder.config("spark.sql.shuffle.partitions", "8")
+        builder.config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")

@@ -91,6 +91,9 @@ def test_pages_become_rows(spark, tmp_path):
     rows = pages.read_api_pages(spark, path, "returns")
     assert rows.columns == COLUMNS
     assert sorted(r["return_id"] for r in rows.collect()) == [f"return_id-{i}" for i in (1, 2, 3)]
+    numbered = pages.read_api_pages(spark, path, "returns", trace=True)
+    places = {r["return_id"]: r["source_row_number"] for r in numbered.collect()}
+    assert places == {f"return_id-{i}": i + 1 for i in (1, 2, 3)}
 
 
 @pytest.mark.parametrize(

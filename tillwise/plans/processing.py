@@ -36,7 +36,7 @@ from tillwise.operators.quality import (
     row_health,
 )
 from tillwise.operators.rules import check_rules
-from tillwise.sources.files import Source, number_rows, source_profile
+from tillwise.sources.files import Source, source_profile, traced
 from tillwise.sources.mapping import HeadingMap, apply_mapping, map_columns, mapping_report
 from tillwise.sources.schemas import (
     INVENTORY,
@@ -368,7 +368,7 @@ def process_sources(
     loaded = {dataset_kind(name): source for name, source in sources.items()}
     spark = next(iter(loaded.values())).frame.sparkSession
     stage = stage or Stage(spark)
-    tables = {kind: number_rows(source.frame, stage) for kind, source in loaded.items()}
+    tables = {kind: traced(source, stage) for kind, source in loaded.items()}
     profiles = union_all([source_profile(source, kind) for kind, source in loaded.items()])
     return process_datasets(tables, options, stage=stage), profiles
 

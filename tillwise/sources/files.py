@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tillwise.errors import ConfigError, RetailDataError, SourceError
 from tillwise.sources.pages import read_api_pages
-from tillwise.sources.schemas import KINDS, TARGETS, dataset_kind
+from tillwise.sources.schemas import KINDS, TARGETS, TRACE_COLUMNS, dataset_kind
 from tillwise.staging import Stage
 
 DELIMITERS = (",", ";", "\t", "|")
@@ -160,7 +160,8 @@ def load_sources(
     if missing:
         raise ConfigError(f"No source is given for: {', '.join(missing)}")
     loaded = {
-        kind: Source(read_api_pages(spark, path, kind), "api") for kind, path in pages.items()
+        kind: Source(read_api_pages(spark, path, kind, trace=True), "api")
+        for kind, path in pages.items()
     }
     loaded.update({kind: load_source(spark, path) for kind, path in files.items()})
     return loaded
@@ -222,16 +223,29 @@ def number_rows(frame: DataFrame, stage: Stage, source_file: str | None = None)
     )
 
 
+def traced(source: Source, stage: Stage) -> DataFrame:
+    """The table of a source with its trace columns, however it was read."""
+    if "source_row_number" in source.frame.columns:
+        return source.frame
+    if source.file_type == "parquet":
+        return with_trace(source.frame)
+    return number_rows(source.frame, stage)
+
+
 def source_profile(source: Source, dataset: str) -> DataFrame:
-    """One row per file: dataset, name, type, bytes, row and column counts, read options."""
-    frame = source.frame
-    if not frame.columns:
+    """One row per file: dataset, name, type, bytes, row and column counts, read options.
+
+    Landed pages are one logical file, whose size is not known here.
+    """
+    columns = [name for name in source.frame.columns if name not in TRACE_COLUMNS]
+    if not columns:
         raise RetailDataError("A source profile needs at least one column.")
+    if "source_file" in source.frame.columns:
+        name, size = F.col("source_file"), F.lit(None).cast("bigint")
+    else:
+        name, size = F.col("_metadata.file_name"), F.col("_metadata.file_size")
     return (
-        frame.select(
-            F.col("_metadata.file_name").alias("filename"),
-            F.col("_metadata.file_size").alias("file_size"),
-        )
+        source.frame.select(name.alias("filename"), size.alias("file_size"))
         .groupBy("filename")
         .agg(F.max("file_size").alias("file_size"), F.count("*").alias("row_count"))
         .select(
@@ -240,8 +254,8 @@ def source_profile(source: Source, dataset: str) -> DataFrame:
             F.lit(source.file_type).alias("file_type"),
             "file_size",
             "row_count",
-            F.lit(len(frame.columns)).alias("column_count"),
-            F.lit(", ".join(frame.columns)).alias("columns"),
+            F.lit(len(columns)).alias("column_count"),
+            F.lit(", ".join(columns)).alias("columns"),
             F.lit(source.delimiter).cast("string").alias("detected_delimiter"),
             F.lit(source.encoding).cast("string").alias("detected_encoding"),
         )

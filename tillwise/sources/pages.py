@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillwise.errors import SourceError
@@ -14,6 +14,9 @@ PAGE_SCHEMA = (
 )
 
 
+_PAGES_PER_BLOCK = 10_000
+
+
 def page_problems(pages: DataFrame) -> list[str]:
     """Name every way in which the envelopes contradict themselves or each other."""
     count = F.size("items")
@@ -62,8 +65,39 @@ def page_problems(pages: DataFrame) -> list[str]:
     return found
 
 
-def read_api_pages(spark: SparkSession, path: str, dataset: str) -> DataFrame:
-    """Check the landed pages of one dataset, then return their items as text columns."""
+def _offsets(pages: DataFrame) -> DataFrame:
+    """Rows before each page.
+
+    Pages are summed in blocks first, so that neither window holds more than one row per
+    block or the pages of one block.
+    """
+    block = F.floor(F.col("page") / _PAGES_PER_BLOCK)
+    counted = pages.select("page", block.alias("block"), F.size("items").alias("rows"))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (
+        counted.groupBy("block")
+        .agg(F.sum("rows").alias("block_rows"))
+        .select("block", F.coalesce(F.sum("block_rows").over(before), F.lit(0)).alias("start"))
+    )
+    within = (
+        Window.partitionBy("block").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    inside = F.coalesce(F.sum("rows").over(within), F.lit(0))
+    return (
+        counted.withColumn("inside", inside)
+        .join(blocks, "block")
+        .select("page", (F.col("start") + F.col("inside")).alias("before"))
+    )
+
+
+def read_api_pages(
+    spark: SparkSession, path: str, dataset: str, trace: bool = False
+) -> DataFrame:
+    """Check the landed pages of one dataset, then return their items as text columns.
+
+    ``trace`` adds the trace columns, with rows numbered in page order.
+    """
+    kind = schema_of(dataset).kind
     pages = spark.read.schema(PAGE_SCHEMA).option("mode", "FAILFAST").json(path)
     first = pages.select("columns").first()
     if first is None or not first["columns"]:
@@ -75,5 +109,14 @@ def read_api_pages(spark: SparkSession, path: str, dataset: str) -> DataFrame:
     found = page_problems(pages)
     if found:
         raise SourceError(f"The pages of '{dataset}' are inconsistent: {', '.join(found)}")
-    item = F.explode("items").alias("item")
-    return pages.select(item).select(*[F.col("item")[name].alias(name) for name in names])
+    values = [F.col("item")[name].alias(name) for name in names]
+    if not trace:
+        return pages.select(F.explode("items").alias("item")).select(*values)
+    items = pages.select("page", F.posexplode("items").alias("place", "item"))
+    return items.join(_offsets(pages), "page").select(
+        *values,
+        F.lit(f"api_{kind}.json").alias("source_file"),
+        (F.col("before") + F.col("place") + 2).cast("bigint").alias("source_row_number"),
+        F.lit("pending").alias("processing_status"),
+        F.lit(None).cast("string").alias("exclusion_reason"),
+    )

@@ -8,6 +8,7 @@ side only when that side is known to be small.
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
@@ -54,8 +55,10 @@ class Stage:
         self.spark = spark
         base = (root or checkpoint_root(spark)).rstrip("/")
         self.path = f"{base}/stage-{uuid.uuid4().hex}"
+        self._number = itertools.count(1)
 
     def write(self, frame: DataFrame, name: str) -> DataFrame:
-        target = f"{self.path}/{name}"
+        """Write a table under a fresh name that starts with ``name`` and read it back."""
+        target = f"{self.path}/{name}-{next(self._number)}"
         frame.write.mode("errorifexists").parquet(target)
         return self.spark.read.schema(frame.schema).parquet(target)
