@@ -58,7 +58,8 @@ _SPACES = (
 _SPACE = (
     r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
-_UNEVEN = f"{_SPACE}{{2,}}|(?! ){_SPACE}"
+# Printable ASCII words with single blanks between them need no rewriting.
+_TIDY = r"^[!-~]+(?: [!-~]+)*$"
 
 
 def strip(value: Column) -> Column:
@@ -74,9 +75,8 @@ def clean_text(value: Column) -> Column:
 
 def squeeze(value: Column) -> Column:
     """Trimmed text with each inner run of white space reduced to one blank."""
-    text = strip(value)
-    even = F.regexp_replace(text, f"{_SPACE}+", " ")
-    return F.when(text.rlike(_UNEVEN), even).otherwise(F.when(text != "", text))
+    text = F.regexp_replace(strip(value), f"{_SPACE}+", " ")
+    return F.when(value.rlike(_TIDY), value).otherwise(F.when(text != "", text))
 
 
 def title_case(value: Column) -> Column:

@@ -101,9 +101,16 @@ def flag_duplicates(
 
 
 def drop_duplicates(
-    frame: DataFrame, keys: list[str], strategy: str = KEEP_FIRST, latest_by: str | None = None
+    frame: DataFrame,
+    keys: list[str],
+    strategy: str = KEEP_FIRST,
+    latest_by: str | None = None,
+    stage: Stage | None = None,
 ) -> DataFrame:
-    """Rows that survive the duplicate strategy, without issue bookkeeping."""
+    """Rows that survive the duplicate strategy, without issue bookkeeping.
+
+    Strategies other than the first read the table twice; a stage makes that cheap.
+    """
     strategy = strategy_name(strategy)
     if strategy == KEEP_FIRST:
         # Spark trims each task's rows to one per key before the shuffle.
@@ -111,7 +118,11 @@ def drop_duplicates(
         return (
             frame.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1").drop("_rank")
         )
+    if stage is not None:
+        frame = stage.write(frame, "duplicates-input")
     repeats = repeated_keys(frame, keys, strategy, latest_by)
+    if stage is not None:
+        repeats = stage.write(repeats, "repeated-keys")
     return _join_keys(frame, repeats, keys).filter(~_loses()).drop("_copies", "_winner")
 
 
