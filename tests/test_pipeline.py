@@ -127,6 +127,16 @@ def test_shared_column_names_are_told_apart(small):
     assert (row["category_x"], row["category_y"]) == ("own", "Office")
 
 
+def test_odd_headings_pass_through(small):
+    tables = dict(small)
+    tables["orders"] = tables["orders"].withColumn("Note.to `us`", F.lit("n"))
+    tables["products"] = tables["products"].withColumn("size (cm.)", F.lit("s"))
+    result = process_datasets(tables)
+    row = result.orders.first()
+    assert (row["Note.to `us`"], row["size (cm.)"]) == ("n", "s")
+    assert result.excluded_rows.filter("source_dataset = 'orders'").count() == 4
+
+
 def test_sample_pipeline_invariants(spark):
     sample = Sample(spark, FOLDER)
     result = process_datasets(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tillwise.operators.issues import issue_rows
 from tillwise.operators.rules import validate_all, validate_dataset
+from tillwise.plans.validation import validate_tables
 
 
 def codes(annotated, kind):
@@ -123,3 +124,17 @@ def test_targets(table):
 def test_valid_tables_have_no_issues(table):
     tables = {"orders": valid_orders(table), "products": valid_products(table)}
     assert all(codes(frame, kind) == [] for kind, frame in validate_all(tables).items())
+
+
+def test_missing_columns_block_a_table(table):
+    report = validate_tables(
+        {"orders": table("order_id string", ("O-1",)), "products": valid_products(table)},
+        filenames={"orders": "orders.csv"},
+    )
+    found = report.issues.collect()
+    assert {r["field"] for r in found} == {"order_date", "product_id", "quantity", "unit_price"}
+    assert all(r["row_number"] is None and r["source_filename"] == "orders.csv" for r in found)
+    scores = {r["dataset"]: r["quality_score"] for r in report.scores.collect()}
+    assert scores == {"orders": 0.0, "products": 100.0}
+    assert report.combined.first()["quality_score"] == 50.0
+    assert not report.can_continue()

@@ -26,6 +26,7 @@ from tillwise.operators.duplicates import KEEP_FIRST, flag_duplicates
 from tillwise.operators.issues import (
     CLEANING,
     blocks,
+    col,
     issue,
     no_issues,
     raised,
@@ -126,7 +127,7 @@ def _converter_of(kind: str, name: str) -> str | None:
 def _convert(
     converter: str, name: str, kind: str, data_type: str, options: CleaningOptions
 ) -> Column:
-    value = F.col(f"`{name}`")
+    value = col(name)
     if converter in _TEXT_CONVERTERS:
         return _TEXT_CONVERTERS[converter](value.cast("string"))
     if converter == "date":
@@ -189,13 +190,13 @@ def clean_dataset(
     prepared = frame.select(
         *[c for c in frame.columns if c in TRACE_COLUMNS],
         (F.col("_issues") if "_issues" in frame.columns else no_issues()).alias("_issues"),
-        F.struct(*[F.col(f"`{c}`").alias(c) for c in columns]).alias("_source"),
+        F.struct(*[col(c).alias(c) for c in columns]).alias("_source"),
         F.coalesce(text.currency_code(raw_code), F.lit(options.currency)).alias("_code"),
         *[
             (
                 _convert(converters[c], c, schema.kind, types[c], options)
                 if converters[c]
-                else F.col(f"`{c}`")
+                else col(c)
             ).alias(c)
             for c in columns
         ],
@@ -205,16 +206,16 @@ def clean_dataset(
 
     found: list[Column] = []
     changes = {
-        c: _changed(converters[c], F.col("_source")[c], types[c], F.col(f"`{c}`"))
+        c: _changed(converters[c], F.col("_source")[c], types[c], col(c))
         for c in columns
         if converters[c]
     }
     for converter in _CHECKED:
         for c in (name for name in columns if converters[name] == converter):
             raw = F.col("_source")[c]
-            rejected = _rejected(converter, raw, types[c], F.col(f"`{c}`"))
+            rejected = _rejected(converter, raw, types[c], col(c))
             found.append(F.when(rejected, _conversion_issue(converter, c, raw)))
-    outputs = {c: F.col(f"`{c}`") for c in columns}
+    outputs = {c: col(c) for c in columns}
 
     if converts_currency:
         raw = F.col("_source")["currency"].cast("string")

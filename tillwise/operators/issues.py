@@ -32,6 +32,12 @@ ISSUE_SCHEMA = (
 _NO_ISSUES = f"cast(array() as array<{ISSUE_TYPE}>)"
 
 
+def col(name: str) -> Column:
+    """A column by its exact name, whatever characters a source heading contains."""
+    escaped = name.replace("`", "``")
+    return F.col(f"`{escaped}`")
+
+
 def issue(
     code: str,
     field: str | None,
@@ -86,7 +92,7 @@ def kept_rows(annotated: DataFrame) -> DataFrame:
     """Rows without a blocking issue, marked as processed."""
     return (
         annotated.filter(is_active())
-        .select(*data_columns(annotated))
+        .select(*[col(name) for name in data_columns(annotated)])
         .withColumns(
             {
                 "processing_status": F.lit("processed"),
@@ -113,7 +119,7 @@ def excluded_rows(
     raw = set(annotated.schema["_raw"].dataType.fieldNames())
 
     def value(name: str) -> Column:
-        cleaned = F.col(f"`{name}`").cast("string")
+        cleaned = col(name).cast("string")
         if name not in raw:
             return cleaned.alias(name)
         source = F.col("_raw")[name]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.errors import RetailDataError
-from tillwise.operators.issues import same_key
+from tillwise.operators.issues import col, same_key
 from tillwise.sources.schemas import TRACE_COLUMNS
 
 
@@ -48,7 +48,7 @@ def dimension(frame: DataFrame, keys: list[str], prefix: str = "") -> DataFrame:
     """Columns of a lookup table, without trace columns, prefixed unless they are keys."""
     return frame.select(
         *[
-            F.col(name).alias(name if name in keys else f"{prefix}{name}")
+            col(name).alias(name if name in keys else f"{prefix}{name}")
             for name in frame.columns
             if name not in TRACE_COLUMNS and not name.startswith("_")
         ]

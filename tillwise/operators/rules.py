@@ -22,6 +22,7 @@ from tillwise.operators.issues import (
     VALIDATION,
     WARNING,
     blocks,
+    col,
     issue,
     no_issues,
     raised,
@@ -178,7 +179,7 @@ RULES = (
         shows=lambda c: F.to_json(
             F.struct(
                 *[
-                    F.col(name)
+                    col(name)
                     for name in c.types
                     if not name.startswith("_") and name not in TRACE_COLUMNS
                 ]
@@ -409,7 +410,7 @@ def validate_dataset(
     columns = [name for name in frame.columns if name not in TRACE_COLUMNS]
     marked = frame
     if kind == ORDERS and columns:
-        marked = with_repeat_flag(marked, [F.col(name) for name in columns], "_repeated_row")
+        marked = with_repeat_flag(marked, [col(name) for name in columns], "_repeated_row")
     if kind == PRODUCTS and "product_id" in columns:
         marked = with_repeat_flag(marked, [F.col("product_id")], "_repeated_key")
     if kind == TARGETS and "month" in columns:

@@ -20,6 +20,7 @@ from tillwise.operators.cleaning import CleaningOptions, clean_dataset, default_
 from tillwise.operators.issues import (
     CLEANING,
     ISSUE_SCHEMA,
+    col,
     dataset_issues,
     excluded_rows,
     issue_rows,
@@ -166,7 +167,7 @@ def _join_products(annotated: DataFrame, products: DataFrame, null_matches: bool
     lookup = _active(products).select(
         F.col("product_id").alias("_pid"),
         F.lit(True).alias("_known_product"),
-        *[F.col(name).alias(f"_product_{name}") for name in _merge_columns(products)],
+        *[col(name).alias(f"_product_{name}") for name in _merge_columns(products)],
     )
     match = annotated["product_id"] == lookup["_pid"]
     if null_matches:
@@ -193,9 +194,9 @@ def _merged(annotated: DataFrame, extra: Mapping[str, str]) -> DataFrame:
         _active(annotated)
         .withColumns(status)
         .select(
-            *[F.col(f"`{name}`").alias(f"{name}_x" if name in shared else name) for name in base],
+            *[col(name).alias(f"{name}_x" if name in shared else name) for name in base],
             *[
-                F.col(f"`{carried}`").alias(f"{name}_y" if name in shared else name)
+                col(carried).alias(f"{name}_y" if name in shared else name)
                 for name, carried in extra.items()
             ],
         )

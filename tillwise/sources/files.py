@@ -129,16 +129,23 @@ def read_csv_source(
 
 
 def load_source(
-    spark: SparkSession, path: str, encoding: str | None = None, delimiter: str | None = None
+    spark: SparkSession,
+    path: str,
+    encoding: str | None = None,
+    delimiter: str | None = None,
+    schema: str | None = None,
 ) -> Source:
-    """Choose a reader by the extension of the file or folder name."""
+    """Choose a reader by the extension of the file or folder name.
+
+    JSON is read once more to find its columns unless ``schema`` names them.
+    """
     extension = path.rstrip("/").rpartition(".")[2].lower()
     if extension == "csv":
         return read_csv_source(spark, path, encoding, delimiter)
     if extension in ("parquet", "orc"):
         return Source(spark.read.format(extension).load(path), extension)
     if extension in ("json", "jsonl"):
-        return Source(spark.read.json(path, primitivesAsString=True), "json")
+        return Source(spark.read.json(path, schema=schema, primitivesAsString=True), "json")
     raise SourceError(f"The file type '.{extension}' is not supported.")
 
 

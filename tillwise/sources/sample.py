@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
-_WORTH_SPREADING, _SPLIT = 8 << 20, 128 << 20
+_WORTH_SPREADING, _SPLIT = 256 << 10, 128 << 20
 _TRACE = (
     "'{file}' as source_file, cast({row} + 2 as bigint) as source_row_number, "
     "'pending' as processing_status, cast(null as string) as exclusion_reason"
