@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from oracles.base import define, kpis, lines, performance, with_ctes
-from oracles.typed import cutoff, metrics, velocity
+from oracles.typed import cutoff, findings, metrics, velocity
 
 QUERIES: dict[str, str] = {}
 
@@ -717,6 +717,42 @@ add(
     "dashboard_inventory_risk",
     "select inventory_status, count(*) as products from metrics_board group by 1",
 )
+_BEFORE = "{day} between date '1997-01-01' and date '1997-12-31'"
+define("lines_board_before", lines("orders_kept", "returns_kept", _BEFORE))
+
+
+def _ordinal(source: str) -> str:
+    return f"""select row_number() over (order by date) as period_day, net_revenue from
+    ({performance(source, {"date": "order_date"})}) d"""
+
+
+add(
+    "dashboard_comparison",
+    f"""select cast(period_day as int) as period_day, a.net_revenue as current_period,
+    b.net_revenue as previous_period from ({_ordinal("lines_board")}) a full join
+    ({_ordinal("lines_board_before")}) b using (period_day)""",
+)
+define("findings_board", findings("metrics_board"))
+add(
+    "dashboard_recommendations",
+    """select rule_identifier, severity, count(*) as recommendations from findings_board
+    group by 1, 2""",
+)
+add(
+    "dashboard",
+    """select 'out_of_stock_and_critical' as section, count(*) as rows from metrics_board
+      where inventory_status in ('Out of Stock', 'Critical')
+    union all select 'below_reorder_level', count(*) from metrics_board where reorder_alert
+    union all select 'dead_stock', count(*) from metrics_board
+      where days_since_last_sale >= 30 and available_stock > 0
+    union all select 'overstock', count(*) from metrics_board
+      where inventory_status = 'Overstock'
+    union all select 'no_sales', count(*) from metrics_board where units_sold = 0
+    union all select 'recommendations', count(*) from findings_board
+    union all select 'revenue_over_time', count(distinct order_date) from lines_board
+    union all select 'sales_by_country', count(distinct country) from lines_board
+    union all select 'sales_by_channel', count(distinct sales_channel) from lines_board""",
+)
 _COUNTRIES = performance("lines_march", {"country": "country"})
 _SUMMED = ("gross_revenue", "discount_amount", "refund_amount", "net_revenue",
            "cost_of_goods_sold", "gross_profit")

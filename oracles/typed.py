@@ -512,21 +512,22 @@ _PER_PRODUCT = (
 )
 
 
-def _finding(rule: tuple[str, ...], once: bool) -> str:
+def _finding(rule: tuple[str, ...], once: bool, source: str) -> str:
     test, kind, severity, name, words, found, action = rule
     first = "qualify row_number() over (partition by product_id order by warehouse) = 1"
     return f"""select '{kind}' as recommendation_type, {severity} as severity, product_id,
   {words} as explanation, {found} as supporting_metrics, {action} as recommended_action,
-  {name} as rule_identifier, warehouse from metrics where {test} {first if once else ''}"""
+  {name} as rule_identifier, warehouse from {source} where {test} {first if once else ''}"""
 
 
-define(
-    "findings",
-    " union all ".join(
-        [_finding(rule, False) for rule in _PER_ROW]
-        + [_finding(rule, True) for rule in _PER_PRODUCT]
-    ),
-)
+def findings(source: str) -> str:
+    return " union all ".join(
+        [_finding(rule, False, source) for rule in _PER_ROW]
+        + [_finding(rule, True, source) for rule in _PER_PRODUCT]
+    )
+
+
+define("findings", findings("metrics"))
 add("recommendations", "select * exclude (warehouse) from findings")
 add(
     "filter_recommendations",

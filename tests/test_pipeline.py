@@ -14,6 +14,7 @@ from tillwise.operators import quality
 from tillwise.operators.filters import DashboardFilters, filter_options
 from tillwise.operators.issues import ISSUE_SCHEMA
 from tillwise.plans.dashboard import dashboard
+from tillwise.plans.generation import ReportOptions, generate_report
 from tillwise.plans.processing import PipelineOptions, process_datasets, process_sources
 from tillwise.plans.reporting import (
     quality_report_sections,
@@ -323,3 +324,36 @@ def test_run_numbers_over_busy_seconds(spark):
     ids = {r["n"]: r["run_id"] for r in assign_run_ids(frame, tie=["n"]).collect()}
     assert ids[0] == "RUN-20250101-001" and ids[1499] == "RUN-20250101-1500"
     assert len(set(ids.values())) == 1500
+
+
+def test_report_generation_is_recorded(spark, table, tmp_path):
+    tables = {
+        "orders": table(
+            "order_id string, order_date string, product_id string, quantity string, unit_price string",
+            ("O-1", "2025-01-01", "P-1", "2", "10"),
+        ),
+        "products": table(
+            "product_id string, product_name string, purchase_cost string, recommended_price string",
+            ("P-1", "Desk", "12", "10"),
+        ),
+        "inventory": table("product_id string, warehouse string, stock_quantity string", ("P-1", "W", "3")),
+        "returns": table(
+            "return_id string, order_id string, product_id string, return_date string, "
+            "quantity string, refund_amount string",
+            ("R-1", "O-1", "P-1", "2025-01-03", "1", "4"),
+        ),
+    }
+    result = process_datasets(tables)
+    log = RunLog(spark, str(tmp_path / "runs"))
+    folder = str(tmp_path / "report")
+    run_id = generate_report(result, folder, log, ReportOptions("2025-01"))
+    row = log.runs().first()
+    assert (row["run_id"], row["status"], row["warning_count"]) == (run_id, "Completed with Warnings", 1)
+    assert row["report_size"] > 0 and row["report_filename"] == "report"
+    with pytest.raises(ReportError):
+        generate_report(result, folder, log, ReportOptions("2025-01"))
+    states = {r["run_id"]: r["status"] for r in log.runs().collect()}
+    assert sorted(states.values()) == ["Completed with Warnings", "Failed"]
+    with pytest.raises(GateError):
+        generate_report(result, folder, log, ReportOptions("2025-01", strict=True))
+    assert log.runs().count() == 2

@@ -660,6 +660,40 @@ def dashboard_inventory_risk(run: Run) -> DataFrame:
     return run.board.charts["inventory_risk"]
 
 
+@query
+def dashboard_comparison(run: Run) -> DataFrame:
+    return run.board.charts["current_vs_previous"]
+
+
+@query
+def dashboard_recommendations(run: Run) -> DataFrame:
+    return run.board.recommendations.groupBy("rule_identifier", "severity").agg(
+        F.count("*").alias("recommendations")
+    )
+
+
+@query
+def dashboard_(run: Run) -> DataFrame:
+    """Row counts of the dashboard's tables and charts."""
+    board = run.board
+    sections = {
+        name: board.tables[name]
+        for name in (
+            "out_of_stock_and_critical", "below_reorder_level", "dead_stock", "overstock",
+            "no_sales",
+        )
+    }
+    sections["recommendations"] = board.recommendations
+    for name in ("revenue_over_time", "sales_by_country", "sales_by_channel"):
+        sections[name] = board.charts[name]
+    return issues.union_all(
+        [
+            table.agg(F.count("*").alias("rows")).select(F.lit(name).alias("section"), "rows")
+            for name, table in sections.items()
+        ]
+    )
+
+
 # Cleaning -------------------------------------------------------------------------------
 
 

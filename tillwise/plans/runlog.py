@@ -277,7 +277,15 @@ class RunLog:
         )
 
     def mark_failed(
-        self, run_id: str, failure: str, completed_at: datetime, duration_seconds: float
+        self,
+        run_id: str,
+        failure: str,
+        completed_at: datetime,
+        duration_seconds: float,
+        processed: int = 0,
+        excluded: int = 0,
+        warnings: int = 0,
+        errors: int = 0,
     ) -> None:
         self._change(
             run_id,
@@ -286,6 +294,10 @@ class RunLog:
                 "failure_summary": F.lit(failure[:500]),
                 "completed_at": F.lit(completed_at),
                 "duration_seconds": F.lit(float(duration_seconds)),
+                "processed_row_count": F.lit(processed).cast("bigint"),
+                "excluded_row_count": F.lit(excluded).cast("bigint"),
+                "warning_count": F.lit(warnings).cast("bigint"),
+                "error_count": F.lit(errors).cast("bigint"),
             },
         )
 
