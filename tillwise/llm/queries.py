@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.llm import decontamination
+from tillwise.llm import bpe, decontamination, records
 from tillwise.llm.frames import table
 
+#: The tokenizer file of the token queries.
+TOKENIZER = "byte_bpe_50k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -18,6 +21,27 @@ def query(function: Callable[[SparkSession, str], DataFrame]):
     return function
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+@query
+def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids and the text decoded from them, as digests."""
+    docs = table(spark, sf_dir, "documents")
+    done = bpe.add_token_digests(docs, tokenizer_path(), keep=["doc_id"])
+    return done.select("doc_id", "tokens.*")
+
+
+@query
+def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token record, read back from the files."""
+    folder, manifest = records.write_records(table(spark, sf_dir, "documents"), tokenizer_path())
+    return records.read_records(spark, folder, manifest)
+
+
 @query
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's benchmark hits."""
