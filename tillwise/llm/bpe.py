@@ -25,13 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tillwise.llm.frames import with_struct
-from tillwise.llm.tokens import Pieces, added_tokens, cut, spelled
+from tillwise.llm.tokens import LONGEST_KEPT, Pieces, added_tokens, cut, spelled
 
 #: Fixed value: how byte-level tokenizers cut text into words.
 WORD_PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
 
+#: Single words that a worker keeps beside its cache of pieces.
+WORDS_KEPT = 600_000
+
 ENCODED = T.StructType(
     [
         T.StructField("n_tokens", T.LongType()),
@@ -85,7 +88,7 @@ class BytePairs:
             if self.added
             else None
         )
-        self.words = Pieces(lambda word: tuple(self.merge(word.encode())))
+        self.words: dict[str, tuple[int, ...]] = {}
         self.later = Pieces(lambda piece: self.piece(spelled(piece)))
 
     def merge(self, word: bytes) -> list[int]:
@@ -127,16 +130,26 @@ class BytePairs:
         return [text[a:b] for _, (a, b) in self.cutter.pre_tokenize_str(text)]
 
     def piece(self, text: str) -> tuple[int, ...]:
-        words = self.words
-        return tuple(itertools.chain.from_iterable([words[w] for w in self.cut_words(text)]))
+        return tuple(itertools.chain.from_iterable(map(self.word, self.cut_words(text))))
+
+    def word(self, word: str) -> tuple[int, ...]:
+        ids = self.words.get(word)
+        if ids is None:
+            ids = tuple(self.merge(word.encode()))
+            if len(word) <= LONGEST_KEPT:
+                if len(self.words) >= WORDS_KEPT:
+                    self.words.clear()
+                self.words[word] = ids
+        return ids
 
     def encode(self, text: str) -> list[int]:
         """The ids of a whole text."""
         pieces = cut(text, self.added)
         if pieces is not None:
-            ids = list(self.piece(pieces[0]))
-            ids.extend(itertools.chain.from_iterable(map(self.later.__getitem__, pieces[1:])))
-            return ids
+            found = [self.piece(pieces[0])]
+            found.extend(map(self.later.__getitem__, pieces[1:]))
+            if None not in found:
+                return list(itertools.chain.from_iterable(found))
         ids = []
         for part in self.split.split(text) if self.split else [text]:
             if part in self.added:

@@ -28,8 +28,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillwise.llm.bpe import byte_symbols
 from tillwise.llm.frames import file_system
-from tillwise.llm.tokens import Pieces, added_tokens, cut, spelled
+from tillwise.llm.tokens import Pieces, added_tokens, cut
 from tillwise.staging import Stage, checkpoint_root
 
 #: A file is closed once it holds this many bytes.
@@ -79,31 +80,43 @@ class LibraryEncoder:
         self.added = added_tokens(path)
         top = max(self.library.get_vocab_size(with_added_tokens=True) - 1, end_id)
         self.width = 2 if top < 1 << 16 else 4
-        self.type = np.dtype("<u2" if self.width == 2 else "<u4")
         self.end = self.pack([end_id])
-        self.marks = {c: self.direct(c) for c in ".,"}
+        self.marks = {c: self.direct(c) for c in ".,\n"}
+        self.model, self.symbols = self.library.model, "".join(byte_symbols())
         self.later = Pieces(self.piece)
 
     def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.type).tobytes()
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
 
     def direct(self, text: str) -> bytes:
         return self.pack(self.library.encode(text, add_special_tokens=False).ids)
 
     def piece(self, piece: str) -> bytes:
-        """A later piece; a mark that follows letters is a word of its own, so it is cut off."""
-        if piece[-1] in self.marks and piece[:-1].isalpha():
+        """A later piece. Marks after letters, and a line feed, are words of their own."""
+        if piece[-1] in ".," and piece[:-1].isalpha():
             return self.later[piece[:-1]] + self.marks[piece[-1]]
-        return self.direct(spelled(piece))
+        if piece[0] == "\n":
+            return self.marks["\n"] + self.word(piece[1:], piece[1:])
+        return self.word(" " + piece, piece)
+
+    def word(self, text: str, letters: str) -> bytes:
+        """A text that is one word if ``letters`` are: then only the merges are left to do."""
+        if letters.isalpha() and (letters.isascii() or max(letters) <= "\xff"):
+            shown = text.encode().decode("latin-1").translate(self.symbols)
+            return self.pack([token.id for token in self.model.tokenize(shown)])
+        return self.direct(text)
 
     def encode(self, text: str) -> bytes:
         pieces = cut(text, self.added)
         if pieces is None:
             return self.direct(text) + self.end
-        ids = [self.direct(pieces[0])] if pieces[0] else []
+        ids = [self.direct(pieces[0])]
         ids.extend(map(self.later.__getitem__, pieces[1:]))
         ids.append(self.end)
-        return b"".join(ids)
+        try:
+            return b"".join(ids)
+        except TypeError:  # an odd piece
+            return self.direct(text) + self.end
 
 
 class ShardWriter:

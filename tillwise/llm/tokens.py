@@ -9,19 +9,20 @@ it, or that holds the text of an added token, is encoded as one piece.
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 #: Characters in the two generations of a worker's cache.
-CACHE_CHARS = 10_000_000
+CACHE_CHARS = 24_000_000
 #: Pieces above this length are encoded without being kept.
 LONGEST_KEPT = 64
-_RUNS = re.compile(r"\s\s|\A\s|\s\Z")
 
 
 class Pieces(dict):
-    """Piece -> value, in two generations: what is not met again while one fills is dropped."""
+    """Piece -> value, in two generations: what is not met again while one fills is dropped.
+
+    The value of an odd piece is None, which cannot be joined with others.
+    """
 
     def __init__(self, make: Callable[[str], object], limit: int = CACHE_CHARS) -> None:
         super().__init__()
@@ -30,8 +31,8 @@ class Pieces(dict):
     def __missing__(self, piece: str):
         value = self.older.get(piece)
         if value is None:
-            value = self.make(piece)
-            if len(piece) > LONGEST_KEPT:
+            value = None if is_odd(piece) else self.make(piece)
+            if value is None or len(piece) > LONGEST_KEPT:
                 return value
         if self.size > self.half:
             self.older, self.size = dict(self), 0
@@ -60,11 +61,19 @@ def added_tokens(path: str) -> dict[str, int]:
 def cut(text: str, added: Iterable[str]) -> list[str] | None:
     """The pieces after the first (with their space left off), or None for a text to keep whole.
 
-    A piece that begins with a line feed stands as it is; any other follows a space.
+    A piece that begins with a line feed stands as it is; any other follows a space. Where one of
+    the pieces :func:`is_odd`, the text has to be kept whole after all.
     """
-    if _RUNS.search(text) or any(x in text for x in added):
+    if any(x in text for x in added):
         return None
-    return text.replace("\n", " \n").split(" ")
+    pieces = text.replace("\n", " \n").split(" ")
+    return None if text and is_odd("\n" + pieces[0]) else pieces
+
+
+def is_odd(piece: str) -> bool:
+    """True if a piece shows that white space meets white space, or begins or ends the text."""
+    body = piece[1:] if piece[:1] == "\n" else piece
+    return not body or body[0].isspace() or body[-1].isspace()
 
 
 def spelled(piece: str) -> str:
