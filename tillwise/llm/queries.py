@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.llm import bpe, decontamination, records
+from tillwise.llm import bpe, decontamination, records, setjoin
 from tillwise.llm.frames import table
 
 #: The tokenizer file of the token queries.
@@ -35,6 +35,12 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "tokens.*")
 
 
+@query
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of near-equal shingle sets."""
+    return setjoin.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token record, read back from the files."""
