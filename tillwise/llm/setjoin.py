@@ -12,9 +12,10 @@ it cannot tell apart is ordered by hash). Of two sets that share c shingles, the
 
 The size at which sets become heavy is chosen by the expected number of rows. Lists are then
 read shingle by shingle: short ones give all their pairs, long ones link each set with the
-list's first two and are kept. Pairs that bit signatures cannot rule out are verified on whole
-sets, components are labelled, and the long lists that still hold several components are gone
-through again, for the pairs between components only. Sets that are equal are one class
+list's first and are kept (of these pairs each set verifies two). Pairs that bit signatures
+cannot rule out are verified on whole sets, components are labelled, and the long lists that
+still hold several components are gone through again: first each set outside a list's largest
+component meets one inside, then all pairs between components are looked at. Sets that are equal are one class
 throughout. No list is cut short, and no list of n sets makes n * n rows.
 
 Defined results: a null, empty or wordless text has no shingles and is linked with nothing; a
@@ -43,6 +44,8 @@ WORDS, LIKE = 5, 75
 SHORT_LIST = 8
 #: A list expected to be longer than this is dealt out over several tasks.
 SPLIT_LIST = 16384
+#: Rounds in which long lists link what is outside their largest component with a set inside.
+STAR_ROUNDS = 2
 #: Largest size that may count as light.
 LIGHT_LIMIT = 64
 #: Counters, as a power of two, at most: a broadcast of 16 MB.
@@ -71,8 +74,8 @@ def class_of(shingles: np.ndarray) -> int:
 
 
 def signature(shingles: np.ndarray) -> bytes:
-    """A bit for each shingle in a table of at least as many bits as there are shingles."""
-    bits = max(64, 1 << max(0, len(shingles) - 1).bit_length())
+    """A bit for each shingle in a table of at least twice as many bits as there are shingles."""
+    bits = max(64, 2 << max(0, len(shingles) - 1).bit_length())
     table = np.zeros(bits, bool)
     table[(shingles * _SECOND) >> np.uint64(64 - bits.bit_length() + 1)] = True
     return np.packbits(table).tobytes()
@@ -218,52 +221,41 @@ class ListReader:
     """Reads sorted postings and keeps no more of a list than its first few rows."""
 
     def __init__(self) -> None:
-        self.key, self.held, self.long = None, [], False
+        self.key, self.held, self.last, self.kept = None, [], None, False
 
     def short_pairs(self) -> list[tuple[None, int, int]]:
-        if self.long or len(self.held) < 2:
-            return []
-        return [(None, a, b) for a, b in itertools.combinations(self.held, 2)]
+        return [] if self.kept else [(None, a, b) for a, b in itertools.combinations(self.held, 2)]
 
-    def read(self, tokens: np.ndarray, salts: np.ndarray, classes: np.ndarray):
-        """Pairs (None, a, b), and the rows (token, class, None) of lists that are kept."""
+    def read(self, tokens: np.ndarray, salts: np.ndarray, classes: np.ndarray) -> list[tuple]:
+        """Pairs (None, a, b) of short lists; the rows (token, class, first class) of others."""
         n = len(tokens)
         new = np.ones(n, bool)
         new[1:] = (tokens[1:] != tokens[:-1]) | (salts[1:] != salts[:-1])
-        again = np.zeros(n, bool)
-        again[1:] = ~new[1:] & (classes[1:] == classes[:-1])
         starts = np.flatnonzero(new)
         ends = np.append(starts[1:], n)
-        out: list[tuple] = []
-        # a list of one row that is neither the batch's first nor its last has no partner
-        alone = ends - starts == 1
+        # a whole list of one row, neither the batch's first nor its last, has no partner
+        alone = (ends - starts == 1) & (salts[starts] < 0)
         alone[[0, -1]] = False
+        out: list[tuple] = []
         for start, end in zip(starts[~alone].tolist(), ends[~alone].tolist(), strict=True):
             key = (int(tokens[start]), int(salts[start]))
             if key != self.key:
                 out.extend(self.short_pairs())
-                self.key, self.held, self.long = key, [], False
-            for cls in classes[start:end][~again[start:end]].tolist():
-                if self.held and cls == self.held[-1]:
+                self.key, self.held, self.last, self.kept = key, [], None, key[1] >= 0
+            for cls in classes[start:end].tolist():
+                if cls == self.last:
                     continue
-                if not self.long:
+                self.last = cls
+                if len(self.held) < SHORT_LIST:
                     self.held.append(cls)
-                    if len(self.held) > SHORT_LIST or key[1] >= 0:
-                        self.long = True
-                        for other in self.held:
-                            out.extend(self.kept(key[0], other))
-                        self.held = self.held[:2] + self.held[-1:] if len(self.held) > 2 else self.held
-                else:
-                    out.extend(self.kept(key[0], cls))
-                    if len(self.held) < 2:
-                        self.held.append(cls)
-                    else:
-                        self.held[2:] = [cls]
+                    if not self.kept:
+                        continue
+                elif not self.kept:
+                    self.kept = True
+                    out.extend((key[0], x, self.held[0]) for x in self.held)
+                out.append((key[0], cls, self.held[0]))
         return out
 
-    def kept(self, token: int, cls: int) -> list[tuple]:
-        return [(token, cls, None), *((None, first, cls) for first in self.held[:2] if first != cls)]
-
 
 def _read_lists(postings: DataFrame) -> DataFrame:
     schema = "token long, a long, b long"
@@ -388,10 +380,39 @@ def _verified(pairs: DataFrame, docs: DataFrame, stage: Stage, words: int, like:
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _between(lists: DataFrame, labels: DataFrame, classes: DataFrame, like: int) -> DataFrame:
-    """Pairs from kept lists (token, cls) whose sets are in different components.
-
-    Each token's largest component meets only the rest of its list.
+class Rest:
+    """The sets of one list that are outside its largest component."""
+
+    def __init__(self, rows: list[dict]) -> None:
+        self.rows, self.by_width = rows, {}
+        for width in {len(r["bits"]) for r in rows}:
+            own = [i for i, r in enumerate(rows) if len(r["bits"]) == width]
+            bits = np.frombuffer(b"".join(rows[i]["bits"] for i in own), np.uint8)
+            self.by_width[width] = (
+                np.array(own), np.array([rows[i]["size"] for i in own]), bits.reshape(len(own), width)
+            )
+
+    def near(self, row: dict, like: int) -> Iterator[dict]:
+        """Those that the signatures do not rule out as linked with ``row``."""
+        for own, sizes, bits in self.by_width.values():
+            mine = np.frombuffer(row["bits"], np.uint8)
+            fits = 100 * np.minimum(sizes, row["size"]) >= like * np.maximum(sizes, row["size"])
+            if not fits.any():
+                continue
+            own, sizes, bits = own[fits], sizes[fits], bits[fits]
+            while len(mine) > bits.shape[1]:
+                mine = fold(mine)
+            while bits.shape[1] > len(mine):
+                bits = np.apply_along_axis(fold, 1, bits)
+            apart = np.bitwise_count(bits ^ mine).sum(axis=1, dtype=np.int64)
+            for i in own[apart * (100 + like) <= (100 - like) * (sizes + row["size"])].tolist():
+                yield self.rows[i]
+
+
+def _mixed_lists(lists: DataFrame, labels: DataFrame, stage: Stage) -> DataFrame:
+    """The rows (token, cls, label, main) of lists that hold several components.
+
+    ``main`` marks the rows of a list's largest component.
     """
     placed = lists.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select(
         "token", "cls", F.coalesce("label", "cls").alias("label")
@@ -402,35 +423,82 @@ def _between(lists: DataFrame, labels: DataFrame, classes: DataFrame, like: int)
         .agg(F.max(F.struct("count", "label"))["label"].alias("largest"), F.count("*").alias("n"))
         .where("n > 1")
     )
+    return stage.write(
+        placed.join(mixed.drop("n"), "token").select(
+            "token", "cls", "label", (F.col("label") == F.col("largest")).alias("main")
+        ),
+        "mixed",
+    )
+
+
+def _to_largest(mixed: DataFrame) -> DataFrame:
+    """For each set outside its list's largest component, one pair (a, b) with a set inside."""
+    inside = mixed.where("main").groupBy("token").agg(F.min(F.struct(F.xxhash64("cls", "token"), "cls"))["cls"].alias("a"))
+    outside = mixed.where("not main").select("token", F.col("cls").alias("b"))
+    return _ordered(outside.join(inside, "token").groupBy("b").agg(F.min("a").alias("a")))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _between(mixed: DataFrame, classes: DataFrame, like: int) -> DataFrame:
+    """The pairs of sets in one list but in different components that may be linked.
+
+    A pair comes from the first list that holds both. A list's largest component meets only the
+    rest of it.
+    """
+    in_lists = mixed.groupBy("cls").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
     rows = (
-        placed.join(mixed.drop("n"), "token")
-        .join(classes, "cls")
-        .select("token", (F.col("label") == F.col("largest")).alias("main"), "cls", "label", "size", "bits")
+        mixed.join(in_lists.join(classes, "cls"), "cls")
+        .select("token", "main", "cls", "label", "size", "bits", "tokens")
         .repartition("token")
         .sortWithinPartitions("token", "main", "cls")
     )
 
     def run(batches):
-        token, rest = None, []
+        token, outside, rest = None, [], None
         for batch in batches:
             out = []
             for row in batch.to_pylist():
                 if row["token"] != token:
-                    token, rest = row["token"], []
-                out += [
-                    (None, min(r["cls"], row["cls"]), max(r["cls"], row["cls"]))
-                    for r in rest
-                    if r["label"] != row["label"] and may_link(r["size"], r["bits"], row["size"], row["bits"], like)
-                ]
+                    out += _inside(token, outside, like) if rest is None else []
+                    token, outside, rest = row["token"], [], None
                 if not row["main"]:
-                    rest.append(row)
-            yield _rows(
-                [x[1:] for x in dict.fromkeys(out)], pa.schema([("a", pa.int64()), ("b", pa.int64())])
-            )
+                    outside.append(row)
+                    continue
+                if rest is None:
+                    out += _inside(token, outside, like)
+                    rest = Rest(outside)
+                out += [x for r in rest.near(row, like) if (x := _first_met(token, r, row))]
+            yield _rows(out, _PAIR)
+        yield _rows(_inside(token, outside, like) if rest is None else [], _PAIR)
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _inside(token: int, outside: list[dict], like: int) -> list[tuple[int, int]]:
+    """The pairs among the sets outside a list's largest component."""
+    if len(outside) < 2:
+        return []
+    rest = Rest(outside)
+    return [
+        x for row in outside for r in rest.near(row, like) if r["cls"] < row["cls"] and (x := _first_met(token, r, row))
+    ]
+
+
+def _first_met(token: int, left: dict, right: dict) -> tuple[int, int] | None:
+    if left["label"] == right["label"]:
+        return None
+    theirs = set(right["tokens"])
+    if next(t for t in left["tokens"] if t in theirs) != token:
+        return None
+    return min(left["cls"], right["cls"]), max(left["cls"], right["cls"])
+
+
 def jaccard_components(
     docs: DataFrame, words: int = WORDS, like: int = LIKE, split_list: int = SPLIT_LIST
 ) -> DataFrame:
@@ -456,15 +524,27 @@ def jaccard_components(
     found = stage.write(_read_lists(postings), "found")
     classes = classes.select("cls", "size", "bits", "doc_id")
     sketches = classes.drop("doc_id")
-    pairs = found.where("token is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    lists = found.where("token is not null").select("token", F.col("a").alias("cls")).distinct()
+    firsts = found.where("token is not null").groupBy(F.col("a").alias("b"))
+    pairs = _ordered(
+        found.where("token is null").select("a", "b")
+        .union(firsts.agg(F.min("b").alias("a")).select("a", "b"))
+        .union(firsts.agg(F.max("b").alias("a")).select("a", "b"))
+    )
     pairs = stage.write(_not_ruled_out(pairs, sketches, like), "pairs")
     links = stage.write(_verified(pairs, docs, stage, words, like), "links")
     labels = label_components(links, stage)
-    lists = found.where("token is not null").select("token", F.col("a").alias("cls")).distinct()
-    more = stage.write(_between(lists, labels, sketches, like).join(pairs, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        more = stage.write(_verified(more, docs, stage, words, like), "links")
-        labels = label_components(links.union(more), stage)
+    for step in (*[_to_largest] * STAR_ROUNDS, None):
+        mixed = _mixed_lists(lists, labels, stage)
+        if step:
+            more = _not_ruled_out(step(mixed), sketches, like)
+        else:
+            more = _between(mixed, sketches, like)
+        more = stage.write(more.join(pairs, ["a", "b"], "left_anti"), "more")
+        if not more.isEmpty():
+            new = stage.write(_verified(more, docs, stage, words, like), "links")
+            pairs, links = pairs.union(more), links.union(new)
+            labels = label_components(links, stage)
     named = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select(
         "cls", "doc_id", F.coalesce("label", "cls").alias("label")
     )
