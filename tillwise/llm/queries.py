@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.llm import bpe, decontamination, records, setjoin
+from tillwise.llm import bpe, decontamination, records, repeats, setjoin
 from tillwise.llm.frames import table
 
 #: The tokenizer file of the token queries.
@@ -35,6 +35,18 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "tokens.*")
 
 
+@query
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words outside repeated passages."""
+    marked = repeats.remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return marked.select(
+        "doc_id",
+        "repeats.n_words",
+        "repeats.n_removed",
+        F.sha2("repeats.kept", 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's component of near-equal shingle sets."""
