@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_key(text: str = "text") -> Column:
     """A 128-bit key of a whole text; a null text has the key of the empty one."""
-    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+    return F.coalesce(F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))), F.lit(bytearray(b"")))
 
 
 def byte_table(lower: bool = False, words: str = "nonspace") -> np.ndarray:

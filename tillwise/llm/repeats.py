@@ -113,7 +113,7 @@ def _blocks(batch: pa.RecordBatch, size: int):
     """(row, anchor, first word, text) of each block, or window of a hot anchor, of some texts."""
     table = byte_table()
     recurring, hot = batch.column("anchors"), batch.column("hot")
-    for start, _, data, bounds in text_slices(batch.column("text")):
+    for start, _, data, bounds in text_slices(batch.column("__text")):
         opens, ends, words, first = scan(data, bounds, table)
         windows, at, phrases = anchors_of(words, first, size)
         new = np.ones(len(at), bool)
@@ -168,7 +168,7 @@ def _block_places(placed: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([x for _, x, _ in found], pa.binary()),
-                    batch.column("key").take(pa.array(rows, pa.int64())),
+                    batch.column("__key").take(pa.array(rows, pa.int64())),
                     pa.array([x for _, _, x in found], pa.int64()),
                 ],
                 names=["block_id", "key", "place"],
@@ -277,8 +277,9 @@ def remove_repeats(
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c != name]
     stage = Stage(docs.sparkSession)
-    keyed = docs.select(text_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    anchors = _anchor_rows(keyed, size)
+    # every join below shuffles these very columns, so that they are shuffled once
+    keyed = docs.select(text_key().alias("__key"), F.coalesce("text", F.lit("")).alias("__text"), *kept)
+    anchors = _anchor_rows(keyed.select("__key", "__text"), size)
     often = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
     hits = (
         anchors.join(often.withColumnRenamed("n", "often"), "anchor")
@@ -289,7 +290,7 @@ def remove_repeats(
         )
     )
     hits = stage.write(hits, "hits")
-    placed = keyed.join(hits, "key")
+    placed = keyed.join(hits.withColumnRenamed("key", "__key"), "__key")
     texts = _block_texts(placed, size)
     hot = hits.select(F.explode("hot").alias("anchor")).distinct().withColumn("is_hot", F.lit(True))
     texts = texts.join(hot, "anchor", "left").select(
@@ -304,9 +305,8 @@ def remove_repeats(
         .groupBy("key")
         .agg(F.flatten(F.collect_list("runs")).alias("runs"))
     )
-    marked = docs.select(*kept, F.coalesce("text", F.lit("")).alias("__text"), text_key().alias("__key")).join(
-        runs.select(F.col("key").alias("__key"), F.col("runs").alias("__runs")), "__key", "left"
-    )
+    runs = runs.select(F.col("key").alias("__key"), F.col("runs").alias("__runs"))
+    marked = keyed.join(runs, "__key", "left")
     return _cut(marked, kept, name)
 
 
