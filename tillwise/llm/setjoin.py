@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +42,7 @@ from tillwise.staging import Stage
 #: Words in a shingle, and the least similarity in hundredths.
 WORDS, LIKE = 5, 75
 #: Lists up to this length give all their pairs.
-SHORT_LIST = 8
+SHORT_LIST = 2
 #: A list expected to be longer than this is dealt out over several tasks.
 SPLIT_LIST = 16384
 #: Rounds in which long lists link what is outside their largest component with a set inside.
@@ -120,7 +121,7 @@ def _sum_tables(rows: DataFrame, bits: int, levels: bool) -> bytes:
                     yield done()
                     total[:] = 0
                 block = i
-                total += np.frombuffer(data.as_buffer(), np.uint8)
+                total += np.frombuffer(zlib.decompress(data.as_buffer()), np.uint8)
         if block is not None:
             yield done()
 
@@ -140,7 +141,7 @@ def _tables_of(batches, bits: int) -> Iterator[pa.RecordBatch]:
         part = total[block * _BLOCK : (block + 1) * _BLOCK]
         if part.any():
             yield pa.RecordBatch.from_pydict(
-                {"block": pa.array([block], pa.int32()), "counts": [np.minimum(part, 255).astype(np.uint8).tobytes()]}
+                {"block": pa.array([block], pa.int32()), "counts": [zlib.compress(np.minimum(part, 255).astype(np.uint8), 1)]}
             )
 
 
@@ -356,10 +357,8 @@ def _texts(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     )
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, stage: Stage, words: int, like: int) -> DataFrame:
-    """The pairs whose whole sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    texts = stage.write(_texts(docs, stage.write(wanted, "wanted"), words), "texts")
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, like: int) -> DataFrame:
+    """The pairs whose whole sets are similar enough; ``texts`` has a text of each class."""
 
     def run(batches):
         held: tuple[int | None, np.ndarray | None] = (None, None)
@@ -532,7 +531,9 @@ def jaccard_components(
         .union(firsts.agg(F.max("b").alias("a")).select("a", "b"))
     )
     pairs = stage.write(_not_ruled_out(pairs, sketches, like), "pairs")
-    links = stage.write(_verified(pairs, docs, stage, words, like), "links")
+    wanted = lists.select("cls").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    texts = stage.write(_texts(docs, stage.write(wanted, "wanted"), words), "texts")
+    links = stage.write(_verified(pairs, texts, words, like), "links")
     labels = label_components(links, stage)
     for step in (*[_to_largest] * STAR_ROUNDS, None):
         mixed = _mixed_lists(lists, labels, stage)
@@ -542,7 +543,7 @@ def jaccard_components(
             more = _between(mixed, sketches, like)
         more = stage.write(more.join(pairs, ["a", "b"], "left_anti"), "more")
         if not more.isEmpty():
-            new = stage.write(_verified(more, docs, stage, words, like), "links")
+            new = stage.write(_verified(more, texts, words, like), "links")
             pairs, links = pairs.union(more), links.union(new)
             labels = label_components(links, stage)
     named = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select(
