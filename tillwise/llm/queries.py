@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.llm import bpe, decontamination, records, repeats, setjoin
+from tillwise.llm import bpe, decontamination, language, quality, records, repeats, setjoin
 from tillwise.llm.frames import table
 
 #: The tokenizer file of the token queries.
@@ -35,6 +35,14 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "tokens.*")
 
 
+@query
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language."""
+    docs = table(spark, sf_dir, "documents")
+    done = language.add_languages(docs, language.learn(docs), keep=["doc_id"])
+    return done.select("doc_id", language.is_held_out().alias("held_out"), "language.*")
+
+
 @query
 def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words outside repeated passages."""
@@ -60,6 +68,20 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(spark, folder, manifest)
 
 
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    done = quality.add_scores(docs, model, keep=["doc_id"])
+    return done.select(
+        "doc_id",
+        quality.is_held_out().alias("held_out"),
+        "quality.score",
+        (F.col("quality.score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's benchmark hits."""
