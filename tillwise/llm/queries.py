@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.llm import bpe, decontamination, language, quality, records, repeats, setjoin
+from tillwise.llm import bpe, decontamination, language, quality, records, repeats, setjoin, warc
 from tillwise.llm.frames import table
 
 #: The tokenizer file of the token queries.
@@ -82,6 +82,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, read back from the archives."""
+    return warc.read_archives(spark, warc.write_archives(table(spark, sf_dir, "pages")))
+
+
 @query
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's benchmark hits."""
