@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.llm import bpe, decontamination, language, quality, records, repeats, setjoin, warc
+from tillwise.llm import (
+    bpe,
+    decontamination,
+    fingerprints,
+    language,
+    quality,
+    records,
+    repeats,
+    setjoin,
+    warc,
+)
 from tillwise.llm.frames import table
 
 #: The tokenizer file of the token queries.
@@ -68,6 +78,12 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(spark, folder, manifest)
 
 
+@query
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint beside those of its edited text and of the next document."""
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality."""
