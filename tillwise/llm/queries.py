@@ -12,6 +12,7 @@ from tillwise.llm import (
     decontamination,
     fingerprints,
     language,
+    licenses,
     quality,
     records,
     repeats,
@@ -37,6 +38,19 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+@query
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's licence, as a whole text and by lines."""
+    docs = table(spark, sf_dir, "documents")
+    done = licenses.scan_licenses(docs, licenses.known_digests(spark), keep=["doc_id"])
+    return done.select(
+        "doc_id",
+        F.col("licenses.digest").alias("canonical_sha256"),
+        F.col("licenses.whole_text").alias("license"),
+        F.array_join("licenses.lines", ";").alias("line_licenses"),
+    )
+
+
 @query
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids and the text decoded from them, as digests."""
