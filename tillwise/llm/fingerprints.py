@@ -130,20 +130,21 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     stage = Stage(docs.sparkSession)
     ids = docs.select("doc_id", text_key().alias("content"), F.coalesce("text", F.lit("")).alias("body"))
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(" "), F.hex("content")))
-    texts = ids.select(F.unhex(key).alias("key"), "doc_id", "body")
+    # both joins shuffle these very columns, so that the texts are shuffled once
+    texts = ids.select(F.unhex(key).alias("key"), "body")
     narrow = ids.select("doc_id", "content", F.unhex(key).alias("key"), F.length("body").alias("n")).distinct()
     placed = stage.write(
         next_in_order(narrow, ["doc_id", "content"], stage).select(
-            "key", F.col("next.key").alias("next_key"), F.floor(F.col("n") / 4).cast("int").alias("taken")
+            "key", "doc_id", F.col("next.key").alias("next_key"), F.floor(F.col("n") / 4).cast("int").alias("taken")
         ),
         "placed",
     )
-    by_next = placed.select(F.col("next_key").alias("key"), F.col("key").alias("before"), "taken")
+    by_next = placed.select(F.col("next_key").alias("key"), F.col("key").alias("before"), "doc_id", "taken")
     heads = (
         texts.join(by_next, "key")
-        .select(F.col("before").alias("key"), F.expr("substring(body, 1, taken)").alias("head"))
+        .select(F.col("before").alias("key"), "doc_id", F.expr("substring(body, 1, taken)").alias("head"))
         .groupBy("key")
-        .agg(F.min("head").alias("head"))
+        .agg(F.min("doc_id").alias("doc_id"), F.min("head").alias("head"))
     )
     n = F.length("body")
     edited = F.concat(F.expr("substring(body, 1, length(body) - cast(floor(length(body) / 4) as int))"), "head")
