@@ -15,7 +15,7 @@ read shingle by shingle: short ones give all their pairs, long ones link each se
 list's first and are kept (of these pairs each set verifies two). Pairs that bit signatures
 cannot rule out are verified on whole sets, components are labelled, and the long lists that
 still hold several components are gone through again: first each set outside a list's largest
-component meets one inside, then all pairs between components are looked at. Sets that are equal are one class
+component meets some inside, then all pairs between components are looked at. Sets that are equal are one class
 throughout. No list is cut short, and no list of n sets makes n * n rows.
 
 Defined results: a null, empty or wordless text has no shingles and is linked with nothing; a
@@ -45,8 +45,9 @@ WORDS, LIKE = 5, 75
 SHORT_LIST = 2
 #: A list expected to be longer than this is dealt out over several tasks.
 SPLIT_LIST = 16384
-#: Rounds in which long lists link what is outside their largest component with a set inside.
-STAR_ROUNDS = 2
+#: Rounds in which a set outside its lists' largest components, where these have LARGE sets or
+#: more, meets so many sets inside.
+STAR_ROUNDS, STAR_SETS, LARGE = 2, 12, 4
 #: Largest size that may count as light.
 LIGHT_LIMIT = 64
 #: Counters, as a power of two, at most: a broadcast of 16 MB.
@@ -419,22 +420,28 @@ def _mixed_lists(lists: DataFrame, labels: DataFrame, stage: Stage) -> DataFrame
     counted = placed.groupBy("token", "label").count()
     mixed = (
         counted.groupBy("token")
-        .agg(F.max(F.struct("count", "label"))["label"].alias("largest"), F.count("*").alias("n"))
+        .agg(F.max(F.struct("count", "label")).alias("most"), F.count("*").alias("n"))
         .where("n > 1")
+        .select("token", F.col("most.label").alias("largest"), (F.col("most.count") >= LARGE).alias("large"))
     )
     return stage.write(
-        placed.join(mixed.drop("n"), "token").select(
-            "token", "cls", "label", (F.col("label") == F.col("largest")).alias("main")
+        placed.join(mixed, "token").select(
+            "token", "cls", "label", (F.col("label") == F.col("largest")).alias("main"), "large"
         ),
         "mixed",
     )
 
 
 def _to_largest(mixed: DataFrame) -> DataFrame:
-    """For each set outside its list's largest component, one pair (a, b) with a set inside."""
-    inside = mixed.where("main").groupBy("token").agg(F.min(F.struct(F.xxhash64("cls", "token"), "cls"))["cls"].alias("a"))
-    outside = mixed.where("not main").select("token", F.col("cls").alias("b"))
-    return _ordered(outside.join(inside, "token").groupBy("b").agg(F.min("a").alias("a")))
+    """Pairs (a, b) of each set outside its lists' largest components with some sets inside.
+
+    Each list offers one set, chosen by a hash, and STAR_SETS of those offered are met.
+    """
+    lists = mixed.where("large")
+    inside = lists.where("main").groupBy("token").agg(F.min(F.struct(F.xxhash64("cls", "token"), "cls"))["cls"].alias("a"))
+    outside = lists.where("not main").select("token", F.col("cls").alias("b"))
+    offered = outside.join(inside, "token").groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("a"))
+    return _ordered(offered.select("b", F.explode(F.slice("a", 1, STAR_SETS)).alias("a")))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -447,6 +454,7 @@ def _between(mixed: DataFrame, classes: DataFrame, like: int) -> DataFrame:
     A pair comes from the first list that holds both. A list's largest component meets only the
     rest of it.
     """
+    mixed = mixed.drop("large")
     in_lists = mixed.groupBy("cls").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
     rows = (
         mixed.join(in_lists.join(classes, "cls"), "cls")
