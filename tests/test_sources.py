@@ -130,3 +130,36 @@ def test_source_choice(spark, tmp_path):
         files.load_sources(spark, {"orders": str(path)}, {"returns": str(path)})
     with pytest.raises(ConfigError):
         files.load_sources(spark, {"orders": str(path)})
+
+
+def test_equal_file_names_in_two_folders_are_told_apart(spark, tmp_path):
+    from tillwise.sources.files import load_source, source_profile, traced
+    from tillwise.staging import Stage
+
+    for kind, write in (("parquet", "parquet"), ("csv", "csv")):
+        root = tmp_path / f"orders.{kind}"
+        for day in ("a", "b"):
+            frame = spark.createDataFrame([("o1", day)], "order_id string, product_id string").coalesce(1)
+            target = f"{root}/day={day}"
+            getattr(frame.write.option("header", True), write)(target)
+            part = next((root / f"day={day}").glob(f"part-*.{kind}"))
+            part.rename(part.with_name(f"part-0.{kind}"))
+        source = load_source(spark, str(root))
+        rows = traced(source, Stage(spark)).select("source_file", "source_row_number").collect()
+        assert sorted(rows) == [(f"day=a/part-0.{kind}", 2), (f"day=b/part-0.{kind}", 2)]
+        assert source_profile(source, "orders").count() == 2
+
+
+def test_late_accents_decide_the_encoding(spark, tmp_path):
+    from tillwise.errors import SourceError
+    from tillwise.sources.files import read_csv_source
+
+    path = tmp_path / "late.csv"
+    path.write_bytes(b"a,b\n" + b"plain,1\n" * 4000 + "Café,2\n".encode("cp1252"))
+    assert read_csv_source(spark, str(path)).frame.where("a = 'Café'").count() == 1
+    mixed = tmp_path / "mixed.csv"
+    mixed.mkdir()
+    (mixed / "1.csv").write_bytes(b"a,b\n" + "Café,2\n".encode("cp1252"))
+    (mixed / "2.csv").write_bytes(b"a,b\n" + "Café,2\n".encode())
+    with pytest.raises(SourceError, match="encodings"):
+        read_csv_source(spark, str(mixed))

@@ -97,7 +97,12 @@ def list_runs(
     run_id_query: str = "",
     limit: int = 500,
 ) -> DataFrame:
-    """Newest runs first: status, overlapping period, start days, part of the id."""
+    """Newest runs first: status, overlapping period, start days, part of the id.
+
+    ``limit`` counts the runs that match; it must be positive.
+    """
+    if limit < 1:
+        raise ConfigError(f"The limit of a run list must be positive, not {limit}.")
     result = runs
     if statuses:
         result = result.filter(F.col("status").isin(*statuses))
@@ -110,9 +115,10 @@ def list_runs(
     if started_to is not None:
         after = started_to + timedelta(days=1)
         result = result.filter(F.col("started_at") < F.lit(after).cast("timestamp"))
-    newest = result.orderBy(F.desc("started_at"), F.desc("run_id")).limit(max(1, min(limit, 5000)))
     needle = run_id_query.strip().lower()
-    return newest.filter(F.lower("run_id").contains(needle)) if needle else newest
+    if needle:
+        result = result.filter(F.lower("run_id").contains(needle))
+    return result.orderBy(F.desc("started_at"), F.desc("run_id")).limit(limit)
 
 
 def output_label(available: Column) -> Column:
@@ -291,7 +297,7 @@ class RunLog:
             run_id,
             {
                 "status": F.lit(FAILED),
-                "failure_summary": F.lit(failure[:500]),
+                "failure_summary": F.lit(failure),
                 "completed_at": F.lit(completed_at),
                 "duration_seconds": F.lit(float(duration_seconds)),
                 "processed_row_count": F.lit(processed).cast("bigint"),

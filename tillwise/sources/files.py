@@ -27,6 +27,22 @@ class Source:
     file_type: str
     delimiter: str | None = None
     encoding: str | None = None
+    root: str | None = None
+
+
+def file_below(root: str | None) -> Column:
+    """The name of a row's file: its path below ``root``, or the file's own name.
+
+    Files in different folders of one source may have equal names, so a source that has
+    subfolders needs its root here for its rows to be told apart.
+    """
+    name, path = F.col("_metadata.file_name"), F.col("_metadata.file_path")
+    if root is None:
+        return name
+    folder = "/" + re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "", root).strip("/")
+    at = F.locate(f"{folder}/", path)
+    below = F.substring(path, at + len(folder) + 1, F.length(path))
+    return F.when(path.endswith(folder), name).when(at > 0, below).otherwise(path)
 
 
 def _head(spark: SparkSession, path: str) -> bytes:
@@ -35,16 +51,19 @@ def _head(spark: SparkSession, path: str) -> bytes:
     system = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not system.exists(hadoop_path):
         raise SourceError(f"The source '{path}' does not exist.")
-    found = sorted(
-        status.getPath().toString()
-        for status in system.listStatus(hadoop_path)
-        if status.isFile()
-        and status.getLen() > 0
-        and not status.getPath().getName().startswith(("_", "."))
-    )
+    root = system.getFileStatus(hadoop_path).getPath().toString()
+    found = ""
+    listed = system.listFiles(hadoop_path, True)
+    while listed.hasNext():
+        status = listed.next()
+        name = status.getPath().toString()
+        below = name[len(root) :].strip("/").split("/")
+        hidden = any(part.startswith(("_", ".")) for part in below)
+        if status.getLen() > 0 and not hidden and (not found or name < found):
+            found = name
     if not found:
         raise SourceError(f"The source '{path}' is empty.")
-    stream = system.open(spark._jvm.org.apache.hadoop.fs.Path(found[0]))
+    stream = system.open(spark._jvm.org.apache.hadoop.fs.Path(found))
     try:
         return bytes(stream.readNBytes(_SAMPLE_BYTES))
     finally:
@@ -94,6 +113,30 @@ def _read_cp1252(frame: DataFrame) -> DataFrame:
     )
 
 
+def _encoding_of_all(spark: SparkSession, path: str, first: str) -> str:
+    """The encoding of every line of a source, of which ``first`` is what its start looks like.
+
+    UTF-16 is known by its mark. Anything else is UTF-8 if all lines are, and Windows-1252 if
+    every file with characters beyond ASCII has lines that are not; a source that mixes the two
+    is refused, since either reading would damage some of it.
+    """
+    if first == "UTF-16":
+        return first
+    lines = spark.read.option("recursiveFileLookup", True).text(path)
+    files = lines.groupBy(F.col("_metadata.file_path").alias("file")).agg(
+        F.min(F.is_valid_utf8("value")).alias("valid"),
+        F.max(F.octet_length("value") > F.length("value")).alias("wide"),
+    )
+    found = files.agg(
+        F.max(~F.col("valid")).alias("broken"), F.max(F.col("valid") & F.col("wide")).alias("whole")
+    ).first()
+    if not found["broken"]:
+        return "UTF-8"
+    if found["whole"]:
+        raise SourceError(f"The files of '{path}' are in different encodings; read them one by one.")
+    return "cp1252"
+
+
 def read_csv_source(
     spark: SparkSession,
     path: str,
@@ -109,7 +152,7 @@ def read_csv_source(
     sample = _head(spark, path)
     if not sample.strip():
         raise SourceError(f"The source '{path}' is empty.")
-    chosen_encoding = encoding or detect_encoding(sample)
+    chosen_encoding = encoding or _encoding_of_all(spark, path, detect_encoding(sample))
     mark = delimiter or detect_delimiter(sample.decode(chosen_encoding, errors="replace"))
     windows = chosen_encoding.lower() in ("cp1252", "windows-1252")
     wide = chosen_encoding.lower().startswith(("utf-16", "utf-32"))
@@ -125,7 +168,8 @@ def read_csv_source(
     )
     if not frame.columns:
         raise SourceError(f"The source '{path}' has no columns.")
-    return Source(_read_cp1252(frame) if windows else frame, "csv", mark, chosen_encoding)
+    read = _read_cp1252(frame) if windows else frame
+    return Source(read, "csv", mark, chosen_encoding, path)
 
 
 def load_source(
@@ -143,9 +187,9 @@ def load_source(
     if extension == "csv":
         return read_csv_source(spark, path, encoding, delimiter)
     if extension in ("parquet", "orc"):
-        return Source(spark.read.format(extension).load(path), extension)
+        return Source(spark.read.format(extension).load(path), extension, root=path)
     if extension in ("json", "jsonl"):
-        return Source(spark.read.json(path, schema=schema, primitivesAsString=True), "json")
+        return Source(spark.read.json(path, schema=schema, primitivesAsString=True), "json", root=path)
     raise SourceError(f"The file type '.{extension}' is not supported.")
 
 
@@ -174,13 +218,16 @@ def load_sources(
     return loaded
 
 
-def with_trace(frame: DataFrame, source_file: str | None = None) -> DataFrame:
+def with_trace(
+    frame: DataFrame, source_file: str | None = None, root: str | None = None
+) -> DataFrame:
     """Add file name, row number (from 2, after the heading), status, and reason.
 
     Parquet carries exact row positions, so nothing is shuffled. Use ``number_rows`` for
-    text formats, whose rows have no stored position.
+    text formats, whose rows have no stored position. Files are named by their path below
+    ``root``, the folder that was read.
     """
-    name = F.lit(source_file) if source_file else F.col("_metadata.file_name")
+    name = F.lit(source_file) if source_file else file_below(root)
     return frame.select(
         "*",
         name.alias("source_file"),
@@ -190,7 +237,9 @@ def with_trace(frame: DataFrame, source_file: str | None = None) -> DataFrame:
     )
 
 
-def number_rows(frame: DataFrame, stage: Stage, source_file: str | None = None) -> DataFrame:
+def number_rows(
+    frame: DataFrame, stage: Stage, source_file: str | None = None, root: str | None = None
+) -> DataFrame:
     """Trace columns for text formats: rows numbered in file order without one big sort.
 
     Each task numbers its own rows; the per-split counts (one row per split) give every
@@ -200,7 +249,8 @@ def number_rows(frame: DataFrame, stage: Stage, source_file: str | None = None)
     tagged = stage.write(
         frame.select(
             "*",
-            F.col("_metadata.file_name").alias("_file"),
+            F.col("_metadata.file_path").alias("_file"),
+            file_below(root).alias("_name"),
             F.col("_metadata.file_block_start").alias("_split"),
             F.monotonically_increasing_id().alias("_position"),
         ),
@@ -217,7 +267,7 @@ def number_rows(frame: DataFrame, stage: Stage, source_file: str | None = None)
         "_split",
         (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
     )
-    name: Column = F.lit(source_file) if source_file else F.col("_file")
+    name: Column = F.lit(source_file) if source_file else F.col("_name")
     return (
         tagged.join(offsets, ["_file", "_split"])
         .select(
@@ -235,8 +285,8 @@ def traced(source: Source, stage: Stage) -> DataFrame:
     if "source_row_number" in source.frame.columns:
         return source.frame
     if source.file_type == "parquet":
-        return with_trace(source.frame)
-    return number_rows(source.frame, stage)
+        return with_trace(source.frame, root=source.root)
+    return number_rows(source.frame, stage, root=source.root)
 
 
 def source_profile(source: Source, dataset: str) -> DataFrame:
@@ -250,7 +300,7 @@ def source_profile(source: Source, dataset: str) -> DataFrame:
     if "source_file" in source.frame.columns:
         name, size = F.col("source_file"), F.lit(None).cast("bigint")
     else:
-        name, size = F.col("_metadata.file_name"), F.col("_metadata.file_size")
+        name, size = file_below(source.root), F.col("_metadata.file_size")
     return (
         source.frame.select(name.alias("filename"), size.alias("file_size"))
         .groupBy("filename")
