@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,6 +17,10 @@ from pyspark.sql import types as T
 SPACE_BYTES = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 #: Text bytes that are hashed in one go; a longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
+#: Of those, the bytes whose words are hashed at a time; a longer word is hashed alone.
+HASH_BYTES = (1 << 17) - 1
+#: Bytes of an Arrow batch, so that texts and what is made of them stay small on both sides.
+BATCH_BYTES = 8 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -25,6 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keep the session's Arrow batches at BATCH_BYTES or less, as long texts come in them."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(setting))
+    if not now or not 0 < int(now[1]) <= BATCH_BYTES:
+        spark.conf.set(setting, str(BATCH_BYTES))
+
+
 def text_key(text: str = "text") -> Column:
     """A 128-bit key of a whole text; a null text has the key of the empty one."""
     return F.coalesce(F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))), F.lit(bytearray(b"")))
@@ -92,10 +105,18 @@ def scan(data: np.ndarray, bounds: np.ndarray, mapped: np.ndarray):
         closes[n] = inside[-1]
     closes[cuts] |= inside[cuts - 1]
     starts, ends = np.flatnonzero(opens[:n]), np.flatnonzero(closes)
-    up, down = powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * down[starts])
+    hashes = np.empty(len(starts), np.uint64)
+    first = 0
+    while first < len(starts):
+        low = starts[first]
+        last = max(first + 1, int(np.searchsorted(ends, low + HASH_BYTES, side="right")))
+        size = int(ends[last - 1] - low)
+        up, down = powers(size + 1)
+        total = np.zeros(size + 1, np.uint64)
+        np.cumsum((codes[low : low + size].astype(np.uint64) + np.uint64(1)) * up[:size], out=total[1:])
+        opened, closed = starts[first:last] - low, ends[first:last] - low
+        hashes[first:last] = mix((total[closed] - total[opened]) * down[opened])
+        first = last
     return starts, ends, hashes, np.searchsorted(starts, bounds)
 
 
@@ -162,6 +183,7 @@ def with_struct(
     ``keep`` (all by default) come back beside the new one; an older column of the new one's name
     is replaced.
     """
+    small_batches(docs.sparkSession)
     kept = [c for c in (docs.columns if keep is None else keep) if c != name]
     sent = docs.select(*dict.fromkeys([*kept, text]))
     schema = T.StructType([*[sent.schema[c] for c in kept], T.StructField(name, fields)])

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillwise.llm.frames import byte_table, scan, text_slices, window_hashes, with_struct
+from tillwise.llm.frames import byte_table, scan, small_batches, text_slices, window_hashes, with_struct
 
 #: Most texts of each kind that a model is fitted on.
 SAMPLE = 8000
@@ -142,6 +142,7 @@ def is_held_out(doc_id: str = "doc_id", folds: int = FOLDS) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit a model on bounded samples of trusted positives and of unlabelled texts."""
+    small_batches(docs.sparkSession)
     marked = labels.select("doc_id", "quality").where("doc_id is not null")
     learnt = marked.where(~is_held_out() & F.col("quality").isin(0, 1))
     share = learnt.agg(F.avg("quality")).first()[0]

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillwise.llm.frames import byte_table, scan, text_key, text_slices, window_hashes
+from tillwise.llm.frames import byte_table, scan, small_batches, text_key, text_slices, window_hashes
 from tillwise.staging import Stage
 
 SIZE = 35
@@ -276,6 +276,7 @@ def remove_repeats(
     ``keep`` lists the columns to carry along; an older column of the new one's name is replaced.
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c != name]
+    small_batches(docs.sparkSession)
     stage = Stage(docs.sparkSession)
     # every join below shuffles these very columns, so that they are shuffled once
     keyed = docs.select(text_key().alias("__key"), F.coalesce("text", F.lit("")).alias("__text"), *kept)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.llm.components import label_components
-from tillwise.llm.frames import byte_table, mix, scan, text_slices, window_hashes
+from tillwise.llm.frames import byte_table, mix, scan, small_batches, text_slices, window_hashes
 from tillwise.staging import Stage
 
 #: Words in a shingle, and the least similarity in hundredths.
@@ -135,14 +135,15 @@ def _sum_tables(rows: DataFrame, bits: int, levels: bool) -> bytes:
 
 def _tables_of(batches, bits: int) -> Iterator[pa.RecordBatch]:
     """One task's counters of some hashes, in blocks; a counter stops at 255."""
-    total = np.zeros(1 << bits, np.uint32)
+    total = np.zeros(1 << bits, np.uint8)
     for hashes in batches:
-        np.add.at(total, hashes >> np.uint64(64 - bits), np.uint32(1))
+        found, times = np.unique((hashes >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
+        total[found] = np.minimum(total[found] + times, 255)
     for block in range(len(total) // _BLOCK):
         part = total[block * _BLOCK : (block + 1) * _BLOCK]
         if part.any():
             yield pa.RecordBatch.from_pydict(
-                {"block": pa.array([block], pa.int32()), "counts": [zlib.compress(np.minimum(part, 255).astype(np.uint8), 1)]}
+                {"block": pa.array([block], pa.int32()), "counts": [zlib.compress(part, 1)]}
             )
 
 
@@ -511,6 +512,7 @@ def jaccard_components(
 ) -> DataFrame:
     """Every document's set size and component: (doc_id, n_shingles, component_id)."""
     spark = docs.sparkSession
+    small_batches(spark)
     stage = Stage(spark)
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     bits = min(MOST_BITS, max(16, math.ceil(math.log2(max(total, 1) / 48 + 1))))
