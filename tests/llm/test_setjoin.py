@@ -1,9 +1,11 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tillwise.llm import setjoin
+from tillwise.llm.frames import mix
 from tillwise.llm.setjoin import jaccard_components, light_limit, may_link, signature
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -93,3 +95,14 @@ def test_light_sizes_are_chosen_by_cost():
     assert light_limit({6: 1000, 60: 10}, 50.0, 75) >= 6
     assert light_limit({}, 3.0, 75) == 0
     assert setjoin.prefix_length(20, 75, 1) == 6
+
+
+def test_the_nearest_set_of_a_list_is_offered():
+    sets = [np.sort(mix(np.arange(low, low + 400, dtype=np.uint64))) for low in (0, 30, 5, 5000)]
+    rows = [{"cls": i, "size": len(s), "bits": setjoin.narrow(setjoin.signature(s))} for i, s in enumerate(sets)]
+    assert {len(r["bits"]) for r in rows} == {setjoin.NARROW}
+    nearest = setjoin.Nearest(rows[:1])
+    for row in rows[1:]:
+        nearest.meet(row, setjoin.LIKE)
+    assert nearest.pairs() == [(0, 2)]
+    assert setjoin.Nearest(rows[3:]).pairs() == []

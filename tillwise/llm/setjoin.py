@@ -15,7 +15,7 @@ read shingle by shingle: short ones give all their pairs, long ones link each se
 list's first and are kept (of these pairs each set verifies two). Pairs that bit signatures
 cannot rule out are verified on whole sets, components are labelled, and the long lists that
 still hold several components are gone through again: first each set outside a list's largest
-component meets some inside, then all pairs between components are looked at. Sets that are equal are one class
+component meets some inside, then the nearest, then all pairs between components are looked at. Sets that are equal are one class
 throughout. No list is cut short, and no list of n sets makes n * n rows.
 
 Defined results: a null, empty or wordless text has no shingles and is linked with nothing; a
@@ -45,9 +45,9 @@ WORDS, LIKE = 5, 75
 SHORT_LIST = 2
 #: A list expected to be longer than this is dealt out over several tasks.
 SPLIT_LIST = 16384
-#: Rounds in which a set outside its lists' largest components, where these have LARGE sets or
-#: more, meets so many sets inside.
-STAR_ROUNDS, STAR_SETS, LARGE = 2, 12, 4
+#: A set outside its lists' largest components, where these have LARGE sets or more, first meets
+#: so many sets inside, then the nearest of each list, by signatures folded to NARROW bytes.
+STAR_SETS, LARGE, NARROW = 12, 4, 64
 #: Largest size that may count as light.
 LIGHT_LIMIT = 64
 #: Counters, as a power of two, at most: a broadcast of 16 MB.
@@ -393,8 +393,8 @@ class Rest:
                 np.array(own), np.array([rows[i]["size"] for i in own]), bits.reshape(len(own), width)
             )
 
-    def near(self, row: dict, like: int) -> Iterator[dict]:
-        """Those that the signatures do not rule out as linked with ``row``."""
+    def near(self, row: dict, like: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Numbers of those not ruled out as linked with ``row``, and the share that differs."""
         for own, sizes, bits in self.by_width.values():
             mine = np.frombuffer(row["bits"], np.uint8)
             fits = 100 * np.minimum(sizes, row["size"]) >= like * np.maximum(sizes, row["size"])
@@ -406,8 +406,40 @@ class Rest:
             while bits.shape[1] > len(mine):
                 bits = np.apply_along_axis(fold, 1, bits)
             apart = np.bitwise_count(bits ^ mine).sum(axis=1, dtype=np.int64)
-            for i in own[apart * (100 + like) <= (100 - like) * (sizes + row["size"])].tolist():
-                yield self.rows[i]
+            left = apart * (100 + like) <= (100 - like) * (sizes + row["size"])
+            yield own[left], (apart / (sizes + row["size"]))[left]
+
+    def rows_near(self, row: dict, like: int) -> Iterator[dict]:
+        for own, _ in self.near(row, like):
+            yield from (self.rows[i] for i in own.tolist())
+
+
+class Nearest:
+    """Finds, for each set outside a list's largest component, the nearest one inside."""
+
+    def __init__(self, outside: list[dict]) -> None:
+        self.rest, self.cls = Rest(outside), [r["cls"] for r in outside]
+        self.apart, self.found = np.full(len(outside), np.inf), np.zeros(len(outside), np.int64)
+
+    def meet(self, row: dict, like: int) -> None:
+        for own, apart in self.rest.near(row, like):
+            closer = apart < self.apart[own]
+            self.apart[own[closer]], self.found[own[closer]] = apart[closer], row["cls"]
+
+    def pairs(self) -> list[tuple[int, int]]:
+        return [
+            (min(a, b), max(a, b))
+            for a, b, apart in zip(self.cls, self.found.tolist(), self.apart, strict=True)
+            if np.isfinite(apart)
+        ]
+
+
+def narrow(bits: bytes) -> bytes:
+    """A signature folded to NARROW bytes or fewer."""
+    table = np.frombuffer(bits, np.uint8)
+    while len(table) > NARROW:
+        table = fold(table)
+    return table.tobytes()
 
 
 def _mixed_lists(lists: DataFrame, labels: DataFrame, stage: Stage) -> DataFrame:
@@ -445,6 +477,49 @@ def _to_largest(mixed: DataFrame) -> DataFrame:
     return _ordered(offered.select("b", F.explode(F.slice("a", 1, STAR_SETS)).alias("a")))
 
 
+def _narrowed(classes: DataFrame) -> DataFrame:
+    """Each class's size and folded signature."""
+
+    def run(batches):
+        for batch in batches:
+            bits = pa.array([narrow(x) for x in batch.column("bits").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bits], names=["cls", "size", "bits"])
+
+    return classes.select("cls", "size", "bits").mapInArrow(run, "cls long, size long, bits binary")
+
+
+def _to_nearest(mixed: DataFrame, classes: DataFrame, like: int) -> DataFrame:
+    """Pairs (a, b) of each set outside its lists' largest components with the nearest inside.
+
+    Each list offers the set whose folded signature differs least.
+    """
+    lists = mixed.where("large").select("token", "main", "cls")
+    rows = (
+        lists.join(_narrowed(classes.join(lists.select("cls").distinct(), "cls", "left_semi")), "cls")
+        .select("token", "main", "cls", "size", "bits")
+        .repartition("token")
+        .sortWithinPartitions("token", "main", "cls")
+    )
+
+    def run(batches):
+        token, outside, nearest = None, [], None
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if row["token"] != token:
+                    out += nearest.pairs() if nearest else []
+                    token, outside, nearest = row["token"], [], None
+                if not row["main"]:
+                    outside.append(row)
+                elif outside:
+                    nearest = nearest or Nearest(outside)
+                    nearest.meet(row, like)
+            yield _rows(out, _PAIR)
+        yield _rows(nearest.pairs() if nearest else [], _PAIR)
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -478,7 +553,7 @@ def _between(mixed: DataFrame, classes: DataFrame, like: int) -> DataFrame:
                 if rest is None:
                     out += _inside(token, outside, like)
                     rest = Rest(outside)
-                out += [x for r in rest.near(row, like) if (x := _first_met(token, r, row))]
+                out += [x for r in rest.rows_near(row, like) if (x := _first_met(token, r, row))]
             yield _rows(out, _PAIR)
         yield _rows(_inside(token, outside, like) if rest is None else [], _PAIR)
 
@@ -494,7 +569,7 @@ def _inside(token: int, outside: list[dict], like: int) -> list[tuple[int, int]]
         return []
     rest = Rest(outside)
     return [
-        x for row in outside for r in rest.near(row, like) if r["cls"] < row["cls"] and (x := _first_met(token, r, row))
+        x for row in outside for r in rest.rows_near(row, like) if r["cls"] < row["cls"] and (x := _first_met(token, r, row))
     ]
 
 
@@ -545,12 +620,13 @@ def jaccard_components(
     texts = stage.write(_texts(docs, stage.write(wanted, "wanted"), words), "texts")
     links = stage.write(_verified(pairs, texts, words, like), "links")
     labels = label_components(links, stage)
-    for step in (*[_to_largest] * STAR_ROUNDS, None):
+    for step in ("largest", "nearest", "all"):
         mixed = _mixed_lists(lists, labels, stage)
-        if step:
-            more = _not_ruled_out(step(mixed), sketches, like)
-        else:
+        if step == "all":
             more = _between(mixed, sketches, like)
+        else:
+            more = _to_largest(mixed) if step == "largest" else _to_nearest(mixed, sketches, like)
+            more = _not_ruled_out(more, sketches, like)
         more = stage.write(more.join(pairs, ["a", "b"], "left_anti"), "more")
         if not more.isEmpty():
             new = stage.write(_verified(more, texts, words, like), "links")
