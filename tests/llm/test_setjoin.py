@@ -106,3 +106,50 @@ def test_the_nearest_set_of_a_list_is_offered():
         nearest.meet(row, setjoin.LIKE)
     assert nearest.pairs() == [(0, 2)]
     assert setjoin.Nearest(rows[3:]).pairs() == []
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_blocks_match_brute_force(spark, frame, seed):
+    rows = corpus(seed)
+    got = jaccard_components(frame(rows).repartition(3), split_list=3, block=3).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
+
+
+@pytest.mark.parametrize("among", [True, False])
+def test_long_lists_meet_in_blocks(spark, among):
+    rng = random.Random(7)
+    rows = [(t, cls, cls % 9 if cls % 3 else 0, cls % 3 == 0, rng.random() < 0.3) for t, n in ((1, 90), (2, 7)) for cls in range(n)]
+    mixed = spark.createDataFrame(rows, "token long, cls long, label long, main boolean, strong boolean")
+    groups = {}
+    for r in setjoin._dealt(mixed, 10, among).collect():
+        groups.setdefault((r.token, r.kind, r.i, r.j), []).append(r)
+    assert max(len(g) for g in groups.values()) <= 60
+    met = set()
+    for (token, kind, _, _), group in groups.items():
+        held = [r for r in group if r.role]
+        for r in group:
+            if r.role != setjoin._HELD:
+                met |= {(token, *sorted((r.cls, x.cls))) for x in held if x.cls != r.cls and (x.strong or r.strong)}
+    wanted = {
+        (a[0], a[1], b[1]) for a in rows for b in rows
+        if a[0] == b[0] and a[1] < b[1] and (a[4] or b[4]) and not (a[3] and b[3]) and (among or a[3] or b[3])
+    }
+    assert met == wanted
+
+
+def test_boilerplate_below_the_threshold_makes_no_list_to_go_through(spark, frame):
+    shared = [f"b{i}" for i in range(160)]
+    docs = frame([(i, " ".join([f"d{i}x{j}" for j in range(38)] + shared)) for i in range(60)])
+    limit, bits = 0, 16
+    levels = setjoin.shingle_levels(docs, 5, bits)
+    sent = spark.sparkContext.broadcast(levels)
+    postings = setjoin._postings(docs, sent, bits, limit, 5, 75, 16384)
+    lists = (
+        setjoin._read_lists(postings).where("token is not null")
+        .selectExpr("token", "a as cls", "strong").distinct()
+    )
+    assert lists.count() >= 60
+    stage = setjoin.Stage(spark)
+    labels = spark.createDataFrame([], "node long, label long")
+    assert setjoin._mixed_lists(lists, labels, stage).isEmpty()
+    assert {r.component_id for r in jaccard_components(docs).collect()} == set(range(60))

@@ -18,6 +18,13 @@ still hold several components are gone through again: first each set outside a l
 component meets some inside, then the nearest, then all pairs between components are looked at. Sets that are equal are one class
 throughout. No list is cut short, and no list of n sets makes n * n rows.
 
+Two linked sets meet in the list of their first common shingle, and what they share begins there.
+So the smaller one stands *strong* in it: what follows in its own order is enough for a link. Two
+sets that both stand weak in a list are never compared for it, and a list without a strong set is
+not gone through again. Documents that share boilerplate, but too little for a link, stand weak in
+the lists of the boilerplate. A list is gone through in blocks of bounded size, each block of one
+side against each block of the other as a task's group of its own.
+
 Defined results: a null, empty or wordless text has no shingles and is linked with nothing; a
 text of fewer words than a shingle is one shingle; equal texts, repeated rows included, are one
 component; a component of null ids alone has a null id; other columns are ignored.
@@ -48,6 +55,10 @@ SPLIT_LIST = 16384
 #: A set outside its lists' largest components, where these have LARGE sets or more, first meets
 #: so many sets inside, then the nearest of each list, by signatures folded to NARROW bytes.
 STAR_SETS, LARGE, NARROW = 12, 4, 64
+#: Sets of a block when a list is gone through again, and the bytes their signatures are folded to.
+BLOCK_SETS, WIDE = 2048, 8192
+#: Lists of a set that its rows name, so that few pairs come from several lists.
+NAMED = 32
 #: Largest size that may count as light.
 LIGHT_LIMIT = 64
 #: Counters, as a power of two, at most: a broadcast of 16 MB.
@@ -162,6 +173,11 @@ def prefix_length(size: int, like: int, k: int) -> int:
     return size - -(-like * size // 100) + k
 
 
+def stands_strong(size: int, before: np.ndarray, like: int) -> np.ndarray:
+    """Whether a set, less so many shingles, can still share enough with one of its size or more."""
+    return (size - before) * (100 + like) >= 2 * like * size
+
+
 def light_limit(sizes: dict[int, int], list_length: float, like: int) -> int:
     """The largest light size with the fewest expected rows.
 
@@ -180,13 +196,16 @@ def light_limit(sizes: dict[int, int], list_length: float, like: int) -> int:
 def _postings(
     docs: DataFrame, shared, bits: int, limit: int, words: int, like: int, split: int
 ) -> DataFrame:
-    """Rows (token, salt, class) of the inverted lists and of the enumerated pairs."""
+    """Rows (token, place, class) of the inverted lists and of the enumerated pairs.
+
+    ``place`` is twice the salt, and one more where the set stands strong.
+    """
 
     def run(batches):
         levels = np.frombuffer(shared.value, np.uint8)
         split_at = 8 * math.log2(1 + split)
         for batch in batches:
-            tokens, classes, salts, met = [], [], [], set()
+            tokens, classes, places, met = [], [], [], set()
             for _, own in shingle_sets(batch.column(0), words):
                 size = len(own)
                 if size < 2 or (cls := class_of(own)) in met:
@@ -199,25 +218,26 @@ def _postings(
                     left, right = np.triu_indices(len(first), 1)
                     pair = np.sort(np.stack([first[left], first[right]]), axis=0)
                     tokens.append(mix(pair[0] * _SECOND + pair[1]))
-                    salts.append(np.full(len(left), -1, np.int32))
+                    places.append(-2 + stands_strong(size, right - 1, like))
                     classes.append(np.full(len(left), cls, np.int64))
                 if 100 * size > like * limit:
                     first = order[: prefix_length(size, like, 1)]
                     tokens.append(own[first])
                     shares = np.ceil(2 ** (np.maximum(level[first] - split_at, 0) / 8)).astype(np.int64)
-                    salts.append(np.where(shares > 1, np.int64(cls) % shares, -1).astype(np.int32))
+                    salts = np.where(shares > 1, np.int64(cls) % shares, -1)
+                    places.append(2 * salts + stands_strong(size, np.arange(len(first)), like))
                     classes.append(np.full(len(first), cls, np.int64))
             if tokens:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate(tokens).view(np.int64)),
-                        pa.array(np.concatenate(salts)),
+                        pa.array(np.concatenate(places).astype(np.int32)),
                         pa.array(np.concatenate(classes)),
                     ],
-                    names=["token", "salt", "cls"],
+                    names=["token", "place", "cls"],
                 )
 
-    return docs.select("text").mapInArrow(run, "token long, salt int, cls long")
+    return docs.select("text").mapInArrow(run, "token long, place int, cls long")
 
 
 class ListReader:
@@ -226,12 +246,13 @@ class ListReader:
     def __init__(self) -> None:
         self.key, self.held, self.last, self.kept = None, [], None, False
 
-    def short_pairs(self) -> list[tuple[None, int, int]]:
-        return [] if self.kept else [(None, a, b) for a, b in itertools.combinations(self.held, 2)]
+    def short_pairs(self) -> list[tuple[None, int, int, None]]:
+        pairs = [] if self.kept else itertools.combinations([cls for cls, _ in self.held], 2)
+        return [(None, a, b, None) for a, b in pairs]
 
-    def read(self, tokens: np.ndarray, salts: np.ndarray, classes: np.ndarray) -> list[tuple]:
-        """Pairs (None, a, b) of short lists; the rows (token, class, first class) of others."""
-        n = len(tokens)
+    def read(self, tokens: np.ndarray, places: np.ndarray, classes: np.ndarray) -> list[tuple]:
+        """Pairs (None, a, b, None) of short lists; the rows (token, class, first class, strong) of others."""
+        n, salts, strong = len(tokens), places >> 1, (places & 1).astype(bool)
         new = np.ones(n, bool)
         new[1:] = (tokens[1:] != tokens[:-1]) | (salts[1:] != salts[:-1])
         starts = np.flatnonzero(new)
@@ -245,24 +266,25 @@ class ListReader:
             if key != self.key:
                 out.extend(self.short_pairs())
                 self.key, self.held, self.last, self.kept = key, [], None, key[1] >= 0
-            for cls in classes[start:end].tolist():
+            for cls, stands in zip(classes[start:end].tolist(), strong[start:end].tolist(), strict=True):
                 if cls == self.last:
                     continue
                 self.last = cls
                 if len(self.held) < SHORT_LIST:
-                    self.held.append(cls)
+                    self.held.append((cls, stands))
                     if not self.kept:
                         continue
                 elif not self.kept:
                     self.kept = True
-                    out.extend((key[0], x, self.held[0]) for x in self.held)
-                out.append((key[0], cls, self.held[0]))
+                    out.extend((key[0], x, self.held[0][0], s) for x, s in self.held)
+                out.append((key[0], cls, self.held[0][0], stands))
         return out
 
 
 def _read_lists(postings: DataFrame) -> DataFrame:
-    schema = "token long, a long, b long"
-    arrow = pa.schema([("token", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+    schema = "token long, a long, b long, strong boolean"
+    arrow = pa.schema([("token", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("strong", pa.bool_())])
+    salt = F.shiftright("place", 1)
 
     def run(batches):
         reader = ListReader()
@@ -272,7 +294,7 @@ def _read_lists(postings: DataFrame) -> DataFrame:
                 yield _rows(list(dict.fromkeys(rows)), arrow)
         yield _rows(reader.short_pairs(), arrow)
 
-    dealt = postings.repartition("token", "salt").sortWithinPartitions("token", "salt", "cls")
+    dealt = postings.repartition("token", salt).sortWithinPartitions("token", salt, "cls", F.desc("place"))
     return dealt.mapInArrow(run, schema)
 
 
@@ -382,7 +404,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, like: int) -> Data
 
 
 class Rest:
-    """The sets of one list that are outside its largest component."""
+    """Some sets of one list, to be met by others."""
 
     def __init__(self, rows: list[dict]) -> None:
         self.rows, self.by_width = rows, {}
@@ -390,21 +412,25 @@ class Rest:
             own = [i for i, r in enumerate(rows) if len(r["bits"]) == width]
             bits = np.frombuffer(b"".join(rows[i]["bits"] for i in own), np.uint8)
             self.by_width[width] = (
-                np.array(own), np.array([rows[i]["size"] for i in own]), bits.reshape(len(own), width)
+                np.array(own), np.array([rows[i]["size"] for i in own]), bits.reshape(len(own), width),
+                np.array([rows[i].get("label", 0) for i in own], np.int64),
             )
 
     def near(self, row: dict, like: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Numbers of those not ruled out as linked with ``row``, and the share that differs."""
-        for own, sizes, bits in self.by_width.values():
+        """Numbers of those of other labels not ruled out as linked with ``row``, and the share that differs."""
+        for own, sizes, bits, labels in self.by_width.values():
             mine = np.frombuffer(row["bits"], np.uint8)
             fits = 100 * np.minimum(sizes, row["size"]) >= like * np.maximum(sizes, row["size"])
+            if "label" in row:
+                fits &= labels != row["label"]
             if not fits.any():
                 continue
             own, sizes, bits = own[fits], sizes[fits], bits[fits]
             while len(mine) > bits.shape[1]:
                 mine = fold(mine)
             while bits.shape[1] > len(mine):
-                bits = np.apply_along_axis(fold, 1, bits)
+                table = np.unpackbits(bits, axis=1)
+                bits = np.packbits(table[:, 0::2] | table[:, 1::2], axis=1)
             apart = np.bitwise_count(bits ^ mine).sum(axis=1, dtype=np.int64)
             left = apart * (100 + like) <= (100 - like) * (sizes + row["size"])
             yield own[left], (apart / (sizes + row["size"]))[left]
@@ -426,40 +452,42 @@ class Nearest:
             closer = apart < self.apart[own]
             self.apart[own[closer]], self.found[own[closer]] = apart[closer], row["cls"]
 
+    def offers(self) -> list[tuple[int, int, float]]:
+        """(outside, inside, share that differs)."""
+        rows = zip(self.cls, self.found.tolist(), self.apart.tolist(), strict=True)
+        return [r for r in rows if math.isfinite(r[2])]
+
     def pairs(self) -> list[tuple[int, int]]:
-        return [
-            (min(a, b), max(a, b))
-            for a, b, apart in zip(self.cls, self.found.tolist(), self.apart, strict=True)
-            if np.isfinite(apart)
-        ]
+        return [(min(a, b), max(a, b)) for a, b, _ in self.offers()]
 
 
-def narrow(bits: bytes) -> bytes:
-    """A signature folded to NARROW bytes or fewer."""
+def narrow(bits: bytes, width: int = NARROW) -> bytes:
+    """A signature folded to so many bytes or fewer."""
     table = np.frombuffer(bits, np.uint8)
-    while len(table) > NARROW:
+    while len(table) > width:
         table = fold(table)
     return table.tobytes()
 
 
 def _mixed_lists(lists: DataFrame, labels: DataFrame, stage: Stage) -> DataFrame:
-    """The rows (token, cls, label, main) of lists that hold several components.
+    """The rows (token, cls, strong, label, main) of lists that hold several components.
 
-    ``main`` marks the rows of a list's largest component.
+    ``main`` marks the rows of a list's largest component. Lists without a strong set have no
+    pairs of their own.
     """
     placed = lists.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select(
-        "token", "cls", F.coalesce("label", "cls").alias("label")
+        "token", "cls", "strong", F.coalesce("label", "cls").alias("label")
     )
-    counted = placed.groupBy("token", "label").count()
+    counted = placed.groupBy("token", "label").agg(F.count("*").alias("count"), F.max("strong").alias("strong"))
     mixed = (
         counted.groupBy("token")
-        .agg(F.max(F.struct("count", "label")).alias("most"), F.count("*").alias("n"))
-        .where("n > 1")
+        .agg(F.max(F.struct("count", "label")).alias("most"), F.count("*").alias("n"), F.max("strong").alias("strong"))
+        .where("n > 1 and strong")
         .select("token", F.col("most.label").alias("largest"), (F.col("most.count") >= LARGE).alias("large"))
     )
     return stage.write(
         placed.join(mixed, "token").select(
-            "token", "cls", "label", (F.col("label") == F.col("largest")).alias("main"), "large"
+            "token", "cls", "strong", "label", (F.col("label") == F.col("largest")).alias("main"), "large"
         ),
         "mixed",
     )
@@ -477,113 +505,177 @@ def _to_largest(mixed: DataFrame) -> DataFrame:
     return _ordered(offered.select("b", F.explode(F.slice("a", 1, STAR_SETS)).alias("a")))
 
 
-def _narrowed(classes: DataFrame) -> DataFrame:
+def _narrowed(classes: DataFrame, width: int) -> DataFrame:
     """Each class's size and folded signature."""
 
     def run(batches):
         for batch in batches:
-            bits = pa.array([narrow(x) for x in batch.column("bits").to_pylist()], pa.binary())
+            bits = pa.array([narrow(x, width) for x in batch.column("bits").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bits], names=["cls", "size", "bits"])
 
     return classes.select("cls", "size", "bits").mapInArrow(run, "cls long, size long, bits binary")
 
 
-def _to_nearest(mixed: DataFrame, classes: DataFrame, like: int) -> DataFrame:
+#: What a set does in a group: it is met, it is held and meets those, or both.
+_MET, _HELD, _BOTH = 0, 1, 2
+
+
+def _dealt(mixed: DataFrame, block: int, among: bool) -> DataFrame:
+    """Rows (token, kind, i, j, role) of the groups in which sets of one list meet.
+
+    The sets outside the largest component meet those inside, and each other if ``among``; not
+    two weak ones. A list of up to ``block`` sets is one group. In others the strong sets outside
+    (kind 1) meet all, and the weak ones (kind 2) the strong ones inside, block by block.
+    """
+    counts = mixed.groupBy("token").agg(
+        F.count("*").alias("n"),
+        F.count_if(F.expr("true" if among else "main")).alias("met"),
+        F.count_if(F.expr("not main and strong")).alias("leads"),
+        F.count_if(F.expr("not main and not strong")).alias("rest"),
+        F.count_if(F.expr("main and strong")).alias("firm"),
+    )
+    blocks = lambda n: F.ceil(F.col(n) / F.lit(block)).cast("int")
+    place = lambda n: F.pmod(F.xxhash64("cls"), F.greatest(blocks(n), F.lit(1))).cast("int")
+    group = lambda kind, i, j, role: F.struct(
+        F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), F.lit(role).alias("role")
+    )
+    over = lambda n, make: F.transform(F.sequence(F.lit(0), blocks(n) - 1), make)
+    nothing = F.array().cast("array<struct<kind:int,i:int,j:int,role:int>>")
+    when = lambda condition, groups: F.when(F.expr(condition), groups).otherwise(nothing)
+    zero, met = F.lit(0), "" if among else "main and "
+    small, large = f"n <= {block} and ", f"n > {block} and "
+    groups = F.concat(
+        when(small + "not main", F.array(group(0, zero, zero, _BOTH if among else _HELD))),
+        when(small + "main and (strong or leads > 0)", F.array(group(0, zero, zero, _MET))),
+        when(large + "not main and strong and met > 0", over("met", lambda j: group(1, place("leads"), j, _HELD))),
+        when(large + met + "leads > 0", over("leads", lambda i: group(1, i, place("met"), _MET))),
+        when(large + "not main and not strong and firm > 0", over("firm", lambda j: group(2, place("rest"), j, _HELD))),
+        when(large + "main and strong and rest > 0", over("rest", lambda i: group(2, i, place("firm"), _MET))),
+    )
+    placed = mixed.join(counts, "token").select("token", "cls", "label", "main", "strong", F.explode(groups).alias("g"))
+    return placed.select("token", "g.*", "cls", "label", "main", "strong")
+
+
+class Meeting:
+    """One group: the sets it holds, and those that meet them."""
+
+    def __init__(self, kind: int) -> None:
+        self.kind, self.held, self.sides = kind, [], None
+
+    def sides_of(self, make) -> tuple:
+        """The strong and the weak sets held, each as ``make`` has it."""
+        if self.sides is None:
+            self.sides = tuple(make([r for r in self.held if r["strong"] is x]) for x in (True, False))
+        return self.sides
+
+    def pairs(self, row: dict, like: int) -> Iterator[tuple[int, int]]:
+        """The pairs of ``row`` with the sets held; a pair that is met from both sides comes once.
+
+        A pair is left to the list before this one in which, as both sets name it, they meet too.
+        """
+        strong, weak = self.sides_of(Rest)
+        twice = not row["main"] and (self.kind == 0 or row["strong"])
+        before = {t for t in row["named"] if t < row["token"]}
+        for rest in (strong, weak) if row["strong"] else (strong,):
+            for r in rest.rows_near(row, like):
+                if r["cls"] != row["cls"] and not (twice and r["cls"] > row["cls"]) and before.isdisjoint(r["named"]):
+                    yield min(r["cls"], row["cls"]), max(r["cls"], row["cls"])
+
+
+def _groups(mixed: DataFrame, classes: DataFrame, block: int, among: bool, width: int) -> DataFrame:
+    """The rows of ``_dealt`` with sizes and signatures, group by group, those held first."""
+    dealt = _dealt(mixed, block, among)
+    named = F.array_sort(F.collect_set(F.when(F.col("strong"), F.col("token")))) if among else F.array().cast("array<long>")
+    own = mixed.groupBy("cls").agg(F.slice(named, 1, NAMED).alias("named"))
+    own = own.join(_narrowed(classes.join(own, "cls", "left_semi"), width), "cls")
+    return (
+        dealt.join(own, "cls")
+        .select("token", "kind", "i", "j", "role", "main", "strong", "cls", "label", "size", "bits", "named")
+        .repartition("token", "kind", "i", "j")
+        .sortWithinPartitions("token", "kind", "i", "j", F.desc("role"), "cls")
+    )
+
+
+def _meetings(batches) -> Iterator[tuple[Meeting, dict | None]]:
+    """Each group's sets that meet those it holds, and at its end None."""
+    key, meeting = None, None
+    for batch in batches:
+        for row in batch.to_pylist():
+            if (new := (row["token"], row["kind"], row["i"], row["j"])) != key:
+                if meeting:
+                    yield meeting, None
+                key, meeting = new, Meeting(row["kind"])
+            if row["role"] == _MET:
+                yield meeting, row
+            else:
+                meeting.held.append(row)
+    if meeting:
+        yield meeting, None
+
+
+def _to_nearest(mixed: DataFrame, classes: DataFrame, like: int, block: int = BLOCK_SETS) -> DataFrame:
     """Pairs (a, b) of each set outside its lists' largest components with the nearest inside.
 
     Each list offers the set whose folded signature differs least.
     """
-    lists = mixed.where("large").select("token", "main", "cls")
-    rows = (
-        lists.join(_narrowed(classes.join(lists.select("cls").distinct(), "cls", "left_semi")), "cls")
-        .select("token", "main", "cls", "size", "bits")
-        .repartition("token")
-        .sortWithinPartitions("token", "main", "cls")
-    )
+    rows = _groups(mixed.where("large"), classes, block, False, NARROW)
 
     def run(batches):
-        token, outside, nearest = None, [], None
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                if row["token"] != token:
-                    out += nearest.pairs() if nearest else []
-                    token, outside, nearest = row["token"], [], None
-                if not row["main"]:
-                    outside.append(row)
-                elif outside:
-                    nearest = nearest or Nearest(outside)
-                    nearest.meet(row, like)
-            yield _rows(out, _PAIR)
-        yield _rows(nearest.pairs() if nearest else [], _PAIR)
+        out = []
+        for meeting, row in _meetings(batches):
+            strong, weak = meeting.sides_of(Nearest)
+            if row:
+                strong.meet(row, like)
+                if row["strong"]:
+                    weak.meet(row, like)
+                continue
+            token = meeting.held[0]["token"] if meeting.held else None
+            out += [(token, *x) for side in (strong, weak) for x in side.offers()]
+            if len(out) >= _MANY:
+                yield _rows(out, _OFFER)
+                out = []
+        yield _rows(out, _OFFER)
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    offers = rows.mapInArrow(run, "token long, b long, a long, apart double")
+    return _ordered(offers.groupBy("token", "b").agg(F.min(F.struct("apart", "a"))["a"].alias("a")))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _between(mixed: DataFrame, classes: DataFrame, like: int) -> DataFrame:
+def _between(mixed: DataFrame, classes: DataFrame, like: int, block: int = BLOCK_SETS) -> DataFrame:
     """The pairs of sets in one list but in different components that may be linked.
 
-    A pair comes from the first list that holds both. A list's largest component meets only the
-    rest of it.
+    A list's largest component meets only the rest of it.
     """
-    mixed = mixed.drop("large")
-    in_lists = mixed.groupBy("cls").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
-    rows = (
-        mixed.join(in_lists.join(classes, "cls"), "cls")
-        .select("token", "main", "cls", "label", "size", "bits", "tokens")
-        .repartition("token")
-        .sortWithinPartitions("token", "main", "cls")
-    )
+    rows = _groups(mixed, classes, block, True, WIDE)
 
     def run(batches):
-        token, outside, rest = None, [], None
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                if row["token"] != token:
-                    out += _inside(token, outside, like) if rest is None else []
-                    token, outside, rest = row["token"], [], None
-                if not row["main"]:
-                    outside.append(row)
-                    continue
-                if rest is None:
-                    out += _inside(token, outside, like)
-                    rest = Rest(outside)
-                out += [x for r in rest.rows_near(row, like) if (x := _first_met(token, r, row))]
-            yield _rows(out, _PAIR)
-        yield _rows(_inside(token, outside, like) if rest is None else [], _PAIR)
+        out: set[tuple[int, int]] = set()
+        for meeting, row in _meetings(batches):
+            for one in [row] if row else [r for r in meeting.held if r["role"] == _BOTH]:
+                out.update(meeting.pairs(one, like))
+                if len(out) >= _MANY:
+                    yield _rows(list(out), _PAIR)
+                    out = set()
+        yield _rows(list(out), _PAIR)
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-
-def _inside(token: int, outside: list[dict], like: int) -> list[tuple[int, int]]:
-    """The pairs among the sets outside a list's largest component."""
-    if len(outside) < 2:
-        return []
-    rest = Rest(outside)
-    return [
-        x for row in outside for r in rest.rows_near(row, like) if r["cls"] < row["cls"] and (x := _first_met(token, r, row))
-    ]
-
-
-def _first_met(token: int, left: dict, right: dict) -> tuple[int, int] | None:
-    if left["label"] == right["label"]:
-        return None
-    theirs = set(right["tokens"])
-    if next(t for t in left["tokens"] if t in theirs) != token:
-        return None
-    return min(left["cls"], right["cls"]), max(left["cls"], right["cls"])
+_OFFER = pa.schema([("token", pa.int64()), ("b", pa.int64()), ("a", pa.int64()), ("apart", pa.float64())])
+#: Rows after which a batch is handed on.
+_MANY = 65536
 
 
 def jaccard_components(
-    docs: DataFrame, words: int = WORDS, like: int = LIKE, split_list: int = SPLIT_LIST
+    docs: DataFrame,
+    words: int = WORDS,
+    like: int = LIKE,
+    split_list: int = SPLIT_LIST,
+    block: int = BLOCK_SETS,
 ) -> DataFrame:
     """Every document's set size and component: (doc_id, n_shingles, component_id)."""
     spark = docs.sparkSession
@@ -608,7 +700,7 @@ def jaccard_components(
     found = stage.write(_read_lists(postings), "found")
     classes = classes.select("cls", "size", "bits", "doc_id")
     sketches = classes.drop("doc_id")
-    lists = found.where("token is not null").select("token", F.col("a").alias("cls")).distinct()
+    lists = found.where("token is not null").groupBy("token", F.col("a").alias("cls")).agg(F.max("strong").alias("strong"))
     firsts = found.where("token is not null").groupBy(F.col("a").alias("b"))
     pairs = _ordered(
         found.where("token is null").select("a", "b")
@@ -623,9 +715,9 @@ def jaccard_components(
     for step in ("largest", "nearest", "all"):
         mixed = _mixed_lists(lists, labels, stage)
         if step == "all":
-            more = _between(mixed, sketches, like)
+            more = _between(mixed, sketches, like, block)
         else:
-            more = _to_largest(mixed) if step == "largest" else _to_nearest(mixed, sketches, like)
+            more = _to_largest(mixed) if step == "largest" else _to_nearest(mixed, sketches, like, block)
             more = _not_ruled_out(more, sketches, like)
         more = stage.write(more.join(pairs, ["a", "b"], "left_anti"), "more")
         if not more.isEmpty():
