@@ -1,6 +1,6 @@
 import duckdb
 
-from tillwise.llm.licenses import KNOWN, known_digests, scan_licenses
+from tillwise.llm.licenses import KNOWN, TEXTS, known_digests, scan_licenses
 from tillwise.llm.oracles import ORACLES
 from tillwise.llm.queries import op1_licenses
 
@@ -34,3 +34,21 @@ def test_query_matches_its_sql(spark, frame, tmp_path):
         base = duckdb.connect()
         base.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}'")
         assert sorted(base.execute(ORACLES["op1_licenses"]).fetchall(), key=str) == got
+
+
+def test_whole_texts_with_and_without_title(spark, frame):
+    text = lambda name: (TEXTS / f"{name}.txt").read_text()
+    isc = next(x for name, x in KNOWN if name == "ISC")
+    bsd = text("BSD-3-Clause")
+    rows = {
+        "MIT": ["MIT License\n\nCopyright (c) 2020 Someone\n\n" + MIT, "The MIT License (MIT)\n\n" + MIT],
+        "ISC": ["ISC License\n\nCopyright (c) 2020, Someone\n\n" + isc],
+        "BSD-3-Clause": ["BSD 3-Clause License\n\nCopyright (c) 2020, Someone\nAll rights reserved.\n\n" + bsd,
+                         bsd.replace("HOLDER OR", "OWNER OR").replace("1. ", "- ").replace("2. ", "- ").replace("3. ", "- ")],
+        "Apache-2.0": [text("Apache-2.0"), text("Apache-2.0").split("APPENDIX")[0]],
+        "Unlicense": [text("Unlicense")], None: [bsd + " and more"],
+    }
+    rows |= {x: [text(x)] for x in ("BSD-2-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0")}
+    flat = [(name, x) for name, texts in rows.items() for x in texts]
+    found = scan_licenses(frame(list(enumerate(x for _, x in flat))), known_digests(spark)).collect()
+    assert {r.doc_id: r.licenses.whole_text for r in found} == dict(enumerate(name for name, _ in flat))

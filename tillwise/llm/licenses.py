@@ -12,6 +12,10 @@ alphabetical order.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,8 +33,8 @@ SPELLINGS = (
     ("wilful", "willful"), ("https", "http"),
 )
 
-#: Public licence texts and usual notices, without their copyright lines.
-KNOWN = (
+#: Two public licence texts and usual notices, without their copyright lines.
+NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\");"),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
@@ -65,6 +69,47 @@ PERFORMANCE OF THIS SOFTWARE."""),
     ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
 )
 
+#: Whole licence texts, a file each.
+TEXTS = Path(__file__).parent / "license_texts"
+
+#: Title lines that short licence texts come with.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "BSD 0-Clause License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License", "BSD 2-Clause \"Simplified\" License", "BSD License"),
+    "BSD-3-Clause": (
+        "BSD 3-Clause License", "The 3-Clause BSD License", "BSD 3-Clause \"New\" or \"Revised\" License", "BSD License",
+    ),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+    "Zlib": ("zlib License", "The zlib License"),
+}
+
+
+def _variants(name: str, text: str) -> Iterator[str]:
+    """The usual variants of a licence's whole text."""
+    forms = [text]
+    if name.startswith("BSD-"):
+        forms += [x.replace("THE COPYRIGHT HOLDER OR", "THE COPYRIGHT OWNER OR") for x in forms]
+        forms += [re.sub(r"(?m)^\d\. ", "* ", x) for x in forms]
+    if "END OF TERMS AND CONDITIONS" in text:  # the appendix on how to apply it is often left out
+        terms, mark, _ = text.partition("END OF TERMS AND CONDITIONS")
+        forms += [terms + mark, terms]
+    for form in forms:
+        yield form
+        yield from (f"{title}\n\n{form}" for title in TITLES.get(name, ()))
+
+
+def _whole_texts() -> Iterator[tuple[str, str]]:
+    short = [(name, text) for name, text in NOTICES if name in TITLES and "AS IS" in text]
+    files = [(p.stem, p.read_text(encoding="utf-8")) for p in sorted(TEXTS.glob("*.txt"))]
+    for name, text in short + files:
+        yield from ((name, form) for form in _variants(name, text))
+
+
+#: All that is looked up: the notices, and the whole texts with and without title lines.
+KNOWN = NOTICES + tuple(x for x in _whole_texts() if x not in NOTICES)
+
 _COPYRIGHT_LINE = "(^|\n)[ \t]*(copyright|\\(c\\)|©|all rights reserved)[^\n]*"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
