@@ -50,3 +50,18 @@ def test_each_stage_against_brute_force(spark, tmp_path):
 def test_run_ends_with_the_stages_rows(spark):
     rows = pipeline.run(spark, SAMPLE).collect()
     assert rows and len({r.doc_id for r in rows}) == len(rows)
+
+
+def test_one_row_of_each_group_stays(spark, frame):
+    words = [f"w{i}" for i in range(40)]
+    long, near = " ".join(words), " ".join([*words, "more"])
+    other = " ".join(f"x{i}" for i in range(30))
+    rows = [(1, long), (1, long), (2, near), (1, other), (3, other), (None, long), (None, other)]
+    rows += [(None, "quite another text of nine words and no more")] * 50 + [(7, "a b c"), (7, "A b  c"), (8, ""), (8, ""), (None, None)]
+    kept = pipeline.near_duplicate_stage(spark, frame(rows).repartition(3), SAMPLE)
+    assert kept.columns == frame(rows).columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    seven = next(x for i, x in got if i == 7)
+    assert seven in ("a b c", "A b  c")
+    wanted = [(1, long), (1, other), (None, rows[7][1]), (7, seven), (8, ""), (8, ""), (None, None)]
+    assert got == sorted(wanted, key=str)

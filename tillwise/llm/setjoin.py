@@ -737,11 +737,26 @@ def jaccard_components(
 
 
 def keep_one_of_each(docs: DataFrame, words: int = WORDS, like: int = LIKE) -> DataFrame:
-    """The documents whose id is their component's; those without an id or words all stay.
+    """One document of each group: the one with the smallest id, nulls last, then the smallest text.
 
-    Repeated rows of that id with one text count once.
+    Of rows equal in id and text one stays, chosen by its other columns. Documents without words
+    are linked with nothing and all stay.
     """
-    found = jaccard_components(docs.select("doc_id", "text"), words, like)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    return named.unionByName(docs.where("doc_id is null"))
+    stage = Stage(docs.sparkSession)
+    # one read decides the place of each row for both sides of the join
+    placed = stage.write(docs.withColumn("__place", F.monotonically_increasing_id()), "placed")
+    found = jaccard_components(placed.select(F.col("__place").alias("doc_id"), "text"), words, like)
+    groups = found.where("n_shingles > 0").select(F.col("doc_id").alias("__place"), F.col("component_id").alias("__group"))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.struct(
+        F.col("doc_id").isNull().alias("none"), "doc_id", F.sha2("text", 256).alias("text"),
+        F.xxhash64(*others).alias("others") if others else F.lit(0).alias("others"), "__place",
+    )
+    least = (
+        placed.select("__place", order.alias("__order"))
+        .join(groups, "__place")
+        .groupBy("__group").agg(F.min("__order")["__place"].alias("__place"))
+    )
+    wordless = found.where("n_shingles = 0").select(F.col("doc_id").alias("__place"))
+    stays = least.select("__place").union(wordless)
+    return placed.join(stays, "__place", "left_semi").select(docs.columns)
