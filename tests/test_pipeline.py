@@ -262,6 +262,13 @@ def test_dashboard_scopes(processed, chosen, orders, stock):
     assert board.summary.first()["active_filter_count"] == chosen.active_count
 
 
+def test_report_has_all_recommendations(spark, processed):
+    analytics = report_analytics(processed, "2025-01")
+    sections = report_sections(processed, analytics, summary_recommendations=0)
+    assert sections["summary_recommendations"].count() == 0
+    assert sections["recommendations"].count() == analytics.recommendations.count()
+
+
 def test_report_folders(spark, processed, tmp_path):
     analytics = report_analytics(processed, "2025-01")
     sections = report_sections(processed, analytics, include_returns=False)

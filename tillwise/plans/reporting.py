@@ -165,8 +165,12 @@ def report_sections(
     include_quality: bool = True,
     include_processed: bool = True,
     include_recommendations: bool = True,
+    summary_recommendations: int = 10,
 ) -> dict[str, DataFrame]:
-    """Section tables of a management report; ``previous`` holds the earlier sales lines."""
+    """Section tables of a management report; ``previous`` holds the earlier sales lines.
+
+    The summary shows so many recommendations; their own section has all of them.
+    """
     sales = analytics.sales
     daily = sales.daily
     if previous is not None:
@@ -188,7 +192,8 @@ def report_sections(
         sections["summary_targets"] = target_bands(achieved)
     if include_recommendations:
         sections["summary_alerts"] = priority_alerts(analytics.recommendations)
-        sections["summary_recommendations"] = analytics.recommendations.limit(10)
+        sections["summary_recommendations"] = analytics.recommendations.limit(summary_recommendations)
+        sections["recommendations"] = analytics.recommendations
     if include_inventory:
         sections["inventory"] = analytics.inventory
         sections["inventory_status"] = status_distribution(analytics.inventory)
