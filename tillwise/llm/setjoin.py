@@ -16,7 +16,8 @@ list's first and are kept (of these pairs each set verifies two). Pairs that bit
 cannot rule out are verified on whole sets, components are labelled, and the long lists that
 still hold several components are gone through again: first each set outside a list's largest
 component meets some inside, then the nearest, then all pairs between components are looked at. Sets that are equal are one class
-throughout. No list is cut short, and no list of n sets makes n * n rows.
+throughout. No list is cut short. The first reading of a list of n sets makes no n * n rows; when it
+is gone through again, strong sets of different components cost a row for each pair that signatures leave.
 
 Two linked sets meet in the list of their first common shingle, and what they share begins there.
 So the smaller one stands *strong* in it: what follows in its own order is enough for a link. Two
