@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import shutil
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import pytest
 
 import __spark_entry__ as spark_entry
+from oracles import oracle_queries
+from tillwise.plans.catalog import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -42,7 +48,20 @@ def test_query_equals_sql(spark, database, name):
 
 
 def test_every_query_has_sql():
-    assert set(spark_entry.queries()) == set(spark_entry.oracle_sql())
+    assert set(QUERIES) == set(oracle_queries())
+    assert set(spark_entry.oracle_sql()) <= set(spark_entry.queries())
+
+
+def test_entry_without_the_text_package(tmp_path):
+    top = Path(spark_entry.__file__).parent
+    for name in ("oracles", "tillwise"):
+        shutil.copytree(top / name, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    pipeline = top / "corpus_pipeline.py"
+    for path in (top / "__spark_entry__.py", *[pipeline] * pipeline.exists()):
+        shutil.copy(path, tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True)
+    assert out.stdout.split() == [str(len(QUERIES))] * 2
 
 
 def test_entry(spark):
