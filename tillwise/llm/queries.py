@@ -18,6 +18,7 @@ from tillwise.llm import (
     repeats,
     setjoin,
     warc,
+    whitening,
 )
 from tillwise.llm.frames import table
 
@@ -132,3 +133,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("contamination.items", ","), 256).alias("items_sha256"),
         decontamination.is_contaminated().alias("contaminated"),
     )
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every remaining vector's whitened components."""
+    vectors = table(spark, sf_dir, "embeddings")
+    model = whitening.fit(vectors)
+    return whitening.component_rows(whitening.add_whitened(vectors, model, keep=["vec_id"]), model)
