@@ -12,6 +12,7 @@ from tillwise.llm import (
     decontamination,
     fingerprints,
     language,
+    lexical,
     licenses,
     quality,
     records,
@@ -135,6 +136,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item's best documents."""
+    found = lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
 @query
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every remaining vector's whitened components."""
