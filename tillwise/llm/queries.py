@@ -14,6 +14,7 @@ from tillwise.llm import (
     language,
     lexical,
     licenses,
+    personal,
     quality,
     records,
     repeats,
@@ -149,3 +150,18 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     model = whitening.fit(vectors)
     return whitening.component_rows(whitening.add_whitened(vectors, model, keep=["vec_id"]), model)
+
+
+@query
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's spans of personal data."""
+    found = personal.find_personal_data(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    base, spans = F.col("personal.base"), F.col("personal.spans")
+    kinds = F.transform(base, lambda s: s["kind"])
+    count = {k: F.size(kinds) - F.size(F.array_remove(kinds, k)) for k in personal.KINDS}
+    return found.select(
+        "doc_id",
+        *[n.cast("long").alias(f"n_{k}") for k, n in count.items()],
+        F.sha2(personal.listed(base), 256).alias("base_sha256"),
+        personal.listed(spans).alias("spans"),
+    )
