@@ -32,8 +32,10 @@ WORD_PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
 
-#: Single words that a worker keeps beside its cache of pieces.
-WORDS_KEPT = 600_000
+#: Characters of the pieces that a worker keeps, 8 more for each: about 60 MB, as ids are packed.
+KEPT_CHARS = 5_000_000
+#: Short words without a space before them that a worker keeps.
+WORDS_KEPT = 20_000
 
 ENCODED = T.StructType(
     [
@@ -88,8 +90,9 @@ class BytePairs:
             if self.added
             else None
         )
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.later = Pieces(lambda piece: self.piece(spelled(piece)))
+        self.type = np.dtype("<u2" if top < 1 << 16 else "<u4")
+        self.words: dict[str, bytes] = {}
+        self.later = Pieces(lambda piece: self.piece(spelled(piece)), KEPT_CHARS)
 
     def merge(self, word: bytes) -> list[int]:
         """Merge one word's bytes into vocabulary ids."""
@@ -129,34 +132,48 @@ class BytePairs:
             return self.pattern.findall(text)
         return [text[a:b] for _, (a, b) in self.cutter.pre_tokenize_str(text)]
 
-    def piece(self, text: str) -> tuple[int, ...]:
-        return tuple(itertools.chain.from_iterable(map(self.word, self.cut_words(text))))
+    def pack(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.type).tobytes()
 
-    def word(self, word: str) -> tuple[int, ...]:
+    def piece(self, text: str) -> bytes:
+        """The packed ids of a text that holds no added token."""
+        words = self.cut_words(text)
+        if len(words) == 1:
+            return self.pack(self.merge(words[0].encode()))
+        return b"".join(map(self.word, words))
+
+    def word(self, word: str) -> bytes:
+        """One word of several; those after a space are pieces of their own."""
+        if word[0] == " " and len(word) > 1 and not word.isspace():
+            return self.later[word[1:]]
         ids = self.words.get(word)
         if ids is None:
-            ids = tuple(self.merge(word.encode()))
+            ids = self.pack(self.merge(word.encode()))
             if len(word) <= LONGEST_KEPT:
                 if len(self.words) >= WORDS_KEPT:
                     self.words.clear()
                 self.words[word] = ids
         return ids
 
-    def encode(self, text: str) -> list[int]:
-        """The ids of a whole text."""
+    def packed(self, text: str) -> bytes:
+        """The packed ids of a whole text."""
         pieces = cut(text, self.added)
         if pieces is not None:
             found = [self.piece(pieces[0])]
             found.extend(map(self.later.__getitem__, pieces[1:]))
             if None not in found:
-                return list(itertools.chain.from_iterable(found))
+                return b"".join(found)
         ids = []
         for part in self.split.split(text) if self.split else [text]:
             if part in self.added:
-                ids.append(self.added[part])
+                ids.append(self.pack([self.added[part]]))
             elif part:
-                ids.extend(self.piece(part))
-        return ids
+                ids.append(self.piece(part))
+        return b"".join(ids)
+
+    def encode(self, text: str) -> list[int]:
+        """The ids of a whole text."""
+        return np.frombuffer(self.packed(text), self.type).tolist()
 
     def decode(self, ids: list[int]) -> str:
         """Concatenate the ids' vocabulary strings."""
