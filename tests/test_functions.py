@@ -8,7 +8,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from tillwise.functions import dates, numeric, text
+from tillwise.functions import binding, dates, numeric, text
 
 
 def evaluate(spark, expression, value, data_type="string"):
@@ -131,3 +131,29 @@ def test_private_and_long_values(spark):
     )
     shown = [r["s"] for r in frame.select(text.safe_value(F.col("f"), F.col("v")).alias("s")).collect()]
     assert shown == ["[REDACTED]", "x" * 117 + "...", "<NA>"]
+
+
+@pytest.mark.parametrize(
+    "cell,day_first,month_first",
+    [
+        ("7/9/2031", "2031-09-07", "2031-07-09"), ("27/9/2031", "2031-09-27", None), ("2031/9/27", "2031-09-27", "2031-09-27"),
+        (" 27/9/2031", "2031-09-27", None), ("7/9/2031 ", "2031-09-07", "2031-07-09"), ("1/2/7/2031", None, None),
+        ("7 /9/2031", None, None), ("07.09.2031", "2031-09-07", "2031-07-09"), ("09-27-2031", "2031-09-27", "2031-09-27"),
+        ("2031-09-27", "2031-09-27", "2031-09-27"), ("2031-09-31", None, None), ("2031-09-27 23:59:01", "2031-09-27", "2031-09-27"),
+        ("2031-09-27 24:59:01", None, None), ("2031-09-27 soon", None, None), ("20310927", "2031-09-27", "2031-09-27"),
+    ],
+)
+def test_shapes_of_dates(spark, cell, day_first, month_first):
+    value = F.lit(cell)
+    row = spark.range(1).select(
+        dates.parse_text_date(value).cast("string").alias("a"), dates.parse_text_date(value, True).cast("string").alias("b")
+    ).first()
+    assert (row["a"], row["b"]) == (day_first, month_first)
+
+
+def test_intermediates_are_computed_once(spark):
+    named = binding.let(F.uuid(), lambda x: F.struct(x.alias("a"), x.alias("b")))
+    row = spark.range(1).select(named.alias("s")).first()["s"]
+    assert row["a"] == row["b"]
+    sums = binding.let_all(lambda x, y: x * y + x, x=F.col("id") + 2, y=F.lit(5))
+    assert spark.range(1).select(sums.alias("n")).first()["n"] == 12

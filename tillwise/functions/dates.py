@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tillwise.functions.binding import let, let_all
 from tillwise.functions.numeric import is_numeric
 from tillwise.functions.text import strip
 
@@ -40,22 +41,67 @@ _MONTH_FIRST_FORMS = (
 def parse_text_date(value: Column, month_first: bool = False, serials: bool = False) -> Column:
     """Calendar date of the listed text forms; any other text is null.
 
-    ISO and slash dates are read directly, the rarer forms by rewriting. ``serials`` also
-    reads whole or fractional numbers as spreadsheet day counts. It is off by default
-    because digits in a text cell are not a date.
+    The shape of a cell, its length and the marks at fixed places, chooses its parser: full ISO,
+    slash and dotted dates are cut at those places, other cells go by patterns and rewriting.
+    ``serials`` also reads whole or fractional numbers as spreadsheet day counts. It is off by
+    default because digits in a text cell are not a date.
     """
+    parsed = _shaped(value, month_first)
+    if serials:
+        text = strip(value)
+        number = F.when(text.rlike(r"^\d+(\.\d+)?$"), text.try_cast("double"))
+        parsed = F.coalesce(parse_serial(number), parsed)
+    return parsed
+
+
+def _shaped(value: Column, month_first: bool) -> Column:
+    """Cells by the places of their marks; those of other shapes by patterns."""
+    return let(value, lambda cell: _by_shape(cell, month_first))
+
+
+def _by_shape(cell: Column, month_first: bool) -> Column:
+    def at(place: int, size: int = 1) -> Column:
+        return F.substring(cell, place, size)
+
+    def joined(month: Column, day: Column) -> Column:
+        # A date may end in a blank when it is cast, so the day has to end in a digit.
+        text = F.concat(F.right(cell, F.lit(4)), F.lit("-"), month, F.lit("-"), day)
+        return F.when(F.right(day, F.lit(1)).between("0", "9"), text.try_cast("date"))
+
+    def slashed(first: Column, second: Column) -> Column:
+        usual = joined(first, second) if month_first else joined(second, first)
+        whole = size == F.length(first) + F.length(second) + 6
+        return F.when(whole & F.length(first).between(1, 2) & F.length(second).between(1, 2), usual)
+
+    def dotted(first: Column, second: Column) -> Column:
+        month, day = (first, second) if month_first else (second, first)
+        late = day.between("01", "12") & month.between("13", "31")
+        return F.when(month.between("01", "12"), joined(month, day)).when(late, joined(day, month))
+
+    size = F.length(cell)
+    head = F.substring_index(cell, "/", 2)
+    parts = {"first": F.substring_index(head, "/", 1), "second": F.substring_index(head, "/", -1)}
+    iso, ten = (at(5) == "-") & (at(8) == "-"), size == 10
+    digit_first = at(1).between("0", "9")
+    slashes = size.between(8, 10) & digit_first & (at(-5) == "/") & ((at(2) == "/") | (at(3) == "/"))
+    dots = ten & digit_first & at(3).isin("-", ".") & at(6).isin("-", ".")
+    return (
+        F.when(ten & iso, cell.try_cast("date"))
+        .when(slashes, let_all(slashed, **parts))
+        .when(dots, let_all(dotted, first=at(1, 2), second=at(4, 2)))
+        .when((size > 10) & iso, F.when(cell.rlike(_ISO), at(1, 10).try_cast("date")))
+        .otherwise(_patterned(cell, month_first))
+    )
+
+
+def _patterned(value: Column, month_first: bool) -> Column:
     iso = F.regexp_extract(value, _ISO, 1).try_cast("date")
     slash = F.regexp_replace(value, _SLASH, "$3-$1-$2" if month_first else "$3-$2-$1")
-    parsed = (
+    return (
         F.when(value.rlike(_ISO), iso)
         .when(value.rlike(_SLASH), slash.try_cast("date"))
         .otherwise(_rewritten(strip(value), month_first))
     )
-    if serials:
-        text = strip(value)
-        number = F.when(text.rlike(r"^\d+(\.\d+)?$"), text.try_cast("double"))
-        parsed = F.coalesce(parse_serial(number), parsed)
-    return parsed
 
 
 def _rewritten(text: Column, month_first: bool) -> Column:

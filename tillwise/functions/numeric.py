@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tillwise.functions.binding import let
 from tillwise.functions.text import strip
 
 # Widths leave room for price x quantity x discount without losing a digit:
@@ -31,10 +32,12 @@ _WIDE = "decimal(38,10)"
 def _localised(value: Column) -> Column:
     """Number text with one decimal point, empty when the cell is not a number.
 
-    Each step rewrites the text once, so the expression stays a short chain.
+    Each step rewrites the text once, so the expression stays a short chain. Separators of
+    thousands are looked for only where both kinds of separators stand.
     """
     text = F.regexp_replace(value, _NOISE, "")
-    text = F.translate(F.regexp_replace(text, _THOUSANDS, ""), ",", ".")
+    both = value.contains(".") & value.contains(",")
+    text = F.replace(F.when(both, F.regexp_replace(text, _THOUSANDS, "")).otherwise(text), F.lit(","), F.lit("."))
     return F.regexp_extract(text, _NUMBER_CELL, 1)
 
 
@@ -43,9 +46,17 @@ def scaled_number(value: Column) -> Column:
 
     Text that is already a plain number skips the rewriting.
     """
-    divisor = F.when(value.rlike(_PERCENT), 100).otherwise(1)
-    other = _localised(value).try_cast(_WIDE) / divisor
-    return F.when(value.rlike(_PLAIN_NUMBER), strip(value).try_cast(_WIDE)).otherwise(other)
+    return let(value, _scaled)
+
+
+def _scaled(value: Column) -> Column:
+    other = _localised(value).try_cast(_WIDE)
+    percent = value.contains("%") & value.rlike(_PERCENT)
+    return (
+        F.when(value.rlike(_PLAIN_NUMBER), strip(value).try_cast(_WIDE))
+        .when(percent, other / 100)
+        .otherwise(other)
+    )
 
 
 def parse_number(value: Column, data_type: str) -> Column:
@@ -64,7 +75,7 @@ def is_nan_text(value: Column) -> Column:
 
 
 def whole_number(number: Column) -> Column:
-    return F.when(number == F.floor(number), number.try_cast("bigint"))
+    return let(number, lambda n: F.when(n == F.floor(n), n.try_cast("bigint")))
 
 
 def parse_integer(value: Column) -> Column:
@@ -88,7 +99,7 @@ def strict_number(value: Column, data_type: str, whole: bool = False) -> Column:
     else:
         text = value.cast("string")
         number = F.when(text.rlike(_PLAIN_NUMBER), strip(text).try_cast("double"))
-    return F.when(number == F.floor(number), number) if whole else number
+    return let(number, lambda n: F.when(n == F.floor(n), n)) if whole else number
 
 
 def or_zero(value: Column, data_type: str) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tillwise.functions.binding import let
+
 # Spellings and the canonical name each one stands for.
 COUNTRY_NAMES = {
     "Cyprus": ["cy", "cyprus"],
@@ -58,34 +60,50 @@ _SPACES = (
 _SPACE = (
     r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
-# Printable ASCII words with single blanks between them need no rewriting.
-_TIDY = r"^[!-~]+(?: [!-~]+)*$"
+# Text without these, and without white space at its ends, needs no rewriting.
+_UNTIDY = r"[^ -~]|  "
+# Text without these has capitals only where a word begins.
+_INNER_CAPITAL = r"[^ A-Za-z][A-Za-z]|[^ -~]"
 
 
 def strip(value: Column) -> Column:
-    """Remove all leading and trailing white space, not only blanks."""
-    return F.btrim(value, F.lit(_SPACES))
+    """Remove all leading and trailing white space, not only blanks.
+
+    Text that begins and ends in printable ASCII has none.
+    """
+    return let(value, _stripped)
+
+
+def _stripped(text: Column) -> Column:
+    bare = F.left(text, F.lit(1)).between("!", "~") & F.right(text, F.lit(1)).between("!", "~")
+    return F.when(bare, text).otherwise(F.btrim(text, F.lit(_SPACES)))
 
 
 def clean_text(value: Column) -> Column:
     """Trimmed text; blank text becomes null."""
-    text = strip(value)
-    return F.when(text != "", text)
+    return let(strip(value), lambda text: F.when(text != "", text))
 
 
 def squeeze(value: Column) -> Column:
     """Trimmed text with each inner run of white space reduced to one blank."""
-    text = F.regexp_replace(strip(value), f"{_SPACE}+", " ")
-    return F.when(value.rlike(_TIDY), value).otherwise(F.when(text != "", text))
+    return let(strip(value), _squeezed)
+
+
+def _squeezed(text: Column) -> Column:
+    runs = F.when(text.rlike(_UNTIDY), F.regexp_replace(text, f"{_SPACE}+", " "))
+    return F.when(text != "", F.coalesce(runs, text))
 
 
 def title_case(value: Column) -> Column:
-    """Upper-case each letter that follows a non-letter, lower-case the others."""
+    """Upper-case each letter that follows a non-letter, lower-case the others.
+
+    Where letters follow only blanks and letters, that is what the built-in function does.
+    """
     words = F.split(F.lower(value), r"(?<=[^\p{L}])(?=\p{L})")
     capital = F.transform(
         words, lambda word: F.concat(F.upper(word.substr(1, 1)), F.substring(word, 2, 2147483647))
     )
-    return F.array_join(capital, "")
+    return F.when(value.rlike(_INNER_CAPITAL), F.array_join(capital, "")).otherwise(F.initcap(value))
 
 
 def _lookup(key: Column, names: Mapping[str, Iterable[str]]) -> Column:
@@ -94,8 +112,8 @@ def _lookup(key: Column, names: Mapping[str, Iterable[str]]) -> Column:
 
 
 def country_name(value: Column) -> Column:
-    text = squeeze(value)
-    return F.coalesce(_lookup(F.lower(text), COUNTRY_NAMES), title_case(text))
+    known = lambda text: F.coalesce(_lookup(F.lower(text), COUNTRY_NAMES), title_case(text))
+    return let(strip(value), lambda text: let(_squeezed(text), known))
 
 
 def currency_code(value: Column) -> Column:
@@ -103,13 +121,13 @@ def currency_code(value: Column) -> Column:
 
 
 def order_status(value: Column) -> Column:
-    text = squeeze(F.replace(F.lower(value), F.lit("_"), F.lit("-")))
-    return F.coalesce(_lookup(F.replace(text, F.lit("-"), F.lit(" ")), ORDER_STATUSES), text)
+    spelled = lambda text: _lookup(F.replace(text, F.lit("-"), F.lit(" ")), ORDER_STATUSES)
+    return let(squeeze(F.replace(F.lower(value), F.lit("_"), F.lit("-"))), lambda text: F.coalesce(spelled(text), text))
 
 
 def sales_channel(value: Column) -> Column:
     text = squeeze(F.replace(F.lower(value), F.lit("_"), F.lit(" ")))
-    return F.coalesce(_lookup(text, SALES_CHANNELS), text)
+    return let(text, lambda text: F.coalesce(_lookup(text, SALES_CHANNELS), text))
 
 
 def is_blank(value: Column) -> Column:

@@ -58,6 +58,7 @@ class Run:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark = spark
         self.sample = Sample(spark, folder)
+        self._raw: dict[str, DataFrame] = {}
 
     @cached_property
     def stage(self) -> Stage:
@@ -66,8 +67,16 @@ class Run:
     def clean(self, kind: str) -> DataFrame:
         return self.sample.clean(kind)
 
+    def raw(self, kind: str) -> DataFrame:
+        """A raw dataset, landed once: the sample's tables are too few files to be read in parallel."""
+        if kind not in self._raw:
+            tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            dealt = self.sample.raw(kind).repartition(tasks, "source_row_number")
+            self._raw[kind] = self.stage.write(dealt, f"raw-{kind}")
+        return self._raw[kind]
+
     def mapped(self, kind: str) -> DataFrame:
-        return processing.map_dataset(self.sample.raw(kind), kind, kind).frame
+        return processing.map_dataset(self.raw(kind), kind, kind).frame
 
     @cached_property
     def orders(self) -> DataFrame:
@@ -117,7 +126,7 @@ class Run:
     @cached_property
     def result(self) -> processing.ProcessingResult:
         return processing.process_datasets(
-            {kind: self.sample.raw(kind) for kind in KINDS},
+            {kind: self.raw(kind) for kind in KINDS},
             processing.PipelineOptions("USD", RATES),
             stage=Stage(self.spark),
         )
@@ -522,18 +531,13 @@ def product_velocity(run: Run) -> DataFrame:
 @query
 def revenue_cutoff(run: Run) -> DataFrame:
     velocity = Stage(run.spark).write(_velocity(run), "velocity")
-    cutoff = inventory.revenue_cutoff(velocity, 0.75)
-    return run.spark.createDataFrame([(cutoff,)], "cutoff decimal(38,12)")
+    return inventory.revenue_cutoff(velocity, 0.75)
 
 
 @query
 def inventory_period(run: Run) -> DataFrame:
     velocity = inventory.product_velocity(run.orders, None, None, None)
-    found = inventory.inventory_period(velocity, run.clean(INVENTORY))
-    return run.spark.createDataFrame(
-        [(found.start, found.end, found.as_of, found.days)],
-        "period_start date, period_end date, as_of_date date, period_days int",
-    )
+    return inventory.inventory_period(velocity, run.clean(INVENTORY))
 
 
 @query
@@ -850,7 +854,7 @@ def duplicated_rows(run: Run) -> DataFrame:
 @query
 def structural_issues(run: Run) -> DataFrame:
     """Raw returns read as orders: some required columns cannot be mapped."""
-    mapped = processing.map_dataset(run.sample.raw(RETURNS), ORDERS, "returns")
+    mapped = processing.map_dataset(run.raw(RETURNS), ORDERS, "returns")
     rows = mapped.frame.agg(F.count("*").alias("blocked_rows"))
     counted = issues.union_all(
         [
@@ -1023,7 +1027,7 @@ def report_inventory(run: Run) -> DataFrame:
 def _landed(run: Run, kind: str, columns: list[str]) -> str:
     """Write part of a raw table as semicolon CSV and return its folder."""
     folder = f"{Stage(run.spark).path}/{kind}.csv"
-    table = run.sample.raw(kind).select(*columns)
+    table = run.raw(kind).select(*columns)
     table.write.option("header", True).option("sep", ";").csv(folder)
     return folder
 
@@ -1103,7 +1107,7 @@ def load_sources(run: Run) -> DataFrame:
     folders = {}
     for kind in (PRODUCTS, INVENTORY, RETURNS, TARGETS):
         folders[kind] = f"{stage.path}/{kind}.parquet"
-        run.sample.raw(kind).write.parquet(folders[kind])
+        run.raw(kind).write.parquet(folders[kind])
     loaded = files.load_sources(
         run.spark, folders, {ORDERS: _landed_pages(run)}, allow_mixed=True
     )
