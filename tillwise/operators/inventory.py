@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tillwise.errors import ConfigError, RetailDataError
 from tillwise.functions.numeric import MONEY, PERCENT_OUT, WHOLE, or_zero
-from tillwise.operators.filters import Period, SalesFilters, filter_returns
+from tillwise.operators.filters import SalesFilters, filter_returns
 from tillwise.operators.quantile import exact_quantile
 from tillwise.operators.sales import sales_lines
 from tillwise.staging import Stage
@@ -111,40 +111,36 @@ def product_velocity(
     )
 
 
-@dataclass(frozen=True)
-class InventoryPeriod:
-    start: date | None
-    end: date | None
-    as_of: date
-    days: int
-
-
 def inventory_period(
     velocity: DataFrame,
     inventory: DataFrame,
     start: date | None = None,
     end: date | None = None,
     as_of: date | None = None,
-) -> InventoryPeriod:
-    """Given dates, else the bounds of the sales; as of the last day known anywhere."""
-    if start is None or end is None:
-        bounds = velocity.agg(F.min("first_day").alias("low"), F.max("last_day").alias("high"))
-        row = bounds.first()
-        start = start if start is not None else row["low"]
-        end = end if end is not None else row["high"]
-    if as_of is None:
-        known = [end] if end is not None else []
-        if "last_restock_date" in inventory.columns:
-            restock = F.max(F.col("last_restock_date").cast("date")).alias("day")
-            latest = inventory.agg(restock).first()["day"]
-            known += [latest] if latest is not None else []
-        as_of = max(known, default=date(1970, 1, 1))
-    return InventoryPeriod(start, end, as_of, Period(start, end).days)
-
-
-def revenue_cutoff(velocity: DataFrame, share: float) -> Decimal:
-    """Revenue above which a product counts as high-revenue, over positive revenues."""
-    return exact_quantile(velocity.filter("net_revenue > 0"), "net_revenue", share) or Decimal(0)
+) -> DataFrame:
+    """One row: given dates, else the bounds of the sales; as of the last day known anywhere."""
+    bounds = velocity.agg(
+        (F.min("first_day") if start is None else _day(start)).alias("period_start"),
+        (F.max("last_day") if end is None else _day(end)).alias("period_end"),
+    )
+    latest = F.lit(None).cast("date")
+    if as_of is None and "last_restock_date" in inventory.columns:
+        latest = inventory.select(F.max(F.col("last_restock_date").cast("date"))).scalar()
+    known = F.coalesce(F.greatest("period_end", latest), F.lit("1970-01-01").cast("date"))
+    days = F.greatest(F.lit(1), F.datediff("period_end", "period_start") + 1)
+    closed = F.col("period_start").isNotNull() & F.col("period_end").isNotNull()
+    return bounds.select(
+        "period_start",
+        "period_end",
+        (known if as_of is None else _day(as_of)).alias("as_of_date"),
+        F.when(closed, days).otherwise(1).cast("int").alias("period_days"),
+    )
+
+
+def revenue_cutoff(velocity: DataFrame, share: float, stage: Stage | None = None) -> DataFrame:
+    """One row: the revenue from which a product counts as high-revenue, over positive revenues."""
+    found = exact_quantile(velocity.filter("net_revenue > 0"), "net_revenue", share, "cutoff", stage)
+    return found.select(F.coalesce("cutoff", F.lit(0).cast("decimal(38,12)")).alias("cutoff"))
 
 
 def _day(value: date | None) -> Column:
@@ -179,7 +175,8 @@ def inventory_metrics(
     if stage is not None:
         velocity = stage.write(velocity, name)
     period = inventory_period(velocity, inventory, as_date(start), as_date(end), as_date(as_of))
-    cutoff = revenue_cutoff(velocity, limits.high_revenue_percentile)
+    cutoff = revenue_cutoff(velocity, limits.high_revenue_percentile, stage)
+    facts = period.withColumn("cutoff", cutoff.scalar())
 
     def optional(column: str, data_type: str) -> Column:
         present = column in inventory.columns
@@ -202,6 +199,8 @@ def inventory_metrics(
     ).withColumn("available_stock", F.col("stock_quantity") - F.col("reserved_quantity"))
     joined = stock.join(velocity.drop("first_day", "last_day"), "product_id", "left").withColumns(
         {
+            # One row of facts, computed once and read by every row.
+            "_facts": facts.select(F.struct(*facts.columns)).scalar(),
             "units_sold": F.coalesce("units_sold", F.lit(0)),
             "returned_quantity": F.coalesce("returned_quantity", F.lit(0)),
             "net_revenue": or_zero(F.col("net_revenue"), "decimal(38,12)"),
@@ -209,7 +208,7 @@ def inventory_metrics(
     )
 
     available, units = F.col("available_stock"), F.col("units_sold")
-    days, whole_units = F.lit(period.days), units.cast(WHOLE)
+    days, whole_units = F.col("_facts.period_days"), units.cast(WHOLE)
     some_units = F.when(units != 0, whole_units)
     day_count = days.cast("decimal(9,0)")
     # Coverage is available / (units / days); comparing products instead of quotients keeps
@@ -247,9 +246,9 @@ def inventory_metrics(
         (available <= F.col("reorder_level")).alias("reorder_alert"),
         reorder.alias("suggested_reorder_quantity"),
         "last_sale_date",
-        F.datediff(_day(period.as_of), "last_sale_date").alias("days_since_last_sale"),
+        F.datediff(F.col("_facts.as_of_date"), "last_sale_date").alias("days_since_last_sale"),
         "last_restock_date",
-        F.datediff(_day(period.as_of), "last_restock_date").alias("days_since_last_restock"),
+        F.datediff(F.col("_facts.as_of_date"), "last_restock_date").alias("days_since_last_restock"),
         status.alias("inventory_status"),
         "units_sold",
         "net_revenue",
@@ -261,12 +260,12 @@ def inventory_metrics(
         .alias("catalogue_data_missing"),
         (
             (F.col("net_revenue") > 0)
-            & (F.col("net_revenue") >= F.lit(cutoff).cast("decimal(38,12)"))
+            & (F.col("net_revenue") >= F.col("_facts.cutoff"))
         ).alias("is_high_revenue"),
-        _day(period.start).alias("period_start"),
-        _day(period.end).alias("period_end"),
-        days.alias("period_days"),
-        _day(period.as_of).alias("as_of_date"),
+        F.col("_facts.period_start").alias("period_start"),
+        F.col("_facts.period_end").alias("period_end"),
+        F.col("_facts.period_days").alias("period_days"),
+        F.col("_facts.as_of_date").alias("as_of_date"),
     )
 
 

@@ -4,67 +4,50 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_ACCURACY = 10_000
-# Distinct values the driver may look at once a rank has been bracketed.
-_LOOK_AT = 50_000
+from tillwise.operators.prefix import running_totals
+from tillwise.staging import Stage
 
+_VALUE = "decimal(38,12)"
 
-def exact_quantile(frame: DataFrame, column: str, share: float) -> Decimal | None:
-    """Quantile with linear interpolation between neighbours, as one scalar.
-
-    The built-in exact aggregate keeps every distinct value in one buffer. Here a sketch
-    brackets the wanted rank, one aggregate counts what lies below the bracket, and the
-    search goes on inside it, which shrinks the candidates over a thousandfold per step.
-    """
-    values = frame.select(F.col(column).alias("v")).filter("v is not null")
-    count = values.count()
-    if not count:
-        return None
-    position = Decimal(str(share)) * (count - 1)
-    rank = int(position)
-    low = _value_at(values, rank, count)
-    if position == rank:
-        return low
-    after = values.agg(
-        F.count_if(F.col("v") <= F.lit(low)).alias("up_to"),
-        F.min(F.when(F.col("v") > F.lit(low), F.col("v"))).alias("next"),
-    ).first()
-    high = low if rank + 1 < after["up_to"] else Decimal(after["next"])
-    return low + (high - low) * (position - rank)
 
+def exact_quantile(
+    frame: DataFrame, column: str, share: float, name: str = "quantile", stage: Stage | None = None
+) -> DataFrame:
+    """One row with the quantile, interpolated between neighbours; null if there are no values.
 
-def _value_at(values: DataFrame, rank: int, count: int) -> Decimal:
-    """Value at a zero-based rank of the sorted column."""
-    inside, margin = values, 3 / _ACCURACY
-    while count > _LOOK_AT and margin < 1:
-        share = rank / (count - 1)
-        cut = inside.agg(
-            F.percentile_approx(
-                "v", [max(0.0, share - margin), min(1.0, share + margin)], _ACCURACY
-            ).alias("cut")
-        ).first()["cut"]
-        low, high = F.lit(cut[0]), F.lit(cut[1])
-        counts = inside.agg(
-            F.count_if(F.col("v") < low).alias("below"),
-            F.count_if(F.col("v") <= high).alias("up_to"),
-        ).first()
-        below, kept = counts["below"], counts["up_to"] - counts["below"]
-        if not below <= rank < counts["up_to"] or kept == count:
-            margin *= 10
-            continue
-        if cut[0] == cut[1]:
-            return Decimal(cut[0])
-        inside = inside.filter((F.col("v") >= low) & (F.col("v") <= high))
-        rank, count = rank - below, kept
-    seen = 0
-    # Repeated values are counted, so a frequent value is still one row here.
-    ranked = inside.groupBy("v").agg(F.count("*").alias("copies")).orderBy("v")
-    rows = ranked.collect() if count <= _LOOK_AT else ranked.toLocalIterator()
-    for row in rows:
-        seen += row["copies"]
-        if rank < seen:
-            return Decimal(row["v"])
-    raise ValueError("The rank lies outside the column.")
+    Values are counted first, so a frequent value is a single row. The counted values are dealt
+    out by ranges whose borders come from a sample; running totals over the ranges tell which
+    ranks each value holds, and the two wanted ranks are looked up in the ranges that hold them.
+    Nothing passes through the driver, and no task sees more than a range.
+    """
+    if not 0 <= share <= 1:
+        raise ValueError(f"A quantile's share must be between zero and one, not {share}.")
+    stage = stage or Stage(frame.sparkSession)
+    counted = (
+        frame.select(F.col(column).cast(_VALUE).alias("value"))
+        .filter("value is not null")
+        .groupBy("value")
+        .agg(F.count("*").alias("copies"))
+    )
+    placed = stage.write(running_totals(counted, ["value"], "before", "copies", stage=stage), "ranks")
+    total = placed.select(F.sum("copies")).scalar()
+    position = F.lit(Decimal(str(share))) * (total - 1)
+    rank = F.floor(position).cast("bigint")
+
+    def holds(wanted: Column) -> Column:
+        return (F.col("before") <= wanted) & (wanted < F.col("before") + F.col("copies"))
+
+    near = placed.withColumns({"rank": rank, "rest": (position - rank).cast("decimal(18,17)")}).filter(
+        holds(F.col("rank")) | holds(F.col("rank") + 1)
+    )
+    ends = near.agg(
+        F.min(F.when(holds(F.col("rank")), F.col("value"))).alias("low"),
+        F.min(F.when(holds(F.col("rank") + 1), F.col("value"))).alias("high"),
+        F.min("rest").alias("rest"),
+    )
+    step = F.coalesce(F.col("high") - F.col("low"), F.lit(0)).cast("decimal(30,12)")
+    # The share of a step is rounded once, at the values' own scale.
+    return ends.select((F.col("low") + (step * F.col("rest")).cast("decimal(30,12)")).cast(_VALUE).alias(name))
