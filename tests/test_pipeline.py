@@ -9,7 +9,7 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
-from tillwise.errors import GateError, ReportError, RetailDataError
+from tillwise.errors import ConfigError, GateError, ReportError, RetailDataError
 from tillwise.operators import quality
 from tillwise.operators.filters import DashboardFilters, filter_options
 from tillwise.operators.issues import ISSUE_SCHEMA
@@ -331,6 +331,11 @@ def test_run_numbers_over_busy_seconds(spark):
     ids = {r["n"]: r["run_id"] for r in assign_run_ids(frame, tie=["n"]).collect()}
     assert ids[0] == "RUN-20250101-001" and ids[1499] == "RUN-20250101-1500"
     assert len(set(ids.values())) == 1500
+    # Without a column that tells them apart, requests of one instant still get numbers of their own.
+    same = spark.range(300).select(F.lit(datetime(2025, 1, 1)).alias("started_at")).repartition(5)
+    assert {r["run_id"] for r in assign_run_ids(same).collect()} == {f"RUN-20250101-{n:03d}" for n in range(1, 301)}
+    with pytest.raises(ConfigError):
+        list_runs(same, limit=0)
 
 
 def test_report_generation_is_recorded(spark, table, tmp_path):

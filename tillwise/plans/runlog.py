@@ -12,7 +12,7 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tillwise.errors import RetailDataError
+from tillwise.errors import ConfigError, RetailDataError
 from tillwise.functions.text import (
     base_name,
     duration_label,
@@ -20,6 +20,8 @@ from tillwise.functions.text import (
     safe_settings,
 )
 from tillwise.operators.issues import union_all
+from tillwise.operators.prefix import row_numbers
+from tillwise.staging import Stage
 
 # Run states.
 PENDING, RUNNING, COMPLETED = "Pending", "Running", "Completed"
@@ -36,33 +38,23 @@ RUN_SCHEMA = (
 
 
 def assign_run_ids(
-    requests: DataFrame, existing: DataFrame | None = None, tie: Sequence[str] = ()
+    requests: DataFrame,
+    existing: DataFrame | None = None,
+    tie: Sequence[str] = (),
+    stage: Stage | None = None,
 ) -> DataFrame:
     """Add ``run_id`` as ``RUN-yyyyMMdd-NNN``, counting on from the ids of that day.
 
-    A day is numbered second by second: the seconds of a day (a bounded number) get their
-    offsets from counts, and only rows of the same second are ranked against each other.
+    Requests are numbered by day in the order of their start and of the columns in ``tie`` (without
+    any, requests of one instant are numbered as they are read). The day is dealt out by ranges of
+    that order, so requests that all start in one second still spread over tasks.
     """
-    second = F.date_trunc("second", "started_at")
-    timed = requests.withColumns(
-        {"_day": F.date_format("started_at", "yyyyMMdd"), "_second": second}
-    )
-    earlier = Window.partitionBy("_day").orderBy("_second").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    offsets = (
-        timed.groupBy("_day", "_second")
-        .agg(F.count("*").alias("_runs"))
-        .select(
-            "_day",
-            "_second",
-            F.coalesce(F.sum("_runs").over(earlier), F.lit(0)).alias("_before"),
-        )
-    )
-    within = Window.partitionBy("_day", "_second").orderBy("started_at", *tie)
-    numbered = timed.withColumn("_rank", F.row_number().over(within)).join(
-        offsets, ["_day", "_second"]
-    )
+    order = ["started_at", *tie]
+    timed = requests.withColumn("_day", F.date_format("started_at", "yyyyMMdd"))
+    if not tie:
+        timed = timed.withColumn("_place", F.monotonically_increasing_id())
+        order.append("_place")
+    numbered = row_numbers(timed, order, "_number", ["_day"], stage)
     if existing is None:
         numbered = numbered.withColumn("_used", F.lit(0))
     else:
@@ -70,10 +62,10 @@ def assign_run_ids(
             F.max(F.substring_index("run_id", "-", -1).cast("int")).alias("_used")
         )
         numbered = numbered.join(used, "_day", "left")
-    number = F.coalesce("_used", F.lit(0)) + F.col("_before") + F.col("_rank")
+    number = F.coalesce("_used", F.lit(0)) + F.col("_number")
     return numbered.withColumn(
         "run_id", F.concat(F.lit("RUN-"), F.col("_day"), F.lit("-"), F.format_string("%03d", number))
-    ).drop("_day", "_second", "_rank", "_before", "_used")
+    ).drop("_day", "_place", "_number", "_used")
 
 
 def latest_runs(log: DataFrame) -> DataFrame:
