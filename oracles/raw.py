@@ -773,9 +773,13 @@ add(
 )
 
 # Sources and the run log.
+_RETURN_COLUMNS = '"RMA", "Order Reference", "Article", "Returned On", "Qty", "Refund"'
+add("read_csv_source", f'select {_RETURN_COLUMNS}, "Reason" from returns_raw')
+add("read_mixed_csv", f"""select {_RETURN_COLUMNS}, "Reason" || ' é' as "Reason" from returns_raw""")
 add(
-    "read_csv_source",
-    """select "RMA", "Order Reference", "Qty", "Refund" from returns_raw""",
+    "mixed_row_numbers",
+    """select cast(source_row_number % 3 as varchar) as folder, count(*)::bigint as rows, true as dense
+    from returns_raw group by 1""",
 )
 add(
     "with_trace",
@@ -784,9 +788,11 @@ add(
 )
 add(
     "source_profile",
-    """select 'returns' as dataset, 'csv' as file_type, 4 as column_count,
-    'RMA, Order Reference, Qty, Refund' as columns, ';' as detected_delimiter,
-    'UTF-8' as detected_encoding, count(*)::bigint as row_count from returns_raw""",
+    """select 'returns' as dataset, 'csv' as file_type, 7 as column_count,
+    'RMA, Order Reference, Article, Returned On, Qty, Refund, Reason' as columns,
+    case source_row_number % 3 when 0 then ';' when 1 then ',' else chr(9) end as detected_delimiter,
+    case source_row_number % 3 when 0 then 'UTF-8' when 1 then 'cp1252' else 'UTF-16' end as detected_encoding,
+    count(*)::bigint as row_count, true as sized from returns_raw group by all""",
 )
 add(
     "load_sources",

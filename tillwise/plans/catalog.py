@@ -1024,18 +1024,60 @@ def report_inventory(run: Run) -> DataFrame:
 # Sources, sinks, and the run log --------------------------------------------------------
 
 
-def _landed(run: Run, kind: str, columns: list[str]) -> str:
-    """Write part of a raw table as semicolon CSV and return its folder."""
+def _landed(run: Run, kind: str) -> str:
+    """Write a raw table's data columns as semicolon CSV and return its folder."""
     folder = f"{Stage(run.spark).path}/{kind}.csv"
-    table = run.raw(kind).select(*columns)
-    table.write.option("header", True).option("sep", ";").csv(folder)
+    table = run.raw(kind).drop("source_row_number", *TRACE)
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    table.write.options(header=True, sep=";", **kept).csv(folder)
     return folder
 
 
+def _landed_in_dialects(run: Run) -> str:
+    """Write the raw returns in three ways, a folder each, with accents, short rows and ``n/a`` cells."""
+    root = f"{Stage(run.spark).path}/returns.csv"
+    table = run.raw(RETURNS)
+    names = [c for c in table.columns if c not in ("source_row_number", *TRACE)]
+    accented = table.withColumn("Reason", F.concat("Reason", F.lit(" é")))
+    raw = {"quote": "", "sep": "\u0001", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    for part, (sep, encoding) in enumerate(((";", "UTF-8"), (",", "ISO-8859-1"), ("\t", "UTF-16"))):
+        cells = [
+            F.when(F.col(n).isNull(), F.lit("n/a"))
+            .when(F.col(n).contains(sep), F.concat(F.lit('"'), n, F.lit('"')))
+            .otherwise(F.col(n))
+            for n in names
+        ]
+        short = F.concat_ws(sep, *cells[:-1])
+        line = F.when(F.col("Reason").isNull(), short).otherwise(F.concat_ws(sep, *cells))
+        rows = accented.filter(F.col("source_row_number") % 3 == part)
+        written = rows.select(line.alias(sep.join(names)))
+        written.write.options(header=True, encoding=encoding, **raw).csv(f"{root}/{part}")
+    return root
+
+
 @query
 def read_csv_source(run: Run) -> DataFrame:
-    folder = _landed(run, RETURNS, ["RMA", "Order Reference", "Qty", "Refund"])
-    return files.read_csv_source(run.spark, folder).frame
+    return files.read_csv_source(run.spark, _landed(run, RETURNS)).frame
+
+
+@query
+def read_mixed_csv(run: Run) -> DataFrame:
+    """Files in three encodings with three delimiters, short rows and spelled-out nulls."""
+    return files.load_source(run.spark, _landed_in_dialects(run)).frame
+
+
+@query
+def mixed_row_numbers(run: Run) -> DataFrame:
+    """Rows of files in several dialects, numbered per file: totals, and whether numbers have gaps."""
+    source = files.load_source(run.spark, _landed_in_dialects(run))
+    per_file = files.traced(source, Stage(run.spark)).groupBy("source_file").agg(
+        F.count("*").alias("rows"),
+        F.countDistinct("source_row_number").alias("numbers"),
+        F.max("source_row_number").alias("high"),
+    )
+    dense = (F.col("numbers") == F.col("rows")) & (F.col("high") == F.col("rows") + 1)
+    folder = F.substring_index("source_file", "/", 1).alias("folder")
+    return per_file.groupBy(folder).agg(F.sum("rows").alias("rows"), F.bool_and(dense).alias("dense"))
 
 
 @query
@@ -1062,11 +1104,10 @@ def with_trace(run: Run) -> DataFrame:
 
 @query
 def source_profile(run: Run) -> DataFrame:
-    folder = _landed(run, RETURNS, ["RMA", "Order Reference", "Qty", "Refund"])
-    profile = files.source_profile(files.load_source(run.spark, folder), RETURNS)
+    profile = files.source_profile(files.load_source(run.spark, _landed_in_dialects(run)), RETURNS)
     return profile.groupBy("dataset", "file_type", "column_count", "columns",
                            "detected_delimiter", "detected_encoding").agg(
-        F.sum("row_count").alias("row_count")
+        F.sum("row_count").alias("row_count"), F.bool_and(F.col("file_size") > 0).alias("sized")
     )
 
 

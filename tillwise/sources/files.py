@@ -3,31 +3,44 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillwise.errors import ConfigError, RetailDataError, SourceError
+from tillwise.operators.issues import union_all
+from tillwise.sources.dialects import Dialect, literal_paths, marks, read_dialects
 from tillwise.sources.pages import read_api_pages
 from tillwise.sources.schemas import KINDS, TARGETS, TRACE_COLUMNS, dataset_kind
 from tillwise.staging import Stage
 
-DELIMITERS = (",", ";", "\t", "|")
-_SAMPLE_BYTES = 16_384
-_FIELD_WITH_QUOTES = re.compile(r'"(?:[^"]|"")*"')
+# Cells that read as missing.
+NULL_SPELLINGS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
+    "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+
+#: Where the reader keeps a record whose number of fields is not the heading's.
+CORRUPT = "_corrupt_record"
 
 
 @dataclass(frozen=True)
 class Source:
-    """A read table with the facts that were needed to read it."""
+    """A read table with the facts that were needed to read it.
+
+    Where files are read in several ways, ``parts`` has a source for each, and the table is their
+    union; delimiter and encoding are then known for the parts alone.
+    """
 
     frame: DataFrame
     file_type: str
     delimiter: str | None = None
     encoding: str | None = None
     root: str | None = None
+    parts: tuple[Source, ...] = ()
 
 
 def file_below(root: str | None) -> Column:
@@ -36,7 +49,7 @@ def file_below(root: str | None) -> Column:
     Files in different folders of one source may have equal names, so a source that has
     subfolders needs its root here for its rows to be told apart.
     """
-    name, path = F.col("_metadata.file_name"), F.col("_metadata.file_path")
+    name, path = (_decoded(F.col(f"_metadata.{x}")) for x in ("file_name", "file_path"))
     if root is None:
         return name
     folder = "/" + re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "", root).strip("/")
@@ -45,54 +58,10 @@ def file_below(root: str | None) -> Column:
     return F.when(path.endswith(folder), name).when(at > 0, below).otherwise(path)
 
 
-def _head(spark: SparkSession, path: str) -> bytes:
-    """First bytes of the first non-empty file below ``path``; nothing else is read."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.exists(hadoop_path):
-        raise SourceError(f"The source '{path}' does not exist.")
-    root = system.getFileStatus(hadoop_path).getPath().toString()
-    found = ""
-    listed = system.listFiles(hadoop_path, True)
-    while listed.hasNext():
-        status = listed.next()
-        name = status.getPath().toString()
-        below = name[len(root) :].strip("/").split("/")
-        hidden = any(part.startswith(("_", ".")) for part in below)
-        if status.getLen() > 0 and not hidden and (not found or name < found):
-            found = name
-    if not found:
-        raise SourceError(f"The source '{path}' is empty.")
-    stream = system.open(spark._jvm.org.apache.hadoop.fs.Path(found))
-    try:
-        return bytes(stream.readNBytes(_SAMPLE_BYTES))
-    finally:
-        stream.close()
-
-
-def detect_encoding(sample: bytes) -> str:
-    """Encoding by byte-order mark, else UTF-8 unless the sample cannot be UTF-8."""
-    if sample.startswith((b"\xff\xfe", b"\xfe\xff")):
-        return "UTF-16"
-    try:
-        # A multi-byte character may be cut at the end of the sample.
-        sample[: len(sample) - 3].decode("utf-8") if len(sample) > 3 else sample.decode("utf-8")
-    except UnicodeDecodeError:
-        return "cp1252"
-    return "UTF-8"
-
-
-def detect_delimiter(sample: str) -> str:
-    """Candidate that occurs equally often, and most often, on the sampled lines."""
-    lines = [_FIELD_WITH_QUOTES.sub("", line) for line in sample.splitlines()]
-    lines = [line for line in lines if line.strip()][:-1] or lines[:1]
-    steady = {
-        mark: lines[0].count(mark)
-        for mark in DELIMITERS
-        if lines and len({line.count(mark) for line in lines}) == 1
-    }
-    best = max(steady, key=steady.get, default=",")
-    return best if steady.get(best) else ","
+def _decoded(path: Column) -> Column:
+    """A path of a row's file as it is written in a file listing."""
+    escaped = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.when(path.contains("%"), escaped).otherwise(path)
 
 
 def _read_cp1252(frame: DataFrame) -> DataFrame:
@@ -113,63 +82,104 @@ def _read_cp1252(frame: DataFrame) -> DataFrame:
     )
 
 
-def _encoding_of_all(spark: SparkSession, path: str, first: str) -> str:
-    """The encoding of every line of a source, of which ``first`` is what its start looks like.
-
-    UTF-16 is known by its mark. Anything else is UTF-8 if all lines are, and Windows-1252 if
-    every file with characters beyond ASCII has lines that are not; a source that mixes the two
-    is refused, since either reading would damage some of it.
-    """
-    if first == "UTF-16":
-        return first
-    lines = spark.read.option("recursiveFileLookup", True).text(path)
-    files = lines.groupBy(F.col("_metadata.file_path").alias("file")).agg(
-        F.min(F.is_valid_utf8("value")).alias("valid"),
-        F.max(F.octet_length("value") > F.length("value")).alias("wide"),
-    )
-    found = files.agg(
-        F.max(~F.col("valid")).alias("broken"), F.max(F.col("valid") & F.col("wide")).alias("whole")
-    ).first()
-    if not found["broken"]:
-        return "UTF-8"
-    if found["whole"]:
-        raise SourceError(f"The files of '{path}' are in different encodings; read them one by one.")
-    return "cp1252"
-
-
 def read_csv_source(
     spark: SparkSession,
     path: str,
     encoding: str | None = None,
     delimiter: str | None = None,
     multi_line: bool = False,
+    nulls: Sequence[str] = NULL_SPELLINGS,
 ) -> Source:
-    """Read CSV with every column as text; a malformed row fails the job.
-
-    ``multi_line`` allows line breaks inside quotes, at the price of one task per file.
-    UTF-16 needs it as well, because its line ends are not single bytes.
+    """Read CSV with every column as text, each file in its own encoding and with its delimiter.
+
+    Files that are read alike are read together; tables with other headings are put together by
+    column names, where a column that a file lacks is null. A row with fewer fields than the
+    heading is filled up with nulls; one with more fails the job and names its file (see
+    :func:`long_rows` for its number). Cells spelled as one of ``nulls`` are null. ``multi_line``
+    allows line breaks inside quotes, at the price of one task per file. UTF-16 needs it as well,
+    because its line ends are not single bytes.
     """
-    sample = _head(spark, path)
-    if not sample.strip():
-        raise SourceError(f"The source '{path}' is empty.")
-    chosen_encoding = encoding or _encoding_of_all(spark, path, detect_encoding(sample))
-    mark = delimiter or detect_delimiter(sample.decode(chosen_encoding, errors="replace"))
-    windows = chosen_encoding.lower() in ("cp1252", "windows-1252")
-    wide = chosen_encoding.lower().startswith(("utf-16", "utf-32"))
-    frame = (
+    found = read_dialects(spark, path, encoding, delimiter)
+    parts = tuple(_read_dialect(spark, path, d, len(found) == 1, multi_line, nulls) for d in found)
+    if len(parts) == 1:
+        return parts[0]
+    frame = parts[0].frame
+    for part in parts[1:]:
+        frame = frame.unionByName(part.frame, allowMissingColumns=True)
+    same = lambda values: values.pop() if len(values) == 1 else None
+    return Source(
+        frame, "csv", same({p.delimiter for p in parts}), same({p.encoding for p in parts}), path, parts
+    )
+
+
+def _read_dialect(
+    spark: SparkSession, path: str, dialect: Dialect, alone: bool, multi_line: bool, nulls: Sequence[str]
+) -> Source:
+    checked, own = _read_checked(spark, path, dialect, alone, multi_line)
+    names = [n for n in checked.columns if n != CORRUPT]
+    # Records are whole only where the reader is asked for all columns, so the message names them.
+    too_long = F.concat(
+        F.lit("A row has more fields than the heading in file "),
+        _decoded(F.col("_metadata.file_path")),
+        F.lit(": "),
+        F.col(CORRUPT),
+        F.lit(", read as "),
+        F.concat_ws(" | ", *[F.col(f"`{n}`") for n in own]),
+    )
+    # The condition reads the whole record, so no row goes unchecked when columns are left out.
+    fine = F.when(_too_long(dialect.delimiter, own), F.raise_error(too_long).cast("boolean")).otherwise(True)
+    cells = [F.when(~F.col(f"`{n}`").isin(*nulls), F.col(f"`{n}`")) if nulls else F.col(f"`{n}`") for n in names]
+    frame = checked.filter(fine).select(*[c.alias(n) for c, n in zip(cells, names, strict=True)])
+    windows = dialect.encoding.lower() in ("cp1252", "windows-1252")
+    read = _read_cp1252(frame) if windows else frame
+    return Source(read, "csv", dialect.delimiter, dialect.encoding, path)
+
+
+def _read_checked(
+    spark: SparkSession, path: str, dialect: Dialect, alone: bool, multi_line: bool
+) -> tuple[DataFrame, list[str]]:
+    """The rows of a dialect's files, with the record of each that has too few or too many fields."""
+    windows = dialect.encoding.lower() in ("cp1252", "windows-1252")
+    wide = dialect.encoding.lower().startswith(("utf-16", "utf-32"))
+    reader = (
         spark.read.option("header", True)
-        .option("sep", mark)
-        .option("encoding", "ISO-8859-1" if windows else chosen_encoding)
-        .option("mode", "FAILFAST")
+        .option("sep", dialect.delimiter)
+        .option("encoding", "ISO-8859-1" if windows else dialect.encoding)
         .option("escape", '"')
         .option("multiLine", multi_line or wide)
-        .option("enforceSchema", False)
-        .csv(path)
     )
-    if not frame.columns:
+    # One way of reading holds for all files, so that the folder is listed by the reader itself.
+    paths = path if alone else literal_paths(dialect.files)
+    if not alone and any("=" in file.rpartition("/")[0] for file in dialect.files):
+        reader = reader.option("basePath", path)
+    # A heading with line breaks in it is left to the reader.
+    own = reader.csv(paths).columns if multi_line and dialect.heading.count(b'"') % 2 else dialect.columns
+    if not own:
         raise SourceError(f"The source '{path}' has no columns.")
-    read = _read_cp1252(frame) if windows else frame
-    return Source(read, "csv", mark, chosen_encoding, path)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*own, CORRUPT]])
+    rows = reader.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+    return rows.option("enforceSchema", True).csv(paths), own
+
+
+def _too_long(delimiter: str, names: list[str]) -> Column:
+    return F.coalesce(marks(F.col(CORRUPT), delimiter) >= len(names), F.lit(False))
+
+
+def long_rows(
+    spark: SparkSession, path: str, stage: Stage, encoding: str | None = None, delimiter: str | None = None
+) -> DataFrame:
+    """File, row number and text of every row with more fields than its file's heading."""
+    found = read_dialects(spark, path, encoding, delimiter)
+    tables = []
+    for dialect in found:
+        checked, names = _read_checked(spark, path, dialect, len(found) == 1, False)
+        numbered = number_rows(checked, stage, root=path)
+        tables.append(
+            numbered.filter(_too_long(dialect.delimiter, names)).select(
+                "source_file", "source_row_number", F.col(CORRUPT).alias("record")
+            )
+        )
+    return union_all(tables)
 
 
 def load_source(
@@ -284,6 +294,8 @@ def traced(source: Source, stage: Stage) -> DataFrame:
     """The table of a source with its trace columns, however it was read."""
     if "source_row_number" in source.frame.columns:
         return source.frame
+    if source.parts:
+        return union_all([traced(part, stage) for part in source.parts])
     if source.file_type == "parquet":
         return with_trace(source.frame, root=source.root)
     return number_rows(source.frame, stage, root=source.root)
@@ -294,6 +306,8 @@ def source_profile(source: Source, dataset: str) -> DataFrame:
 
     Landed pages are one logical file, whose size is not known here.
     """
+    if source.parts:
+        return union_all([source_profile(part, dataset) for part in source.parts])
     columns = [name for name in source.frame.columns if name not in TRACE_COLUMNS]
     if not columns:
         raise RetailDataError("A source profile needs at least one column.")
