@@ -53,12 +53,14 @@ def orders(table) -> DataFrame:
         "category string, country string, sales_channel string, currency string, "
         "order_status string, quantity bigint, unit_price double, discount double, "
         "purchase_cost double",
-        ("O-1", "2025-01-01", "P-1", "Desk", "Office", "Cyprus", "website", "USD", "completed",
-         2, 10.0, 0.1, 4.0),
-        ("O-2", "2025-01-08", "P-2", "Chair", "Home", "Germany", "amazon", "EUR", "completed",
-         1, 20.0, 0.0, 12.0),
-        ("O-3", "2025-01-02", "P-1", "Desk", "Office", "Cyprus", "website", "USD", "pending",
-         5, 100.0, 0.0, 4.0),
+        ("A-70", "2031-03-04", "TEA", "Green tea", "Drinks", "Norway", "website", "USD", "completed",
+         6, 4.5, 0.0, 1.25),
+        ("A-71", "2031-03-04", "CUP", "Cup", "Kitchen", "Norway", "retail", "USD", "completed",
+         3, 8.0, 0.25, 3.0),
+        ("A-72", "2031-03-12", "POT", "Pot", "Kitchen", "Chile", "amazon", "EUR", "completed",
+         1, 35.0, 0.1, 20.0),
+        ("A-73", "2031-03-06", "TEA", "Green tea", "Drinks", "Norway", "website", "USD", "pending",
+         50, 4.5, 0.0, 1.25),
     )
 
 
@@ -67,5 +69,5 @@ def returns(table) -> DataFrame:
     return table(
         "return_id string, order_id string, product_id string, return_date string, "
         "quantity bigint, refund_amount double, return_reason string",
-        ("R-1", "O-1", "P-1", "2025-01-03", 1, 9.0, "Damaged"),
+        ("B-5", "A-71", "CUP", "2031-03-07", 1, 6.0, "Broken"),
     )

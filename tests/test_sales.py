@@ -14,24 +14,27 @@ from tillwise.operators.returns import returns_analytics, returns_with_attribute
 
 
 def test_kpis(orders, returns):
+    # Lines of 27.00, 24.00 less a quarter, and 35.00 less a tenth; one cup came back.
     row = sales.sales_kpis(sales.sales_lines(orders, returns)).first()
     assert row.asDict() == {
-        "gross_revenue": D("40.00"), "discount_amount": D("2.00"), "refund_amount": D("9.00"),
-        "net_revenue": D("29.00"), "cost_of_goods_sold": D("20.00"), "gross_profit": D("9.00"),
-        "gross_margin_percent": D("31.03"), "orders": 2, "units_sold": 3,
-        "average_order_value": D("14.50"), "returned_quantity": 1,
-        "return_rate_percent": D("33.33"),
+        "gross_revenue": D("86.00"), "discount_amount": D("9.50"), "refund_amount": D("6.00"),
+        "net_revenue": D("70.50"), "cost_of_goods_sold": D("36.50"), "gross_profit": D("34.00"),
+        "gross_margin_percent": D("48.23"), "orders": 3, "units_sold": 10,
+        "average_order_value": D("23.50"), "returned_quantity": 1,
+        "return_rate_percent": D("10.00"),
     }
 
 
 def test_tables(orders, returns):
     result = sales.sales_analytics(orders, returns)
     assert [(r["date"], r["net_revenue"]) for r in result.daily.collect()] == [
-        (date(2025, 1, 1), D("9.00")), (date(2025, 1, 8), D("20.00")),
+        (date(2031, 3, 4), D("39.00")), (date(2031, 3, 12), D("31.50")),
     ]
-    assert [r["week_start"] for r in result.weekly.collect()] == [date(2024, 12, 30), date(2025, 1, 6)]
-    assert result.top_by_revenue.first()["product_id"] == "P-2"
-    assert [r["country"] for r in result.countries.collect()] == ["Cyprus", "Germany"]
+    assert [r["week_start"] for r in result.weekly.collect()] == [date(2031, 3, 3), date(2031, 3, 10)]
+    assert [r["product_id"] for r in result.top_by_revenue.collect()] == ["POT", "TEA", "CUP"]
+    assert {r["country"]: r["net_revenue"] for r in result.countries.collect()} == {
+        "Chile": D("31.50"), "Norway": D("39.00"),
+    }
     total = result.categories.agg(F.sum("net_revenue")).first()[0]
     assert total == result.kpis.first()["net_revenue"]
 
@@ -47,12 +50,12 @@ def test_half_up_and_full_refund(orders, returns, table):
     one = table(
         "order_id string, order_date string, product_id string, quantity bigint, "
         "unit_price decimal(18,4)",
-        ("O", "2025-01-01", "P", 1, D("1.005")),
+        ("A", "2031-03-01", "TEA", 1, D("2.345")),
     )
-    assert sales.sales_kpis(sales.sales_lines(one)).first()["gross_revenue"] == D("1.01")
+    assert sales.sales_kpis(sales.sales_lines(one)).first()["gross_revenue"] == D("2.35")
     whole = returns.withColumn("refund_amount", F.lit(18.0))
-    first = filters.SalesFilters(date_to="2025-01-05")
-    row = sales.sales_kpis(sales.sales_lines(orders, whole, first)).first()
+    cups = filters.SalesFilters(date_to="2031-03-08", product_category="Kitchen")
+    row = sales.sales_kpis(sales.sales_lines(orders, whole, cups)).first()
     assert (row["net_revenue"], row["gross_margin_percent"]) == (D("0.00"), D("0.00"))
 
 
@@ -61,20 +64,20 @@ def test_filters(orders):
         found = filters.filter_orders(orders, filters.SalesFilters(**choice))
         return sorted(r["order_id"] for r in found.collect())
 
-    assert ids(date_from="2025-01-02", date_to="2025-01-08") == ["O-2", "O-3"]
-    assert ids(start_date="2025-01-08") == ["O-2"]
-    assert ids(country=("Cyprus",), order_status="pending") == ["O-3"]
-    assert ids(product_category="Home") == ["O-2"]
+    assert ids(date_from="2031-03-05", date_to="2031-03-12") == ["A-72", "A-73"]
+    assert ids(start_date="2031-03-10") == ["A-72"]
+    assert ids(country=("Norway",), order_status="pending") == ["A-73"]
+    assert ids(product_category="Kitchen") == ["A-71", "A-72"]
     assert ids(country=()) == []
     bare = orders.drop("country")
-    assert filters.filter_orders(bare, filters.SalesFilters(country="Cyprus")).isEmpty()
+    assert filters.filter_orders(bare, filters.SalesFilters(country="Norway")).isEmpty()
 
 
 def test_refunds_count_by_return_date_and_line(orders, returns):
-    late = filters.SalesFilters(date_from="2025-01-02")
+    late = filters.SalesFilters(date_from="2031-03-05")
     row = sales.sales_kpis(sales.sales_lines(orders, returns, late)).first()
     assert row["refund_amount"] == D("0.00")  # its order line is out of scope
-    early = filters.SalesFilters(date_to="2025-01-02")
+    early = filters.SalesFilters(date_to="2031-03-05")
     row = sales.sales_kpis(sales.sales_lines(orders, returns, early)).first()
     assert row["refund_amount"] == D("0.00")  # it came back later
 
@@ -87,14 +90,14 @@ def test_missing_columns_fail(orders):
 def test_returns(orders, returns):
     result = returns_analytics(orders, returns)
     assert result.kpis.first().asDict() == {
-        "returned_quantity": 1, "refund_amount": D("9.00"), "return_rate_percent": D("33.33"),
+        "returned_quantity": 1, "refund_amount": D("6.00"), "return_rate_percent": D("10.00"),
     }
-    assert result.reasons.first()["return_reason"] == "Damaged"
+    assert result.reasons.first()["return_reason"] == "Broken"
     rates = {r["product_id"]: r["return_rate"] for r in result.products.collect()}
-    assert rates == {"P-1": D("50.00"), "P-2": D("0.00")}
+    assert rates == {"CUP": D("33.33"), "POT": D("0.00"), "TEA": D("0.00")}
     enriched, _ = returns_with_attributes(orders, returns)
-    assert enriched.first()["country"] == "Cyprus"
-    pending = returns.withColumn("order_id", F.lit("O-3"))
+    assert enriched.first()["country"] == "Norway"
+    pending = returns.withColumns({"order_id": F.lit("A-73"), "product_id": F.lit("TEA")})
     assert returns_analytics(orders, pending).returns.isEmpty()
 
 
@@ -133,7 +136,7 @@ def test_aligned_days(spark):
 
 def test_periods(orders):
     assert filters.reporting_period("2024-02", orders) == filters.Period(date(2024, 2, 1), date(2024, 2, 29))
-    assert filters.reporting_period(None, orders).days == 8
+    assert filters.reporting_period(None, orders).days == 9
     previous = filters.previous_period(filters.Period(date(2025, 1, 1), date(2025, 1, 10)))
     assert previous == filters.Period(date(2024, 12, 22), date(2024, 12, 31))
     assert filters.previous_period(filters.Period(None, None)) == filters.Period(None, None)
@@ -157,9 +160,9 @@ def test_safe_join_rejects_repeated_keys(spark):
 
 def test_targets(spark, orders, returns):
     targets = spark.createDataFrame(
-        [("2025-01", D(28)), ("2025-02", D(10)), ("2025-03", D(0))],
+        [("2031-03", D(70)), ("2031-04", D(10)), ("2031-05", D(0))],
         "month string, revenue_target decimal(22,6)",
     )
     achieved = comparisons.target_achievement(targets, sales.sales_lines(orders, returns))
     bands = {r["month"]: r["target_band"] for r in comparisons.target_bands(achieved).collect()}
-    assert bands == {"2025-01": "met", "2025-02": "missed", "2025-03": None}
+    assert bands == {"2031-03": "met", "2031-04": "missed", "2031-05": None}
