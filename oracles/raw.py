@@ -669,49 +669,47 @@ add(
 # Analytics over what the pipeline accepted.
 define("lines_processed", lines("orders_kept", "returns_kept", "true"))
 add("process_datasets", kpis("lines_processed"))
-_MARCH = "{day} between date '1998-03-01' and date '1998-03-31'"
 _YEAR = "{day} between date '1998-01-01' and date '1998-12-31'"
-define("lines_march", lines("orders_kept", "returns_kept", _MARCH))
-define("lines_board", lines("orders_kept", "returns_kept", _YEAR))
-add("report_analytics", performance("lines_march", {"category": "category"}))
+_FIRST, _LAST = (f"(select {end}(order_date) from orders_kept)" for end in ("min", "max"))
+_WHOLE = f"{{day}} between {_FIRST} and {_LAST}"
+define("lines_report", lines("orders_kept", "returns_kept", _WHOLE))
+define("lines_board", lines("orders_kept", "returns_kept", "true"))
+add("report_analytics", performance("lines_report", {"category": "category"}))
 define(
     "stock_kept",
     f"select i.*, {_attributes('i', 'product_')} from inventory_kept i",
 )
-define("velocity_march", velocity("orders_kept", "returns_kept", _MARCH))
-define("cutoff_march", cutoff("velocity_march"))
+define("velocity_report", velocity("orders_kept", "returns_kept", _WHOLE))
+define("cutoff_report", cutoff("velocity_report"))
 define(
-    "metrics_march",
+    "metrics_report",
     metrics(
-        "stock_kept", "velocity_march", "cutoff_march", "1998-03-01", "1998-03-31",
-        "greatest(date '1998-03-31', (select max(last_restock_date) from inventory_kept))",
+        "stock_kept", "velocity_report", "cutoff_report", _FIRST, _LAST,
+        f"greatest({_LAST}, (select max(last_restock_date) from inventory_kept))",
     ),
 )
 add(
     "report_inventory",
     """select product_id, warehouse, available_stock, stock_coverage_days, inventory_status,
     suggested_reorder_quantity, days_since_last_sale, units_sold, is_high_revenue, as_of_date
-    from metrics_march""",
+    from metrics_report""",
 )
 add("dashboard_kpis", kpis("lines_board"))
-define("orders_board", f"select * from orders_kept where {_YEAR.format(day='order_date')}")
-define("velocity_board", velocity("orders_board", "returns_kept", _YEAR))
+define("velocity_board", velocity("orders_kept", "returns_kept", _WHOLE))
 define("cutoff_board", cutoff("velocity_board"))
 define(
     "metrics_board",
     metrics(
-        "stock_kept", "velocity_board", "cutoff_board", "1998-01-01", "1998-12-31",
-        "date '1998-12-31'",
+        "stock_kept", "velocity_board", "cutoff_board", _FIRST, _LAST, _LAST,
     ),
 )
 add(
     "dashboard_summary",
-    f"""select date '1998-01-01' as date_from, date '1998-12-31' as date_to,
+    f"""select {_FIRST} as date_from, {_LAST} as date_to,
     (select count(*) from lines_board) as filtered_order_rows,
     (select count(*) from inventory_kept) as filtered_inventory_rows,
-    (select count(*) from returns_kept r join lines_board l using (order_id, product_id)
-      where {_YEAR.format(day="r.return_date")}) as filtered_return_rows,
-    1 as active_filter_count, 'USD' as currency""",
+    (select count(*) from returns_kept r join lines_board l using (order_id, product_id))
+      as filtered_return_rows, 0 as active_filter_count, 'USD' as currency""",
 )
 add(
     "dashboard_inventory_risk",
@@ -719,6 +717,7 @@ add(
 )
 _BEFORE = "{day} between date '1997-01-01' and date '1997-12-31'"
 define("lines_board_before", lines("orders_kept", "returns_kept", _BEFORE))
+define("lines_board_year", lines("orders_kept", "returns_kept", _YEAR))
 
 
 def _ordinal(source: str) -> str:
@@ -729,7 +728,7 @@ def _ordinal(source: str) -> str:
 add(
     "dashboard_comparison",
     f"""select cast(period_day as int) as period_day, a.net_revenue as current_period,
-    b.net_revenue as previous_period from ({_ordinal("lines_board")}) a full join
+    b.net_revenue as previous_period from ({_ordinal("lines_board_year")}) a full join
     ({_ordinal("lines_board_before")}) b using (period_day)""",
 )
 define("findings_board", findings("metrics_board"))
@@ -753,7 +752,7 @@ add(
     union all select 'sales_by_country', count(distinct country) from lines_board
     union all select 'sales_by_channel', count(distinct sales_channel) from lines_board""",
 )
-_COUNTRIES = performance("lines_march", {"country": "country"})
+_COUNTRIES = performance("lines_report", {"country": "country"})
 _SUMMED = ("gross_revenue", "discount_amount", "refund_amount", "net_revenue",
            "cost_of_goods_sold", "gross_profit")
 add(

@@ -32,19 +32,19 @@ add(
     "matched_returns",
     f"""select * {_TRACE} from returns_clean r where exists (select 1 from orders_clean o
     where o.order_id = r.order_id and o.product_id = r.product_id
-      and o.order_status = 'completed' and {YEAR.format(day="o.order_date")})""",
+      and o.order_status = 'completed')""",
 )
 add(
     "line_refunds",
-    f"""select order_id, product_id, sum(quantity)::bigint as returned_quantity,
+    """select order_id, product_id, sum(quantity)::bigint as returned_quantity,
     cast(sum(refund_amount) as decimal(26,6)) as refund_amount
-    from returns_clean where {_YEAR_RETURNS} group by order_id, product_id""",
+    from returns_clean group by order_id, product_id""",
 )
 add(
     "sales_lines",
     """select order_id, product_id, order_date, quantity, unit_price, discount, gross_revenue,
     discount_amount, returned_quantity, refund_amount, net_revenue, cost_of_goods_sold,
-    cast(net_revenue - cost_of_goods_sold as decimal(36,12)) as gross_profit from lines_year""",
+    cast(net_revenue - cost_of_goods_sold as decimal(36,12)) as gross_profit from lines""",
 )
 add("sales_kpis", kpis("lines"))
 add("sales_kpis_filtered", kpis("lines_choice"))
@@ -61,14 +61,14 @@ for _name, _by in (("revenue", "net_revenue"), ("profit", "gross_profit")):
         f"top_products_by_{_name}",
         f"select * from ({_PRODUCTS}) t order by {_by} desc, product_id limit 10",
     )
-add("category_chart", performance("lines_year", {"category": "category"}))
-add("country_chart", performance("lines_year", {"country": "country"}))
-add("channel_chart", performance("lines_year", {"sales_channel": "sales_channel"}))
+add("category_chart", performance("lines", {"category": "category"}))
+add("country_chart", performance("lines", {"country": "country"}))
+add("channel_chart", performance("lines", {"sales_channel": "sales_channel"}))
 add(
     "sales_analytics",
     " union all by name ".join(
         f"select '{name}' as dimension, cast({name} as varchar) as member, * exclude ({name}) "
-        f"from ({performance('lines_year', {name: text})}) t"
+        f"from ({performance('lines', {name: text})}) t"
         for name, text in (
             ("date", "order_date"), ("week_start", _WEEK), ("category", "category"),
             ("country", "country"), ("sales_channel", "sales_channel"),
@@ -86,9 +86,8 @@ where o.order_status = 'completed' and {scope.format(day="o.order_date")}
 
 
 define("returned", _returned(ALL_TIME))
-define("returned_year", _returned(YEAR))
 define("sold_lines", "select * from sold where order_status = 'completed'")
-add("returns_with_order_attrs", f"select * {_TRACE} from returned_year")
+add("returns_with_order_attrs", f"select * {_TRACE} from returned")
 _UNITS = "(select coalesce(sum(quantity), 0)::bigint from sold_lines)"
 add(
     "returns_kpis",
@@ -123,15 +122,14 @@ add(
     "products_by_return_rate",
     f"select * from ({_rates('returned', 'sold_lines')}) r {_RANKED} 25",
 )
-define("sold_year", f"select * from sold_lines where {_YEAR_ORDERS}")
 add(
     "returns_analytics",
     f"""select 'reason' as part, return_reason as member, returned_quantity, refund_amount
-    from ({_reasons("returned_year")}) a
+    from ({_reasons("returned")}) a
     union all select * from (select 'product', product_id, returned_quantity, refund_amount
-      from ({_rates("returned_year", "sold_year")}) b {_RANKED} 10) c
+      from ({_rates("returned", "sold_lines")}) b {_RANKED} 10) c
     union all select 'total', null, coalesce(sum(returned_quantity), 0)::bigint,
-      {money("sum(refund_amount)")} from returned_year""",
+      {money("sum(refund_amount)")} from returned""",
 )
 
 # Joins.
@@ -187,11 +185,6 @@ define(
     from lines group by 1""",
 )
 add("monthly_actual", "select * from actual")
-define(
-    "actual_year",
-    f"""select {_MONTH} as month, cast(sum(net_revenue) as decimal(38,12)) as actual_revenue
-    from lines_year group by 1""",
-)
 _RATIO = """cast(((2 * cast(round(actual_revenue, 8) * 100000000 as hugeint) * 1000000
     + cast(revenue_target * 100000000 as hugeint))
     // (2 * cast(revenue_target * 100000000 as hugeint))) as decimal(18,0)) * 0.000001"""
@@ -200,7 +193,7 @@ add(
     f"""select month, revenue_target, actual_revenue, cast({_RATIO} as decimal(18,6))
     as target_achievement from (select t.month, revenue_target,
       coalesce(actual_revenue, cast(0 as decimal(38,12))) as actual_revenue
-      from monthly_targets_clean t left join actual_year a using (month)) j""",
+      from monthly_targets_clean t left join actual a using (month)) j""",
 )
 add(
     "target_bands",
@@ -359,7 +352,7 @@ select cast(a + (b - a) * share as decimal(38,12)) as cutoff from (
 
 def metrics(stock: str, velocity_cte: str, cutoff_cte: str, first: str, last: str, as_of: str) -> str:
     """Inventory metrics; thresholds are the defaults 7, 14, 120 and a 30-day target."""
-    days = f"(cast(date '{last}' - date '{first}' as bigint) + 1)"
+    days = f"(cast({last} - {first} as bigint) + 1)"
     coverage = (
         f"cast(case when units > 0 then cast(sign(avail) * ((2 * abs(avail) * {days} * 100 + units)"
         " // (2 * units)) as decimal(18,0)) * 0.01 end as decimal(18,2))"
@@ -383,7 +376,7 @@ select product_id, warehouse, product_name, stock_quantity, reserved_quantity,
   cast(coalesce(price, 0) as decimal(22,6)) as selling_price,
   product_name is null or cost is null or price is null as catalogue_data_missing,
   net_revenue > 0 and net_revenue >= (select cutoff from {cutoff_cte}) as is_high_revenue,
-  date '{first}' as period_start, date '{last}' as period_end, cast({days} as int) as period_days,
+  {first} as period_start, {last} as period_end, cast({days} as int) as period_days,
   {as_of} as as_of_date
 from (select i.product_id, i.warehouse, i.product_product_name as product_name,
     coalesce(stock_quantity, 0) as stock_quantity, coalesce(reserved_quantity, 0) as
@@ -409,7 +402,7 @@ add(
 define(
     "metrics",
     metrics(
-        "stocked", "velocity", "cutoff_year", "1998-01-01", "1998-12-31",
+        "stocked", "velocity", "cutoff_year", "date '1998-01-01'", "date '1998-12-31'",
         "greatest(date '1998-12-31', (select max(last_restock_date) from inventory_clean))",
     ),
 )
@@ -654,9 +647,10 @@ add(
         ]
     ),
 )
+_COUNTRY_ALL = performance("lines", {"country": "country"})
 add(
     "section_totals",
-    f"""select * from ({_COUNTRY_NOW}) a union all by name select 'Total' as country,
+    f"""select * from ({_COUNTRY_ALL}) a union all by name select 'Total' as country,
     sum(gross_revenue)::decimal(28,2) as gross_revenue,
     sum(discount_amount)::decimal(28,2) as discount_amount,
     sum(refund_amount)::decimal(28,2) as refund_amount,
@@ -664,13 +658,13 @@ add(
     sum(cost_of_goods_sold)::decimal(28,2) as cost_of_goods_sold,
     sum(gross_profit)::decimal(28,2) as gross_profit, sum(orders)::bigint as orders,
     sum(units_sold)::bigint as units_sold, sum(returned_quantity)::bigint as returned_quantity
-    from ({_COUNTRY_NOW}) b""",
+    from ({_COUNTRY_ALL}) b""",
 )
 add(
     "write_table",
     f"""select sales_channel, cast(net_revenue as varchar) as net_revenue,
     cast(orders as varchar) as orders, cast(units_sold as varchar) as units_sold
-    from ({performance("lines_year", {"sales_channel": "sales_channel"})}) t""",
+    from ({performance("lines", {"sales_channel": "sales_channel"})}) t""",
 )
 add(
     "read_api_pages",

@@ -134,13 +134,13 @@ class Run:
     @cached_property
     def board(self) -> dashboard.Dashboard:
         return dashboard.dashboard(
-            self.result.orders, self.result.inventory, self.result.returns, BOARD,
+            self.result.orders, self.result.inventory, self.result.returns,
             stage=Stage(self.spark),
         )
 
     @cached_property
     def report(self) -> reporting.ReportAnalytics:
-        return reporting.report_analytics(self.result, "1998-03", stage=Stage(self.spark))
+        return reporting.report_analytics(self.result, stage=Stage(self.spark))
 
 
 def run_of(spark: SparkSession, folder: str) -> Run:
@@ -180,18 +180,18 @@ def completed_lines(run: Run) -> DataFrame:
 
 @query
 def matched_returns(run: Run) -> DataFrame:
-    sold = filters.completed_only(filters.filter_orders(run.clean(ORDERS), YEAR))
+    sold = filters.completed_only(run.clean(ORDERS))
     return returns.matched_returns(run.clean(RETURNS), sold).drop(*TRACE)
 
 
 @query
 def line_refunds(run: Run) -> DataFrame:
-    return sales.refunds_by_line(run.clean(RETURNS), YEAR)
+    return sales.refunds_by_line(run.clean(RETURNS))
 
 
 @query
 def sales_lines(run: Run) -> DataFrame:
-    return run.lines(YEAR).select(
+    return run.lines().select(
         "order_id", "product_id", "order_date", "quantity", "unit_price", "discount",
         "gross_revenue", "discount_amount", "returned_quantity", "refund_amount", "net_revenue",
         "cost_of_goods_sold", "gross_profit",
@@ -250,25 +250,23 @@ def top_products_by_profit(run: Run) -> DataFrame:
 
 @query
 def category_chart(run: Run) -> DataFrame:
-    return sales.by_net_revenue(sales.category_performance(run.lines(YEAR)))
+    return sales.by_net_revenue(sales.category_performance(run.lines()))
 
 
 @query
 def country_chart(run: Run) -> DataFrame:
-    return sales.by_net_revenue(sales.country_performance(run.lines(YEAR)))
+    return sales.by_net_revenue(sales.country_performance(run.lines()))
 
 
 @query
 def channel_chart(run: Run) -> DataFrame:
-    return sales.by_net_revenue(sales.channel_performance(run.lines(YEAR)))
+    return sales.by_net_revenue(sales.channel_performance(run.lines()))
 
 
 @query
 def sales_analytics(run: Run) -> DataFrame:
     """The dimension tables of one result, stacked with the name of their dimension."""
-    result = sales.sales_analytics(
-        run.orders, run.returns, YEAR, stage=Stage(run.spark), name="lines"
-    )
+    result = sales.sales_analytics(run.orders, run.returns, stage=Stage(run.spark), name="lines")
     tables = {
         "date": result.daily, "week_start": result.weekly, "category": result.categories,
         "country": result.countries, "sales_channel": result.channels,
@@ -290,7 +288,7 @@ def sales_analytics(run: Run) -> DataFrame:
 
 @query
 def returns_with_order_attrs(run: Run) -> DataFrame:
-    return run.returned(YEAR)[0].drop(*TRACE)
+    return run.returned()[0].drop(*TRACE)
 
 
 @query
@@ -315,9 +313,7 @@ def products_by_return_rate(run: Run) -> DataFrame:
 
 @query
 def returns_analytics(run: Run) -> DataFrame:
-    result = returns.returns_analytics(
-        run.orders, run.returns, YEAR, stage=Stage(run.spark), name="returns"
-    )
+    result = returns.returns_analytics(run.orders, run.returns, stage=Stage(run.spark), name="returns")
     reasons = result.reasons.select(
         F.lit("reason").alias("part"), F.col("return_reason").alias("member"),
         "returned_quantity", "refund_amount",
@@ -411,7 +407,7 @@ def monthly_actual(run: Run) -> DataFrame:
 
 @query
 def target_achievement(run: Run) -> DataFrame:
-    achieved = comparisons.target_achievement(run.clean(TARGETS), run.lines(YEAR))
+    achieved = comparisons.target_achievement(run.clean(TARGETS), run.lines())
     return achieved.select(
         "month", "revenue_target", "actual_revenue",
         F.col("target_achievement").cast("decimal(18,6)").alias("target_achievement"),
@@ -666,7 +662,12 @@ def dashboard_inventory_risk(run: Run) -> DataFrame:
 
 @query
 def dashboard_comparison(run: Run) -> DataFrame:
-    return run.board.charts["current_vs_previous"]
+    """Days of one year beside those of the year before, by place."""
+    result = run.result
+    board = dashboard.dashboard(
+        result.orders, result.inventory, result.returns, BOARD, stage=Stage(run.spark)
+    )
+    return board.charts["current_vs_previous"]
 
 
 @query
@@ -1166,7 +1167,7 @@ def load_sources(run: Run) -> DataFrame:
 def write_table(run: Run) -> DataFrame:
     """A dashboard table written as CSV and read back as text."""
     folder = f"{Stage(run.spark).path}/channels.csv"
-    reporting.write_table(sales.channel_performance(run.lines(YEAR)), folder)
+    reporting.write_table(sales.channel_performance(run.lines()), folder)
     return files.load_source(run.spark, folder).frame.select(
         "sales_channel", "net_revenue", "orders", "units_sold"
     )
@@ -1174,7 +1175,7 @@ def write_table(run: Run) -> DataFrame:
 
 @query
 def section_totals(run: Run) -> DataFrame:
-    return reporting.section_totals(sales.country_performance(run.lines(YEAR)))
+    return reporting.section_totals(sales.country_performance(run.lines()))
 
 
 @query
