@@ -516,6 +516,20 @@ add(
     "exclusion_reasons",
     "select source_dataset, exclusion_reason, count(*) as rows from excluded group by 1, 2",
 )
+_ORDER_COLUMNS = (
+    '"Order Number", "Date", "SKU", "Qty", "Price", customer_id, "Discount Rate", "Currency Code", "Market", '
+    '"Channel", "Status", "Note"'
+)
+add(
+    "duplicated_rows",
+    f"""select source_row_number, {_ORDER_COLUMNS} from (
+      select *, count(*) over (partition by {_ORDER_COLUMNS}) as copies from (
+        select {_ORDER_COLUMNS}, source_row_number from orders_raw union all
+        select {_ORDER_COLUMNS}, source_row_number + 1000000000 from orders_raw where source_row_number % 101 = 5
+        union all select * replace ("Note" || '!' as "Note", source_row_number + 2000000000 as source_row_number)
+        from (select {_ORDER_COLUMNS}, source_row_number from orders_raw where source_row_number % 103 = 6)) u) t
+    where copies > 1""",
+)
 _RETURN_COLUMNS = ", ".join(name for name, _, _ in COLUMNS["returns"])
 add("split_blocked", f"select {_RETURN_COLUMNS}, source_row_number from returns_kept")
 define("targets_kept", "select * from monthly_targets_kept")

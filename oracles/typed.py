@@ -598,18 +598,63 @@ add(
     """select * exclude (source_file, processing_status, exclusion_reason, n) from (select *,
     count(*) over (partition by order_id, product_id) as n from orders_clean) t where n = 1""",
 )
-add(
-    "duplicated_rows",
-    """select source_row_number as row_number, 'duplicated_order_row' as issue_code,
-    '{"order_id":"' || order_id || '","product_id":"' || product_id || '","order_status":"'
-      || order_status || '"}' as original_value
-    from (select *, count(*) over (partition by order_id, product_id, order_status) as n
-      from orders_clean) t where n > 1""",
-)
 _TYPED_ISSUE = """select '{severity}' as severity, '{kind}' as source_dataset,
   '{kind}' as source_filename, source_row_number as row_number, '{field}' as field,
-  '{code}' as issue_code, {value} as original_value, {free} as row_can_continue
+  '{code}' as issue_code, {message} as message, {value} as original_value,
+  '{action}' as recommended_action, {free} as row_can_continue
   from {source} where {test}"""
+# Message and recommended action of each code.
+_TEXTS = {
+    "orders|missing_order_id": ("The order ID is missing.", "Provide a valid order ID."),
+    "orders|missing_order_date": ("The order date is missing.", "Provide a valid order date."),
+    "orders|invalid_quantity": (
+        "Quantity must be a whole number.", "Replace the value with a positive whole number."),
+    "orders|invalid_unit_price": ("Unit price must be numeric.", "Replace the value with a numeric unit price."),
+    "orders|discount_out_of_range": (
+        "Discount must be between 0 and 1.", "Enter the discount as a decimal between 0 and 1."),
+    "orders|unsupported_currency": ("Currency 'DOGE' is not supported.", "Use one of: CHF, EUR, GBP, USD."),
+    "products|recommended_price_below_cost": (
+        "Recommended price is below purchase cost.",
+        "Review pricing or confirm that the product is intentionally sold at a loss."),
+    "products|duplicated_product_id": (
+        "Product ID must be unique.", "Keep one product row for this ID or assign a unique ID."),
+    "products|missing_product_name": ("Product name is missing.", "Provide a product name."),
+    "products|invalid_vat_rate": ("VAT rate must be between 0 and 1.", "Enter VAT as a decimal between 0 and 1."),
+    "inventory|unknown_product_id": (
+        "Inventory references an unknown product ID.",
+        "Add the product to the catalogue or correct the product ID."),
+    "inventory|reserved_quantity_exceeds_stock": (
+        "Reserved quantity is greater than available stock.",
+        "Reduce the reserved quantity or correct the stock quantity."),
+    "inventory|negative_stock": (
+        "Stock quantity cannot be negative.", "Enter a stock quantity greater than or equal to zero."),
+    "inventory|negative_reorder_level": (
+        "Reorder level cannot be negative.", "Enter a reorder level greater than or equal to zero."),
+    "inventory|invalid_restock_date": ("Last restock date is invalid.", "Use a valid date such as YYYY-MM-DD."),
+    "returns|unknown_order_id": (
+        "Return references an unknown order ID.", "Correct the order ID or add the referenced order."),
+    "returns|unknown_product_id": (
+        "Return references an unknown product ID.", "Correct the product ID or add the referenced product."),
+    "returns|invalid_return_quantity": (
+        "Return quantity must be a positive whole number.", "Enter a positive whole-number return quantity."),
+    "returns|negative_refund_amount": (
+        "Refund amount cannot be negative.", "Enter a refund amount greater than or equal to zero."),
+    "returns|return_date_before_order_date": (
+        "Return date is before the matching order date.", "Correct the return date or matching order reference."),
+    "returns|returned_quantity_exceeds_sold": (
+        "Returned quantity is greater than the sold quantity.",
+        "Reduce the return quantity or correct the matching order."),
+    "monthly_targets|invalid_month": (
+        "Target month must use YYYY-MM format.", "Enter a valid month such as 2025-01."),
+    "monthly_targets|duplicate_target_month": (
+        "Target month must be unique.", "Keep one target row for this month."),
+    **{
+        f"monthly_targets|negative_target|{field}": (
+            f"{label} cannot be negative.", "Enter a target greater than or equal to zero.")
+        for field, label in (
+            ("revenue_target", "Revenue Target"), ("profit_target", "Profit Target"), ("orders_target", "Orders Target"))
+    },
+}
 define(
     "returns_with_sales",
     """select r.*, o.sold_on, o.sold_units from returns_clean r left join (select order_id,
@@ -619,9 +664,11 @@ define(
 
 
 def _typed(kind, code, field, test, value, source, severity="error", free="false") -> str:
+    texts = _TEXTS.get(f"{kind}|{code}") or _TEXTS[f"{kind}|{code}|{field}"]
+    message, action = (text.replace("'", "''") for text in texts)
     return _TYPED_ISSUE.format(
         kind=kind, code=code, field=field, test=test, value=value, source=source,
-        severity=severity, free=free,
+        severity=severity, free=free, message=f"'{message}'", action=action,
     )
 
 
@@ -647,6 +694,90 @@ add(
         ]
     ),
 )
+
+
+def _as_text(kind: str, planted: dict[str, tuple[int, str]]) -> str:
+    """A typed table as text in which every so-manieth row holds something else."""
+    cells = ", ".join(
+        f"case when source_row_number % {every} = 3 then {value} else cast({name} as varchar) end as {name}"
+        for name, (every, value) in planted.items()
+    )
+    return f"select * exclude ({', '.join(planted)}), {cells} from {kind}_clean"
+
+
+define("orders_planted", _as_text("orders", {
+    "order_id": (89, "''"), "order_date": (97, "null"), "currency": (101, "'doge'"), "discount": (103, "'1500'"),
+    "quantity": (107, "'1.5'"), "unit_price": (109, "'free'"),
+}))
+define("products_text", _as_text("products", {"vat_rate": (29, "'1.2'"), "product_name": (31, "' '")}))
+define("products_planted", """select * from products_text union all
+    select * replace (source_row_number + 1000000000 as source_row_number) from products_text
+    where source_row_number % 37 = 3""")
+define("inventory_planted", _as_text("inventory", {
+    "last_restock_date": (113, "'soon'"), "stock_quantity": (127, "'-1'"), "reorder_level": (131, "'-7'"),
+}))
+define("returns_planted", f"""select r.*, o.sold_on, o.sold_units from ({_as_text("returns", {
+    "return_date": (137, "'1989-12-31'"), "quantity": (139, "'0'"), "refund_amount": (149, "'-0.01'"),
+    "order_id": (151, "'O-NONE'"),
+})}) r left join (
+    select order_id, product_id, sum(cast(quantity as double)) as sold_units,
+      arg_min_null(cast(order_date as date), source_row_number) as sold_on
+    from orders_planted where order_id <> '' group by all) o using (order_id, product_id)""")
+define("targets_text", _as_text("monthly_targets", {
+    "month": (7, "'2031-13'"), "revenue_target": (11, "'-1'"), "profit_target": (13, "'-0.5'"),
+    "orders_target": (5, "'-2'"),
+}))
+define("targets_planted", """select * from targets_text union all
+    select * replace (source_row_number + 1000000000 as source_row_number) from targets_text
+    where source_row_number % 17 = 4""")
+_ORIGINAL_DATE = "case when return_date = '1989-12-31' then '12/31/1989' else return_date end"
+_PLANTED = [
+    ("orders", "missing_order_id", "order_id", "order_id = ''", "order_id", "orders_planted"),
+    ("orders", "missing_order_date", "order_date", "order_date is null", "order_date", "orders_planted"),
+    ("orders", "invalid_quantity", "quantity", "quantity = '1.5'", "quantity", "orders_planted"),
+    ("orders", "invalid_unit_price", "unit_price", "unit_price = 'free'", "unit_price", "orders_planted"),
+    ("orders", "discount_out_of_range", "discount", "discount = '1500'", "discount", "orders_planted"),
+    ("orders", "unsupported_currency", "currency", "currency = 'doge'", "currency", "orders_planted"),
+    ("products", "duplicated_product_id", "product_id",
+     "product_id in (select product_id from products_planted group by 1 having count(*) > 1)", "product_id",
+     "products_planted"),
+    ("products", "missing_product_name", "product_name", "product_name = ' '", "product_name", "products_planted"),
+    ("products", "recommended_price_below_cost", "recommended_price",
+     "cast(recommended_price as double) < cast(purchase_cost as double)", "cast(recommended_price as varchar)",
+     "products_planted", "warning", "true"),
+    ("products", "invalid_vat_rate", "vat_rate", "vat_rate = '1.2'", "vat_rate", "products_planted"),
+    ("inventory", "invalid_restock_date", "last_restock_date", "last_restock_date = 'soon'", "last_restock_date",
+     "inventory_planted"),
+    ("inventory", "negative_stock", "stock_quantity", "cast(stock_quantity as bigint) < 0", "stock_quantity",
+     "inventory_planted"),
+    ("inventory", "negative_reorder_level", "reorder_level", "reorder_level = '-7'", "reorder_level",
+     "inventory_planted"),
+    ("inventory", "reserved_quantity_exceeds_stock", "reserved_quantity",
+     "cast(reserved_quantity as bigint) > cast(stock_quantity as bigint)", "cast(reserved_quantity as varchar)",
+     "inventory_planted"),
+    ("returns", "unknown_order_id", "order_id",
+     "order_id not in (select order_id from orders_planted where order_id <> '')", "order_id", "returns_planted"),
+    ("returns", "invalid_return_quantity", "quantity", "quantity = '0'", "quantity", "returns_planted"),
+    ("returns", "negative_refund_amount", "refund_amount", "cast(refund_amount as double) < 0", "refund_amount",
+     "returns_planted"),
+    ("returns", "return_date_before_order_date", "return_date", "cast(return_date as date) < sold_on",
+     _ORIGINAL_DATE, "returns_planted"),
+    ("returns", "returned_quantity_exceeds_sold", "quantity", "cast(quantity as double) > sold_units", "quantity",
+     "returns_planted"),
+    ("monthly_targets", "invalid_month", "month", "month = '2031-13'", "month", "targets_planted"),
+    ("monthly_targets", "duplicate_target_month", "month",
+     "month in (select month from targets_planted group by 1 having count(*) > 1)", "month", "targets_planted"),
+    *[
+        ("monthly_targets", "negative_target", field, f"cast({field} as double) < 0", field, "targets_planted")
+        for field in ("revenue_target", "profit_target", "orders_target")
+    ],
+]
+add(
+    "validate_planted",
+    f"""select source_dataset, field, issue_code, severity, message, count(*) as issues,
+    sum(row_number)::bigint as row_total, min(original_value) as least_value
+    from ({" union all ".join(_typed(*entry) for entry in _PLANTED)}) found group by all""",
+)
 _COUNTRY_ALL = performance("lines", {"country": "country"})
 add(
     "section_totals",

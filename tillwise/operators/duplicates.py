@@ -143,3 +143,31 @@ def with_repeat_flag(frame: DataFrame, keys: list[Column], flag: str) -> DataFra
         .withColumn(flag, F.col("_copies").isNotNull())
         .drop("_copies", *parts, *[f"_of{part}" for part in parts])
     )
+
+
+def with_repeated_rows(frame: DataFrame, columns: list[str], flag: str) -> DataFrame:
+    """Mark every row that has an equal in all the columns, where null equals null.
+
+    Rows are told apart by a digest of 128 bits, and only digests are counted over all rows. Rows
+    whose digest repeats are then compared value by value, after equal ones were put together, so
+    that different rows of one digest are never taken for copies.
+    """
+    values = [F.col(f"`{name}`") for name in columns]
+    text = F.to_json(F.struct(*[v.alias(f"c{i}") for i, v in enumerate(values)]), {"ignoreNullFields": "false"})
+    tagged = frame.withColumn("_digest", F.unhex(F.md5(text)))
+    several = tagged.groupBy("_digest").count().filter("count > 1").select("_digest")
+    compared = [v.alias(f"_own{i}") for i, v in enumerate(values)]
+    repeated = (
+        tagged.join(several, "_digest", "left_semi")
+        .groupBy(F.col("_digest").alias("_of"), *compared)
+        .agg(F.count("*").alias("_copies"))
+        .filter("_copies > 1")
+    )
+    equal = tagged["_digest"] == repeated["_of"]
+    for i, v in enumerate(values):
+        equal = equal & v.eqNullSafe(F.col(f"_own{i}"))
+    return (
+        tagged.join(repeated, equal, "left")
+        .withColumn(flag, F.col("_copies").isNotNull())
+        .drop("_digest", "_of", "_copies", *[f"_own{i}" for i in range(len(values))])
+    )

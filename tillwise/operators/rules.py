@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tillwise.functions.dates import parse_date, parse_text_date
 from tillwise.functions.numeric import strict_number
 from tillwise.functions.text import is_blank, plain, strip
-from tillwise.operators.duplicates import with_repeat_flag
+from tillwise.operators.duplicates import with_repeat_flag, with_repeated_rows
 from tillwise.operators.issues import (
     ERROR,
     VALIDATION,
@@ -410,7 +410,7 @@ def validate_dataset(
     columns = [name for name in frame.columns if name not in TRACE_COLUMNS]
     marked = frame
     if kind == ORDERS and columns:
-        marked = with_repeat_flag(marked, [col(name) for name in columns], "_repeated_row")
+        marked = with_repeated_rows(marked, columns, "_repeated_row")
     if kind == PRODUCTS and "product_id" in columns:
         marked = with_repeat_flag(marked, [F.col("product_id")], "_repeated_key")
     if kind == TARGETS and "month" in columns:

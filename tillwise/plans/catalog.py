@@ -12,7 +12,7 @@ from collections.abc import Callable
 from datetime import date
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwise.functions import dates, numeric, text
@@ -835,21 +835,74 @@ def validate_all(run: Run) -> DataFrame:
     tables = {kind: run.clean(kind) for kind in KINDS}
     tables[PRODUCTS] = _without_some_products(run)
     checked = rules.validate_all(tables)
-    return issues.union_all(
-        [
-            issues.issue_rows(checked[kind], kind).drop("message", "recommended_action")
-            for kind in (PRODUCTS, INVENTORY, RETURNS, TARGETS)
-        ]
+    return issues.union_all([issues.issue_rows(checked[kind], kind) for kind in KINDS])
+
+
+def _planted(run: Run) -> dict[str, DataFrame]:
+    """The whole typed tables as text, with errors that cleaning would have caught before."""
+    place = F.col("source_row_number")
+
+    def text(kind: str, **cells: Column) -> DataFrame:
+        table = run.clean(kind)
+        typed = {n: F.col(n).cast("string") for n, _ in table.dtypes if n not in (*TRACE, "source_row_number")}
+        return table.select(*[typed.get(n, F.col(n)).alias(n) for n in table.columns]).withColumns(cells)
+
+    def where(every: int, value: str | None, column: str) -> Column:
+        return F.when(place % every == 3, F.lit(value)).otherwise(F.col(column))
+
+    products = text(PRODUCTS, vat_rate=where(29, "1.2", "vat_rate"), product_name=where(31, " ", "product_name"))
+    again = products.filter(place % 37 == 3).withColumn("source_row_number", place + 1_000_000_000)
+    targets = text(
+        TARGETS,
+        month=where(7, "2031-13", "month"), revenue_target=where(11, "-1", "revenue_target"),
+        profit_target=where(13, "-0.5", "profit_target"), orders_target=where(5, "-2", "orders_target"),
+    )
+    return {
+        ORDERS: text(
+            ORDERS,
+            order_id=where(89, "", "order_id"), order_date=where(97, None, "order_date"),
+            currency=where(101, "doge", "currency"), discount=where(103, "1500", "discount"),
+            quantity=where(107, "1.5", "quantity"), unit_price=where(109, "free", "unit_price"),
+        ),
+        PRODUCTS: products.unionByName(again),
+        INVENTORY: text(
+            INVENTORY,
+            last_restock_date=where(113, "soon", "last_restock_date"), stock_quantity=where(127, "-1", "stock_quantity"),
+            reorder_level=where(131, "-7", "reorder_level"),
+        ),
+        RETURNS: text(
+            RETURNS,
+            return_date=where(137, "12/31/1989", "return_date"), quantity=where(139, "0", "quantity"),
+            refund_amount=where(149, "-0.01", "refund_amount"), order_id=where(151, "O-NONE", "order_id"),
+        ),
+        TARGETS: targets.unionByName(
+            targets.filter("source_row_number % 17 = 4").withColumn("source_row_number", place + 1_000_000_000)
+        ),
+    }
+
+
+@query
+def validate_planted(run: Run) -> DataFrame:
+    """Codes that typed values cannot raise, counted by table, field and code."""
+    checked = rules.validate_all(_planted(run))
+    found = issues.union_all([issues.issue_rows(checked[kind], kind) for kind in KINDS])
+    return found.groupBy("source_dataset", "field", "issue_code", "severity", "message").agg(
+        F.count("*").alias("issues"), F.sum("row_number").alias("row_total"),
+        F.min("original_value").alias("least_value"),
     )
 
 
 @query
 def duplicated_rows(run: Run) -> DataFrame:
-    orders = run.clean(ORDERS).select(
-        "order_id", "product_id", "order_status", "source_file", "source_row_number"
+    """Full copies of raw orders, planted beside copies that differ in one column."""
+    names = [c for c in run.raw(ORDERS).columns if c not in (*TRACE, "source_row_number")]
+    raw, place = run.raw(ORDERS), F.col("source_row_number")
+    copies = raw.filter(place % 101 == 5).withColumn("source_row_number", place + 1_000_000_000)
+    near = raw.filter(place % 103 == 6).withColumns(
+        {"source_row_number": place + 2_000_000_000, "Note": F.concat("Note", F.lit("!"))}
     )
-    checked = rules.validate_dataset(orders, ORDERS)
-    return issues.issue_rows(checked, ORDERS).select("row_number", "issue_code", "original_value")
+    marked = duplicates.with_repeated_rows(raw.unionByName(copies).unionByName(near), names, "repeated")
+    return marked.filter("repeated").select("source_row_number", *names)
 
 
 @query
