@@ -88,17 +88,17 @@ def class_of(shingles: np.ndarray) -> int:
 
 
 def signature(shingles: np.ndarray) -> bytes:
-    """A bit for each shingle in a table of at least twice as many bits as there are shingles."""
+    """Parities: each shingle flips one bit of a table of at least twice as many bits as shingles."""
     bits = max(64, 2 << max(0, len(shingles) - 1).bit_length())
-    table = np.zeros(bits, bool)
-    table[(shingles * _SECOND) >> np.uint64(64 - bits.bit_length() + 1)] = True
-    return np.packbits(table).tobytes()
+    places = ((shingles * _SECOND) >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
+    return np.packbits(np.bincount(places, minlength=bits).astype(np.uint8) & 1).tobytes()
 
 
 def may_link(size_a, bits_a, size_b, bits_b, like: int = LIKE) -> bool:
     """False only if the signatures prove that two sets are less similar than ``like``.
 
-    Each bit that differs stands for a shingle that one set alone holds.
+    What both sets hold flips the same bits in both, so each bit that differs stands for a shingle
+    that one set alone holds; only such shingles that meet in a bit hide each other.
     """
     if 100 * min(size_a, size_b) < like * max(size_a, size_b):
         return False
@@ -113,7 +113,7 @@ def may_link(size_a, bits_a, size_b, bits_b, like: int = LIKE) -> bool:
 
 def fold(bits: np.ndarray) -> np.ndarray:
     table = np.unpackbits(bits)
-    return np.packbits(table[0::2] | table[1::2])
+    return np.packbits(table[0::2] ^ table[1::2])
 
 
 def _sum_tables(rows: DataFrame, bits: int, levels: bool) -> bytes:
@@ -431,7 +431,7 @@ class Rest:
                 mine = fold(mine)
             while bits.shape[1] > len(mine):
                 table = np.unpackbits(bits, axis=1)
-                bits = np.packbits(table[:, 0::2] | table[:, 1::2], axis=1)
+                bits = np.packbits(table[:, 0::2] ^ table[:, 1::2], axis=1)
             apart = np.bitwise_count(bits ^ mine).sum(axis=1, dtype=np.int64)
             left = apart * (100 + like) <= (100 - like) * (sizes + row["size"])
             yield own[left], (apart / (sizes + row["size"]))[left]
