@@ -32,8 +32,8 @@ WORD_PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
 
-#: Characters of the pieces that a worker keeps, 8 more for each: about 60 MB, as ids are packed.
-KEPT_CHARS = 5_000_000
+#: Characters of the pieces that a worker keeps, 8 more for each: about 80 MB, as ids are packed.
+KEPT_CHARS = 7_000_000
 #: Short words without a space before them that a worker keeps.
 WORDS_KEPT = 20_000
 
@@ -60,6 +60,11 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+def is_plain_word(text: str) -> bool:
+    """Letters up to U+00FF alone, which every version of Unicode takes for letters."""
+    return text.isalpha() and (text.isascii() or max(text) <= "\xff")
+
+
 class BytePairs:
     """The merges and vocabulary of one tokenizer file."""
 
@@ -92,7 +97,8 @@ class BytePairs:
         )
         self.type = np.dtype("<u2" if top < 1 << 16 else "<u4")
         self.words: dict[str, bytes] = {}
-        self.later = Pieces(lambda piece: self.piece(spelled(piece)), KEPT_CHARS)
+        self.marks = {c: self.pack(self.merge(c.encode())) for c in ".,\n"}
+        self.later = Pieces(self.later_piece, KEPT_CHARS)
 
     def merge(self, word: bytes) -> list[int]:
         """Merge one word's bytes into vocabulary ids."""
@@ -128,13 +134,23 @@ class BytePairs:
 
     def cut_words(self, text: str) -> list[str]:
         """Cut a text into words; characters on which Unicode versions differ go to the library."""
-        if all(c < "ɐ" or "‐" <= c <= "‧" for c in text):
+        if max(text, default="") < "ɐ" or all(c < "ɐ" or "‐" <= c <= "‧" for c in text):
             return self.pattern.findall(text)
         return [text[a:b] for _, (a, b) in self.cutter.pre_tokenize_str(text)]
 
     def pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.type).tobytes()
 
+    def later_piece(self, piece: str) -> bytes:
+        """A piece that follows others. A mark after letters, and a line feed, are words of their own."""
+        if piece[-1] in ".," and is_plain_word(piece[:-1]):
+            return self.later[piece[:-1]] + self.marks[piece[-1]]
+        if piece[0] == "\n" and is_plain_word(piece[1:]):
+            return self.marks["\n"] + self.pack(self.merge(piece[1:].encode()))
+        if is_plain_word(piece):
+            return self.pack(self.merge(b" " + piece.encode()))
+        return self.piece(spelled(piece))
+
     def piece(self, text: str) -> bytes:
         """The packed ids of a text that holds no added token."""
         words = self.cut_words(text)
