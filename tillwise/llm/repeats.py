@@ -159,22 +159,24 @@ def _block_texts(placed: DataFrame, size: int) -> DataFrame:
 
 
 def _block_places(placed: DataFrame, size: int) -> DataFrame:
-    """(block_id, key, place): where each block stands."""
+    """(block_id, key, places): where each block stands in a text, one row however often it does."""
 
     def run(batches):
         for batch in batches:
-            found = [(row, xxhash.xxh128_digest(text), place) for row, _, place, text in _blocks(batch, size)]
-            rows = [x for x, _, _ in found]
+            found: dict[tuple[int, bytes], list[int]] = {}
+            for row, _, place, text in _blocks(batch, size):
+                found.setdefault((row, xxhash.xxh128_digest(text)), []).append(place)
+            rows = pa.array([row for row, _ in found], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([x for _, x, _ in found], pa.binary()),
-                    batch.column("__key").take(pa.array(rows, pa.int64())),
-                    pa.array([x for _, _, x in found], pa.int64()),
+                    pa.array([x for _, x in found], pa.binary()),
+                    batch.column("__key").take(rows),
+                    pa.array(list(found.values()), pa.list_(pa.int64())),
                 ],
-                names=["block_id", "key", "place"],
+                names=["block_id", "key", "places"],
             )
 
-    return placed.mapInArrow(run, "block_id binary, key binary, place long")
+    return placed.mapInArrow(run, "block_id binary, key binary, places array<long>")
 
 
 class Shard:
@@ -302,7 +304,7 @@ def remove_repeats(
         _block_places(placed, size)
         .distinct()
         .join(located, "block_id")
-        .select("key", F.transform("runs", lambda x: x + F.col("place")).alias("runs"))
+        .select("key", F.flatten(F.transform("places", lambda p: F.transform("runs", lambda x: x + p))).alias("runs"))
         .groupBy("key")
         .agg(F.flatten(F.collect_list("runs")).alias("runs"))
     )
