@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tillwise.errors import ConfigError, SourceError
 from tillwise.sources import dialects, files, pages
+from tillwise.staging import Stage
 
 
 @pytest.mark.parametrize(
@@ -160,6 +161,33 @@ def test_inconsistent_pages_are_rejected(spark, tmp_path, envelopes, problem):
         pages.read_api_pages(spark, _land(tmp_path / "p.json", *envelopes), "returns")
 
 
+def test_chain_over_many_ranges(spark, tmp_path):
+    """Breaks inside a range and at its borders are found, wherever they lie."""
+    sound = [_page(n, [2 * n, 2 * n + 1], 240, n + 1 if n < 120 else None) for n in range(1, 121)]
+    path = _land(tmp_path / "p.json", *reversed(sound))
+    rows = pages.read_api_pages(spark, path, "returns", trace=True)
+    numbers = {r["return_id"]: r["source_row_number"] for r in rows.collect()}
+    assert numbers == {f"return_id-{i}": i for i in range(2, 242)}
+    assert "json" not in rows._jdf.queryExecution().executedPlan().toString().lower().replace("api_returns.json", "")
+    for place in (0, 30, 61, 119):
+        missing = sound[:place] + sound[place + 1 :]
+        repeated = [*sound, sound[place]]
+        looping = [*sound[:place], {**sound[place], "next_page": 1}, *sound[place + 1 :]]
+        for at, (broken, problem) in enumerate(
+            ((missing, "page sequence"), (repeated, "page sequence"), (looping, "malformed"))
+        ):
+            landed = _land(tmp_path / f"{place}-{at}.json", *broken)
+            parsed = pages.parsed_pages(spark, landed, Stage(spark))
+            assert any(problem in found for found in pages.page_problems(parsed)), (place, problem)
+
+
+def test_no_pages(spark, tmp_path):
+    for name, body in (("empty", ""), ("nothing", json.dumps(_page(1, [], 0, None, [])))):
+        (tmp_path / f"{name}.json").write_text(body)
+        with pytest.raises(SourceError, match="No pages"):
+            pages.read_api_pages(spark, str(tmp_path / f"{name}.json"), "returns")
+
+
 def test_items_must_match_the_columns(spark, tmp_path):
     page = _page(1, [1], 1, None)
     page["items"][0]["extra"] = "1"

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import json
+
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillwise.errors import SourceError
+from tillwise.operators.prefix import running_totals
 from tillwise.sources.schemas import schema_of
+from tillwise.staging import Stage
 
 PAGE_SCHEMA = (
     "items array<map<string,string>>, columns array<string>, page bigint, page_size bigint, "
@@ -14,11 +18,13 @@ PAGE_SCHEMA = (
 )
 
 
-_PAGES_PER_BLOCK = 10_000
-
+def parsed_pages(spark: SparkSession, path: str, stage: Stage) -> DataFrame:
+    """The landed envelopes, parsed once into a staged table, each with what its own check needs.
 
-def page_problems(pages: DataFrame) -> list[str]:
-    """Name every way in which the envelopes contradict themselves or each other."""
+    ``rows`` counts a page's items, and ``sound`` says that the page agrees with itself. Checks
+    read those narrow columns; only the final result reads the items.
+    """
+    pages = spark.read.schema(PAGE_SCHEMA).option("mode", "FAILFAST").json(path)
     count = F.size("items")
     stray_item = F.exists(
         "items",
@@ -34,89 +40,114 @@ def page_problems(pages: DataFrame) -> list[str]:
         & F.coalesce(F.col("next_page") > F.col("page"), F.lit(True))
         & ~stray_item
     )
-    names = F.to_json("columns")
-    facts = pages.agg(
-        (F.count("*") - F.count_if(sound)).alias("malformed pages"),
-        (F.min(names) != F.max(names)).alias("columns changed"),
-        (F.min("total") != F.max("total")).alias("total changed"),
-        (F.sum(count) != F.max("total")).alias("total is wrong"),
-    ).first()
-    # A page number must be announced once by its predecessor and landed once. Only the
-    # first page is landed without being announced.
-    steps = pages.select(
-        F.inline(
-            F.array(
-                F.struct(F.col("page").alias("number"), F.lit(1).alias("step")),
-                F.struct(F.col("next_page").alias("number"), F.lit(-1).alias("step")),
-            )
-        )
-    )
-    open_ends = (
-        steps.filter(F.col("number").isNotNull())
-        .groupBy("number")
-        .agg(F.sum("step").alias("balance"), F.count_if(F.col("step") == 1).alias("landed"))
-        .filter((F.col("balance") != 0) | (F.col("landed") != 1))
-        .agg(F.count("*").alias("ends"), F.min("number").alias("first"))
-        .first()
+    checked = pages.withColumns(
+        {"rows": F.coalesce(count, F.lit(0)).cast("bigint"), "sound": F.coalesce(sound, F.lit(False))}
     )
-    found = [name for name, value in facts.asDict().items() if value]
-    if (open_ends["ends"], open_ends["first"]) != (1, 1):
-        found.append("page sequence incomplete")
-    return found
+    return stage.write(checked, "pages")
 
 
-def _offsets(pages: DataFrame) -> DataFrame:
-    """Rows before each page.
+def _chain(pages: DataFrame, stage: Stage) -> DataFrame:
+    """One row: places where the chain of pages breaks, and facts over all pages.
 
-    Pages are summed in blocks first, so that neither window holds more than one row per
-    block or the pages of one block.
+    The pages are dealt out by ranges of their numbers. Inside a range each page must announce the
+    number that follows; between ranges the last announcement of one must be the first number of
+    the next. So a missing, repeated or looping page is a break, and no task sees all pages: the
+    last window has one row per range.
     """
-    block = F.floor(F.col("page") / _PAGES_PER_BLOCK)
-    counted = pages.select("page", block.alias("block"), F.size("items").alias("rows"))
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = (
-        counted.groupBy("block")
-        .agg(F.sum("rows").alias("block_rows"))
-        .select("block", F.coalesce(F.sum("block_rows").over(before), F.lit(0)).alias("start"))
+    facts = pages.select("page", "next_page", "rows", "sound", "total", F.to_json("columns").alias("names"))
+    ranged = stage.write(
+        facts.repartitionByRange("page").withColumn("range", F.spark_partition_id()), "page-ranges"
     )
-    within = (
-        Window.partitionBy("block").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("range").orderBy("page", "next_page")
+    place = F.struct("page", F.col("next_page").isNotNull(), "next_page")
+    ranges = (
+        ranged.withColumns({"following": F.lead("page").over(inside), "inner": F.lead(F.lit(1)).over(inside)})
+        .groupBy("range")
+        .agg(
+            F.count_if(F.col("inner").isNotNull() & ~F.col("following").eqNullSafe(F.col("next_page"))).alias("breaks"),
+            F.min("page").alias("first"),
+            F.max(place)["next_page"].alias("announced"),
+            F.count_if(~F.col("sound")).alias("malformed"),
+            F.min("names").alias("names"),
+            F.max("names").alias("other_names"),
+            F.min("total").alias("total"),
+            F.max("total").alias("other_total"),
+            F.sum("rows").alias("rows"),
+        )
     )
-    inside = F.coalesce(F.sum("rows").over(within), F.lit(0))
-    return (
-        counted.withColumn("inside", inside)
-        .join(blocks, "block")
-        .select("page", (F.col("start") + F.col("inside")).alias("before"))
+    borders = Window.orderBy("range")
+    return ranges.withColumns(
+        {
+            "comes": F.lead("first").over(borders),
+            "starts": F.row_number().over(borders) == 1,
+        }
+    ).agg(
+        (
+            F.sum("breaks")
+            + F.count_if(~F.col("comes").eqNullSafe(F.col("announced")))
+            + F.count_if(F.col("starts") & ~F.col("first").eqNullSafe(F.lit(1)))
+        ).alias("breaks"),
+        F.sum("malformed").alias("malformed"),
+        F.min("names").alias("names"),
+        F.max("other_names").alias("other_names"),
+        F.min("total").alias("total"),
+        F.max("other_total").alias("other_total"),
+        F.sum("rows").alias("rows"),
     )
 
 
+def _problems(facts: Row) -> list[str]:
+    """Name every way in which the envelopes contradict themselves or each other."""
+    tests = (
+        ("malformed pages", facts["malformed"] > 0),
+        ("columns changed", facts["names"] != facts["other_names"]),
+        ("total changed", facts["total"] != facts["other_total"]),
+        ("total is wrong", facts["rows"] != facts["other_total"]),
+        ("page sequence incomplete", facts["breaks"] > 0),
+    )
+    return [name for name, wrong in tests if wrong]
+
+
+def page_problems(pages: DataFrame, stage: Stage | None = None) -> list[str]:
+    """The problems of a table of parsed pages (see ``parsed_pages``); none for sound ones."""
+    facts = _chain(pages, stage or Stage(pages.sparkSession)).first()
+    return [] if facts["breaks"] is None else _problems(facts)
+
+
 def read_api_pages(
-    spark: SparkSession, path: str, dataset: str, trace: bool = False
+    spark: SparkSession, path: str, dataset: str, trace: bool = False, stage: Stage | None = None
 ) -> DataFrame:
     """Check the landed pages of one dataset, then return their items as text columns.
 
-    ``trace`` adds the trace columns, with rows numbered in page order.
+    The envelopes are parsed once; checks and items read the staged table. ``trace`` adds the
+    trace columns, with rows numbered in page order.
     """
+    stage = stage or Stage(spark)
     kind = schema_of(dataset).kind
-    pages = spark.read.schema(PAGE_SCHEMA).option("mode", "FAILFAST").json(path)
-    first = pages.select("columns").first()
-    if first is None or not first["columns"]:
+    pages = parsed_pages(spark, path, stage)
+    facts = _chain(pages, stage).first()
+    names = json.loads(facts["names"]) if facts["names"] else []
+    if not names:
         raise SourceError(f"No pages were landed for '{dataset}'.")
-    names = list(first["columns"])
     missing = sorted(set(schema_of(dataset).required) - set(names))
     if missing:
         raise SourceError(f"The pages of '{dataset}' lack required fields: {', '.join(missing)}")
-    found = page_problems(pages)
+    found = _problems(facts)
     if found:
         raise SourceError(f"The pages of '{dataset}' are inconsistent: {', '.join(found)}")
     values = [F.col("item")[name].alias(name) for name in names]
     if not trace:
         return pages.select(F.explode("items").alias("item")).select(*values)
-    items = pages.select("page", F.posexplode("items").alias("place", "item"))
-    return items.join(_offsets(pages), "page").select(
-        *values,
-        F.lit(f"api_{kind}.json").alias("source_file"),
-        (F.col("before") + F.col("place") + 2).cast("bigint").alias("source_row_number"),
-        F.lit("pending").alias("processing_status"),
-        F.lit(None).cast("string").alias("exclusion_reason"),
+    before = running_totals(pages.select("page", "rows"), ["page"], "before", "rows", stage=stage)
+    return (
+        pages.select("page", "items")
+        .join(before.select("page", "before"), "page")
+        .select("before", F.posexplode("items").alias("place", "item"))
+        .select(
+            *values,
+            F.lit(f"api_{kind}.json").alias("source_file"),
+            (F.col("before") + F.col("place") + 2).cast("bigint").alias("source_row_number"),
+            F.lit("pending").alias("processing_status"),
+            F.lit(None).cast("string").alias("exclusion_reason"),
+        )
     )
