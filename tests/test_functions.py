@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from datetime import date, datetime
-from decimal import Decimal
+from decimal import ROUND_HALF_UP, Decimal, localcontext
 
 import pytest
 from pyspark.sql import functions as F
@@ -157,3 +157,25 @@ def test_intermediates_are_computed_once(spark):
     assert row["a"] == row["b"]
     sums = binding.let_all(lambda x, y: x * y + x, x=F.col("id") + 2, y=F.lit(5))
     assert spark.range(1).select(sums.alias("n")).first()["n"] == 12
+
+
+def test_quotients_are_rounded_once(spark):
+    """Near halves, where a rounded quotient rounds to the wrong side, and signs."""
+    amounts = ["0", "1", "-1", "0.000049999999", "33.333333333333", "-2.005", "1234567890.123456789012", "5"]
+    amounts += ["0.371249999999", "37.124999999999", "100.005", "100.004999999999"]
+    bottoms = ["1", "3", "-3", "100", "7.000000000001", "0", "999999.999999"]
+    rows = [(Decimal(a), Decimal(b), abs(int(Decimal(b)))) for a in amounts for b in bottoms]
+    frame = spark.createDataFrame(rows, "a decimal(38,12), b decimal(38,12), n bigint")
+    found = frame.select(
+        "*", numeric.percentage(F.col("a"), F.col("b")).alias("share"),
+        numeric.money_per(F.col("a"), F.col("n")).alias("each"),
+    )
+
+    def exact(top, bottom):
+        return (top / bottom).quantize(Decimal("0.01"), ROUND_HALF_UP) if bottom else Decimal(0)
+
+    with localcontext() as context:
+        context.prec = 80
+        for row in found.collect():
+            assert row["share"] == exact(row["a"] * 100, row["b"]), row
+            assert row["each"] == exact(row["a"], Decimal(row["n"])), row

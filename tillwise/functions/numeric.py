@@ -115,11 +115,23 @@ def _nonzero(value: Column, data_type: str) -> Column:
     return F.when(value != 0, value.cast(data_type))
 
 
+def _units(amount: Column) -> Column:
+    """An amount as a whole number of its twelfth places."""
+    return (amount.cast("decimal(38,12)") * F.lit(10**12).cast("decimal(13,0)")).cast("decimal(38,0)")
+
+
+def _half_up(top: Column, bottom: Column) -> Column:
+    """A quotient of whole decimals as a whole number, rounded once, half away from zero."""
+    size = F.abs(bottom)
+    nearest = F.call_function("div", F.abs(top) * 2 + size, size * 2)
+    return F.when((top < 0) != (bottom < 0), -nearest).otherwise(nearest)
+
+
 def percentage(numerator: Column, denominator: Column) -> Column:
     """Share of one hundred to two places; zero when there is no denominator."""
-    bottom = _nonzero(denominator, RATIO)
-    ratio = numerator.cast(RATIO) / bottom
-    return F.coalesce(F.round(ratio * 100, 2), F.lit(0)).cast(PERCENT_OUT)
+    bottom = F.when(denominator != 0, _units(denominator))
+    share = _half_up(_units(numerator) * 10_000, bottom)
+    return (F.coalesce(share, F.lit(0)).cast("decimal(20,0)") / 100).cast(PERCENT_OUT)
 
 
 def count_percentage(numerator: Column, denominator: Column) -> Column:
@@ -129,5 +141,7 @@ def count_percentage(numerator: Column, denominator: Column) -> Column:
 
 
 def money_per(total: Column, count: Column) -> Column:
-    bottom = _nonzero(count, WHOLE)
-    return F.coalesce(F.round(total.cast(RATIO) / bottom, 2), F.lit(0)).cast(MONEY_OUT)
+    """An amount a piece in cents; zero when there are no pieces."""
+    bottom = F.when(count != 0, count.cast(WHOLE) * F.lit(10**10).cast("decimal(11,0)")).cast("decimal(38,0)")
+    cents = _half_up(_units(total), bottom)
+    return (F.coalesce(cents, F.lit(0)).cast("decimal(26,0)") / 100).cast(MONEY_OUT)
