@@ -541,14 +541,15 @@ def _attributes(alias: str, prefix: str) -> str:
     return ", ".join(f"{alias}.{name} as {prefix}{name}" for name in _ATTRIBUTES)
 
 
-add(
-    "processed_orders",
+define(
+    "processed",
     f"""select {_ORDER_COLUMNS}, o.source_row_number, 'processed' as processing_status,
     {_attributes("o", "")}, strftime(order_date, '%Y-%m') as reporting_month,
     t.revenue_target as target_revenue_target, t.profit_target as target_profit_target,
     t.orders_target as target_orders_target
     from orders_kept o left join targets_kept t on t.month = strftime(order_date, '%Y-%m')""",
 )
+add("processed_orders", "select * from processed")
 _STOCK_COLUMNS = ", ".join(name for name, _, _ in COLUMNS["inventory"])
 add(
     "processed_inventory",
@@ -766,15 +767,95 @@ add(
     union all select 'sales_by_country', count(distinct country) from lines_board
     union all select 'sales_by_channel', count(distinct sales_channel) from lines_board""",
 )
-_COUNTRIES = performance("lines_report", {"country": "country"})
 _SUMMED = ("gross_revenue", "discount_amount", "refund_amount", "net_revenue",
            "cost_of_goods_sold", "gross_profit")
+_COUNTED = ("orders", "units_sold", "returned_quantity")
+
+
+def _totalled(source: str, first: str) -> str:
+    """A performance table whose last row has the sums of amounts and counts."""
+    return (
+        f"select * replace (cast({first} as varchar) as {first}) from ({source}) a union all by name "
+        f"select 'Total' as {first}, "
+        + ", ".join(f"sum({name})::decimal(28,2) as {name}" for name in _SUMMED) + ", "
+        + ", ".join(f"sum({name})::bigint as {name}" for name in _COUNTED)
+        + f" from ({source}) b"
+    )
+
+
+def _report_by(**groups: str) -> str:
+    return performance("lines_report", groups)
+
+
+def _best(by: str) -> str:
+    return f"select * from ({_PRODUCTS}) p order by {by} desc, product_id limit 10"
+
+
+_PRODUCTS = _report_by(product_id="product_id", product_name="product_name")
+_DAILY = _report_by(date="order_date")
+_ORDER_SUMS = ("quantity", "purchase_cost", "target_revenue_target", "target_profit_target",
+               "target_orders_target")
+_SECTIONS = {
+    "summary_kpis": kpis("lines_report"),
+    "summary_trend": f"select date, net_revenue as current_period_revenue from ({_DAILY}) d",
+    "summary_categories": f"""select * from ({_report_by(category="category")}) c
+      order by category nulls first limit 10""",
+    "summary_top_products": _best("net_revenue"),
+    "sales_daily": _totalled(_DAILY, "date"),
+    "sales_weekly": _totalled(
+        performance("lines_report", {"week_start": "cast(date_trunc('week', order_date) as date)"}),
+        "week_start",
+    ),
+    "sales_countries": _totalled(_report_by(country="country"), "country"),
+    "sales_channels": _totalled(_report_by(sales_channel="sales_channel"), "sales_channel"),
+    "products_categories": _totalled(_report_by(category="category"), "category"),
+    "products_top_revenue": _totalled(_best("net_revenue"), "product_id"),
+    "products_top_profit": _totalled(_best("gross_profit"), "product_id"),
+    "products_bands": f"""select *, case when gross_profit < 0 then 'loss'
+      when gross_profit > 0 then 'profit' end as profit_band,
+      case when gross_margin_percent < 10 then 'low' end as margin_band,
+      case when return_rate_percent > 10 then 'high' end as return_band from ({_PRODUCTS}) p""",
+    "inventory": "select * from metrics_report",
+    "inventory_status": "select inventory_status, count(*) as products from metrics_report group by 1",
+    "recommendations": "select * exclude (warehouse) from findings_report",
+    "quality_issues": "select * from issues",
+    "processed_orders": f"""select *, 'orders' as source_file, cast(null as varchar) as exclusion_reason
+      from processed union all by name select 'Total' as order_id,
+      {', '.join(f"sum({name}) as {name}" for name in _ORDER_SUMS)} from processed""",
+}
+define("findings_report", findings("metrics_report"))
+add("write_report_mart", _SECTIONS["sales_countries"])
+_BACK = f"""select r.return_reason, r.product_id from returns_kept r
+  join (select distinct order_id, product_id from lines_report) l using (order_id, product_id)
+  where {_WHOLE.format(day="r.return_date")}"""
+_MORE_ROWS = {
+    "metadata": "9",
+    "summary_cards": "8",
+    "summary_targets": "(select count(*) from targets_kept)",
+    "summary_alerts": "(select least(8, count(*)) from findings_report)",
+    "summary_recommendations": "(select least(10, count(*)) from findings_report)",
+    "returns_reasons": f"(select count(*) + 1 from (select distinct return_reason from ({_BACK}) r) d)",
+    "returns_products": f"(select least(10, count(distinct product_id)) + 1 from ({_BACK}) r)",
+    "quality_excluded": "(select count(*) from excluded)",
+}
+add(
+    "report_manifest",
+    " union all ".join(
+        [f"select '{name}' as section, count(*) as rows, true as as_listed from ({source}) t"
+         for name, source in _SECTIONS.items()]
+        + [f"select '{name}', {rows}, true" for name, rows in _MORE_ROWS.items()]
+    ),
+)
 add(
-    "write_report_mart",
-    f"select * from ({_COUNTRIES}) a union all by name select 'Total' as country, "
-    + ", ".join(f"sum({name})::decimal(28,2) as {name}" for name in _SUMMED)
-    + ", sum(orders)::bigint as orders, sum(units_sold)::bigint as units_sold, "
-    f"sum(returned_quantity)::bigint as returned_quantity from ({_COUNTRIES}) b",
+    "report_values",
+    " union all ".join(
+        f"""select '{name}' as section, column_name, count(cell) as filled,
+      count(distinct cell) as distinct_values,
+      cast(sum(try_cast(cell as decimal(38,4))) as double) as amount
+      from (select columns(*)::varchar from ({source}) t)
+      unpivot include nulls (cell for column_name in (columns(*))) group by column_name"""
+        for name, source in _SECTIONS.items()
+    ),
 )
 add(
     "write_validation_mart",

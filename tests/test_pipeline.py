@@ -16,6 +16,15 @@ from tillwise.operators.issues import ISSUE_SCHEMA
 from tillwise.plans.dashboard import dashboard
 from tillwise.plans.generation import ReportOptions, generate_report
 from tillwise.plans.processing import PipelineOptions, process_datasets, process_sources
+from tillwise.plans.publishing import (
+    Manifest,
+    _commit,
+    manifest,
+    publish,
+    published_size,
+    read_section,
+    remove_replaced,
+)
 from tillwise.plans.reporting import (
     quality_report_sections,
     report_analytics,
@@ -275,7 +284,10 @@ def test_report_folders(spark, processed, tmp_path):
     assert "returns_reasons" not in sections and "summary_targets" not in sections
     folder = str(tmp_path / "report")
     write_sections(sections, folder)
-    assert spark.read.parquet(f"{folder}/summary_kpis").first()["orders"] == 1
+    assert read_section(spark, folder, "summary_kpis").first()["orders"] == 1
+    cards = {r["field"]: r["comparison_text"] for r in read_section(spark, folder, "summary_cards").collect()}
+    assert cards["orders"] == "No previous-period data is available for comparison."
+    assert {r["key"] for r in read_section(spark, folder, "metadata").collect()} >= {"generated_at", "version"}
     with pytest.raises(ReportError):
         write_sections(sections, folder)
     checks = validation_sections(processed, {"default_currency": "EUR", "api_token": "x"})
@@ -284,6 +296,58 @@ def test_report_folders(spark, processed, tmp_path):
     assert "excluded_rows" not in reviewed and "action_taken" in reviewed["issues"].columns
 
 
+def test_report_beside_an_earlier_period(spark, processed):
+    analytics = report_analytics(processed, "2025-01")
+    profiles = spark.createDataFrame([("orders", 10, 3)], "dataset string, file_size bigint, row_count bigint")
+    sections = report_sections(processed, analytics, analytics.sales.lines, profiles=profiles)
+    changes = {r["metric"]: r["absolute_difference"] for r in sections["summary_comparison"].collect()}
+    assert set(changes.values()) == {0} and "net_revenue" in changes
+    trend = sections["summary_trend"].first()
+    assert trend["current_period_revenue"] == trend["previous_period_revenue"] == D("20.00")
+    assert [r["dataset"] for r in sections["sources"].collect()] == ["orders", "Total"]
+
+
+def test_published_report_is_whole(spark, tmp_path):
+    folder = f"{tmp_path}/a report"
+    numbers, none = spark.range(7), spark.range(0)
+    assert manifest(spark, folder) is None
+    first = publish({"kept": numbers, "gone": none}, folder)
+    assert [(s.name, s.rows) for s in first.sections] == [("kept", 7), ("gone", 0)]
+    assert read_section(spark, folder, "gone").columns == ["id"]
+    size = published_size(spark, folder)
+    broken = spark.range(3).select(F.raise_error(F.lit("stopped")).alias("id"))
+    with pytest.raises(Exception, match="stopped"):
+        publish({"kept": spark.range(2), "broken": broken}, folder, overwrite=True)
+    assert manifest(spark, folder) == first and read_section(spark, folder, "kept").count() == 7
+    assert published_size(spark, folder) == size
+    with pytest.raises(ReportError, match="already exists"):
+        publish({"kept": numbers}, folder)
+    publish({"kept": spark.range(2)}, folder, overwrite=True)
+    assert read_section(spark, folder, "kept").count() == 2
+    with pytest.raises(ReportError, match="no section"):
+        read_section(spark, folder, "gone")
+    assert remove_replaced(spark, folder) == 2 and remove_replaced(spark, folder) == 0
+    assert read_section(spark, folder, "kept").count() == 2
+
+
+def test_publishing_at_once_and_after_a_crash(spark, tmp_path):
+    folder = str(tmp_path / "report")
+    broken = spark.range(3).select(F.raise_error(F.lit("stopped")).alias("id"))
+    with pytest.raises(Exception, match="stopped"):
+        publish({"broken": broken}, folder)
+    assert publish({"a": spark.range(1)}, folder).number == 1
+    (tmp_path / "report" / "_manifests" / "00000002.claim").touch()
+    assert publish({"a": spark.range(2)}, folder, overwrite=True).number == 3
+    with pytest.raises(ReportError, match="meanwhile"):
+        _commit(spark, folder, Manifest(3, ()))
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "notes.txt").write_text("mine")
+    with pytest.raises(ReportError, match="already exists"):
+        publish({"a": spark.range(1)}, str(tmp_path / "other"))
+    with pytest.raises(ReportError, match="No report"):
+        read_section(spark, str(tmp_path / "other"), "a")
+
+
 def test_totals(spark):
     assert supports_total("net_revenue") and supports_total("orders")
     assert not supports_total("average_order_value") and not supports_total("unit_price")

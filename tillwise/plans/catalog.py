@@ -30,7 +30,7 @@ from tillwise.operators import (
     rules,
     sales,
 )
-from tillwise.plans import dashboard, processing, reporting, runlog
+from tillwise.plans import dashboard, processing, publishing, reporting, runlog
 from tillwise.sources import files, pages
 from tillwise.sources.sample import Sample
 from tillwise.sources.schemas import INVENTORY, KINDS, ORDERS, PRODUCTS, RETURNS, TARGETS
@@ -59,6 +59,7 @@ class Run:
         self.spark = spark
         self.sample = Sample(spark, folder)
         self._raw: dict[str, DataFrame] = {}
+        self.report_folder: str | None = None
 
     @cached_property
     def stage(self) -> Stage:
@@ -1231,12 +1232,68 @@ def section_totals(run: Run) -> DataFrame:
     return reporting.section_totals(sales.country_performance(run.lines()))
 
 
+def _published(run: Run) -> str:
+    """Publish the whole report, once a run; a smaller report is published over by it."""
+    if run.report_folder is None:
+        folder = f"{Stage(run.spark).path}/report"
+        sections = reporting.report_sections(run.result, run.report)
+        reporting.write_sections({"stale": sections["summary_kpis"]}, folder)
+        reporting.write_sections(sections, folder, overwrite=True)
+        publishing.remove_replaced(run.spark, folder)
+        run.report_folder = folder
+    return run.report_folder
+
+
 @query
 def write_report_mart(run: Run) -> DataFrame:
     """A whole report folder; its country section read back."""
-    folder = f"{Stage(run.spark).path}/report"
-    reporting.write_sections(reporting.report_sections(run.result, run.report), folder)
-    return run.spark.read.parquet(f"{folder}/sales_countries")
+    return publishing.read_section(run.spark, _published(run), "sales_countries")
+
+
+@query
+def report_manifest(run: Run) -> DataFrame:
+    """Rows of every published section, and whether the manifest says the same."""
+    folder = _published(run)
+    return issues.union_all(
+        [
+            publishing.read_section(run.spark, folder, section.name).agg(
+                F.lit(section.name).alias("section"),
+                F.count("*").alias("rows"),
+                (F.count("*") == section.rows).alias("as_listed"),
+            )
+            for section in publishing.manifest(run.spark, folder).sections
+        ]
+    )
+
+
+# Sections compared value by value; the others hold the same tables as queries of their own.
+VALUED = (
+    "summary_kpis", "summary_trend", "summary_categories", "summary_top_products", "sales_daily",
+    "sales_weekly", "sales_countries", "sales_channels", "products_categories",
+    "products_top_revenue", "products_top_profit", "products_bands", "inventory",
+    "inventory_status", "recommendations", "quality_issues", "processed_orders",
+)
+
+
+@query
+def report_values(run: Run) -> DataFrame:
+    """What every column of the published sections holds: filled cells, distinct values, sum."""
+    folder = _published(run)
+    long = []
+    for name in VALUED:
+        table = publishing.read_section(run.spark, folder, name)
+        cells = table.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in table.columns])
+        amount = F.sum(F.col("cell").try_cast("decimal(38,4)")).cast("double")
+        long.append(
+            cells.unpivot([], cells.columns, "column_name", "cell")
+            .groupBy(F.lit(name).alias("section"), "column_name")
+            .agg(
+                F.count("cell").alias("filled"),
+                F.countDistinct("cell").alias("distinct_values"),
+                amount.alias("amount"),
+            )
+        )
+    return issues.union_all(long)
 
 
 @query
@@ -1245,7 +1302,7 @@ def write_validation_mart(run: Run) -> DataFrame:
     folder = f"{Stage(run.spark).path}/validation"
     settings = {"default_currency": "USD", "api_token": "hidden", "month_first": False}
     reporting.write_sections(reporting.validation_sections(run.result, settings), folder)
-    return run.spark.read.parquet(f"{folder}/summary")
+    return publishing.read_section(run.spark, folder, "summary")
 
 
 def _states(run: Run) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame
 
 from tillwise import __version__
 from tillwise.errors import RetailDataError
@@ -15,6 +15,7 @@ from tillwise.operators.filters import reporting_period
 from tillwise.operators.inventory import Thresholds
 from tillwise.operators.quality import ensure_generation_allowed
 from tillwise.plans.processing import ProcessingResult
+from tillwise.plans.publishing import published_size
 from tillwise.plans.reporting import report_analytics, report_sections, write_sections
 from tillwise.plans.runlog import RunLog
 
@@ -29,12 +30,7 @@ class ReportOptions:
     allow_warnings: bool = False
     overwrite: bool = False
     include: Mapping[str, bool] = field(default_factory=dict)
-
-
-def folder_size(spark: SparkSession, path: str) -> int:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return int(system.getContentSummary(hadoop_path).getLength())
+    profiles: DataFrame | None = None
 
 
 def generate_report(
@@ -68,7 +64,10 @@ def generate_report(
     }
     try:
         analytics = report_analytics(result, f"{period.start}:{period.end}", options.thresholds)
-        sections = report_sections(result, analytics, report_id=run_id, **options.include)
+        sections = report_sections(
+            result, analytics, report_id=run_id, profiles=options.profiles, generated_at=started,
+            **options.include,
+        )
         write_sections(sections, path, options.overwrite)
     except Exception as error:
         known = isinstance(error, RetailDataError)
@@ -85,7 +84,7 @@ def generate_report(
         completed_at=datetime.now(UTC),
         duration_seconds=round(time.monotonic() - clock, 3),
         report_path=path,
-        report_size=folder_size(log.spark, path),
+        report_size=published_size(log.spark, path),
         **totals,
     )
     return run_id

@@ -4,20 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.errors import ReportError
+from tillwise import __version__
 from tillwise.functions.text import nested_text, safe_settings
-from tillwise.operators.comparisons import daily_with_previous, target_achievement, target_bands
+from tillwise.operators.comparisons import (
+    compare_periods,
+    daily_with_previous,
+    kpi_cards,
+    product_bands,
+    target_achievement,
+    target_bands,
+)
 from tillwise.operators.filters import SalesFilters, reporting_period
-from tillwise.operators.inventory import Thresholds, inventory_metrics, status_distribution
+from tillwise.operators.inventory import (
+    Thresholds,
+    available_stock_total,
+    inventory_metrics,
+    status_distribution,
+)
 from tillwise.operators.quality import issue_export, no_actions
 from tillwise.operators.recommendations import priority_alerts, recommendations
 from tillwise.operators.returns import ReturnsResult, returns_analytics
-from tillwise.operators.sales import SalesResult, daily_revenue, sales_analytics
+from tillwise.operators.sales import (
+    SalesResult,
+    daily_revenue,
+    product_performance,
+    sales_analytics,
+    sales_kpis,
+)
 from tillwise.plans.processing import ProcessingResult
+from tillwise.plans.publishing import publish
 from tillwise.staging import Stage
 
 # Words in a column name that allow or forbid a column total.
@@ -99,12 +119,6 @@ def section_totals(table: DataFrame) -> DataFrame:
     return body.unionByName(table.agg(*[total(name) for name in table.columns]))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return bool(system.exists(hadoop_path))
-
-
 def flat_table(table: DataFrame) -> DataFrame:
     """Nested columns as JSON text, for formats without nested types."""
     return table.select(
@@ -126,20 +140,19 @@ def write_table(table: DataFrame, path: str, overwrite: bool = False) -> None:
 def write_sections(
     sections: Mapping[str, DataFrame], path: str, overwrite: bool = False
 ) -> list[str]:
-    """Write each section as a Parquet table below ``path``; never replace by accident."""
-    spark = next(iter(sections.values())).sparkSession
-    if _exists(spark, path) and not overwrite:
-        raise ReportError(f"The report '{path}' already exists. Choose another path.")
-    mode = "overwrite" if overwrite else "errorifexists"
-    for name, table in sections.items():
-        table.write.mode(mode).parquet(f"{path}/{name}")
-    return list(sections)
+    """Publish the sections as one report below ``path``; never replace by accident."""
+    return [section.name for section in publish(sections, path, overwrite).sections]
 
 
 def metadata_section(
-    result: ProcessingResult, analytics: ReportAnalytics, report_id: str, currency: str
+    result: ProcessingResult,
+    analytics: ReportAnalytics,
+    report_id: str,
+    currency: str,
+    generated_at: datetime | None = None,
 ) -> DataFrame:
     """Report facts as key and value, counts taken from the statistics table."""
+    moment = (generated_at or datetime.now(UTC)).isoformat(sep=" ", timespec="seconds")
     counted = result.statistics.agg(
         F.sum("input_rows").alias("total_source_rows"),
         F.sum("processed_rows").alias("total_processed_rows"),
@@ -148,6 +161,8 @@ def metadata_section(
     )
     facts = counted.select(
         F.lit(report_id).alias("report_id"),
+        F.lit(moment).alias("generated_at"),
+        F.lit(__version__).alias("version"),
         F.lit(analytics.period).alias("reporting_period"),
         F.lit(currency).alias("default_currency"),
         *[F.col(name).cast("string").alias(name) for name in counted.columns],
@@ -155,6 +170,13 @@ def metadata_section(
     return facts.unpivot([], facts.columns, "key", "value")
 
 
+def revenue_trend(current: DataFrame, previous: DataFrame | None = None) -> DataFrame:
+    """Net revenue a day, beside that of the same ordinal day of an earlier period."""
+    daily = current if previous is None else daily_with_previous(current, previous)
+    earlier = [] if previous is None else ["previous_period_revenue"]
+    return daily.select("date", F.col("net_revenue").alias("current_period_revenue"), *earlier)
+
+
 def report_sections(
     result: ProcessingResult,
     analytics: ReportAnalytics,
@@ -166,18 +188,31 @@ def report_sections(
     include_processed: bool = True,
     include_recommendations: bool = True,
     summary_recommendations: int = 10,
+    summary_rows: int = 10,
+    profiles: DataFrame | None = None,
+    generated_at: datetime | None = None,
 ) -> dict[str, DataFrame]:
     """Section tables of a management report; ``previous`` holds the earlier sales lines.
 
-    The summary shows so many recommendations; their own section has all of them.
+    The summary shows so many recommendations, and so many rows of other tables; their own sections
+    have all of them. ``profiles`` describes the source files. With earlier lines there are also the
+    compared KPIs, and the cards say what changed.
     """
     sales = analytics.sales
-    daily = sales.daily
+    daily, earlier = sales.daily, None
+    nothing = sales_kpis(sales.lines.limit(0))
+    compared = compare_periods(sales.kpis, nothing).limit(0)
     if previous is not None:
-        daily = daily_with_previous(daily, daily_revenue(previous))
+        earlier = daily_revenue(previous)
+        daily = daily_with_previous(daily, earlier)
+        compared = compare_periods(sales.kpis, sales_kpis(previous))
+    stock = available_stock_total(analytics.inventory) if include_inventory else None
     sections = {
         "summary_kpis": sales.kpis,
-        "summary_categories": sales.categories.limit(10),
+        "summary_cards": kpi_cards(sales.lines.sparkSession, sales.kpis, compared, stock),
+        "summary_trend": revenue_trend(sales.daily, earlier),
+        "summary_categories": sales.categories.limit(summary_rows),
+        "summary_top_products": sales.top_by_revenue.limit(summary_rows),
         "sales_daily": section_totals(daily),
         "sales_weekly": section_totals(sales.weekly),
         "sales_countries": section_totals(sales.countries),
@@ -185,8 +220,13 @@ def report_sections(
         "products_categories": section_totals(sales.categories),
         "products_top_revenue": section_totals(sales.top_by_revenue),
         "products_top_profit": section_totals(sales.top_by_profit),
-        "metadata": metadata_section(result, analytics, report_id, result.currency),
+        "products_bands": product_bands(product_performance(sales.lines)),
+        "metadata": metadata_section(result, analytics, report_id, result.currency, generated_at),
     }
+    if previous is not None:
+        sections["summary_comparison"] = compared
+    if profiles is not None:
+        sections["sources"] = section_totals(profiles)
     if result.targets is not None:
         achieved = target_achievement(result.targets, sales.lines)
         sections["summary_targets"] = target_bands(achieved)
@@ -204,7 +244,7 @@ def report_sections(
         sections["quality_issues"] = result.issues
         sections["quality_excluded"] = result.excluded_rows
     if include_processed:
-        sections["processed_orders"] = result.orders
+        sections["processed_orders"] = section_totals(result.orders)
     return sections
 
 
