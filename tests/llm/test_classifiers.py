@@ -80,3 +80,14 @@ def test_quality_of_odd_tables(spark, frame):
     assert quality.keep_good(docs, labels).columns == docs.columns
     some = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (None, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int")
     assert quality.keep_good(frame([(i, f"text {i}") for i in range(9)] + [(1, "text 1")]), some).count() <= 10
+
+
+def test_copies_do_not_change_what_is_learnt(spark, frame, monkeypatch):
+    rows = [(n, f"text {n} of {'one' if n % 2 else 'other'} language " * 3) for n in range(40)]
+    docs = frame(rows).selectExpr("doc_id", "text", "if(doc_id % 2 = 1, 'a', 'b') as lang")
+    copies = docs.crossJoin(spark.range(200)).where("doc_id < 8").select("doc_id", "text", "lang")
+    learnt = language.learn(docs)
+    assert set(learnt) == {"a", "b"} and language.learn(docs.union(copies)) == learnt
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 1)
+    with pytest.raises(ValueError, match="languages"):
+        language.learn(docs)
