@@ -13,6 +13,7 @@ from tillwise.errors import ConfigError, GateError, ReportError, RetailDataError
 from tillwise.operators import quality
 from tillwise.operators.filters import DashboardFilters, filter_options
 from tillwise.operators.issues import ISSUE_SCHEMA
+from tillwise.plans import catalog, processing
 from tillwise.plans.dashboard import dashboard
 from tillwise.plans.generation import ReportOptions, generate_report
 from tillwise.plans.processing import PipelineOptions, process_datasets, process_sources
@@ -433,3 +434,38 @@ def test_report_generation_is_recorded(spark, table, tmp_path):
     with pytest.raises(GateError):
         generate_report(result, folder, log, ReportOptions("2025-01", strict=True))
     assert log.runs().count() == 2
+
+
+def test_joins_do_not_carry_source_values_of_accepted_rows(small, stage):
+    mapped = processing.map_dataset(small["orders"], "orders", "orders")
+    cleaned = processing._clean(mapped, processing.CleaningOptions("EUR"), stage)
+    shown = {(r["_step"], r["_raw"] is not None) for r in cleaned.collect()}
+    assert shown == {(None, False), ("cleaning", True)}
+
+
+def test_catalog_reads_packed_tables_in_small_parts(spark):
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    session = spark.newSession()
+    for name in names:
+        session.conf.set(name, "64m")
+    catalog.run_of(session, "/an/unread/folder")
+    assert [session.conf.get(name) for name in names] == ["16m", "16m"]
+
+
+def test_returns_are_shuffled_once_to_meet_their_orders(spark):
+    sold = spark.range(9).selectExpr(
+        "cast(id as string) order_id", "cast(id as string) product_id", "current_date() order_date",
+        "id quantity", "id unit_price", "cast(null as string) _step",
+    )
+    back = spark.range(9).selectExpr("cast(id as string) order_id", "'1' product_id", "id return_id")
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(threshold, "-1")
+    try:
+        joined = processing._join_orders(back, sold)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        rows = {(r["order_id"], r["_known_order"], r["_sold_units"]) for r in joined.collect()}
+    finally:
+        spark.conf.unset(threshold)
+    assert rows == {(str(i), True, 1 if i == 1 else None) for i in range(9)}
+    # Returns, known orders and sold lines go by order, each of them once.
+    assert plan.count("Exchange hashpartitioning(order_id") + plan.count("Exchange hashpartitioning(_") == 3, plan
