@@ -7,8 +7,9 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tillwise.llm import bpe, records
+from tillwise.llm import bpe, records, tokens
 from tillwise.llm.queries import op2_bpe_round_trip, op6_token_records
+from tillwise.llm.tokens import is_odd
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = [
@@ -37,6 +38,18 @@ def test_words_and_texts_as_the_library(library):
         assert np.frombuffer(encoder.encode(text), "<u2").tolist() == [*ids, 0]
 
 
+def test_words_of_letters_take_the_short_way(library, monkeypatch):
+    tested = []
+    monkeypatch.setattr(tokens, "is_odd", lambda piece: tested.append(piece) or is_odd(piece))
+    encoder = records.LibraryEncoder(PATH, 0)
+    text = "the quickest onatthe word" + "s" * 40 + " End"
+    ids = library.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encoder.encode(text), "<u2").tolist() == [*ids, 0]
+    assert tested == ["\nthe"]  # the first piece alone
+    many = list(range(100))
+    assert encoder.pack(many) == np.array(many, "<u2").tobytes()
+
+
 def test_every_character_as_the_library(library):
     pairs = bpe.BytePairs(PATH)
     for i in [*range(0x600), *range(0x1FF0, 0x2070)]:

@@ -80,12 +80,17 @@ class LibraryEncoder:
         self.added = added_tokens(path)
         top = max(self.library.get_vocab_size(with_added_tokens=True) - 1, end_id)
         self.width = 2 if top < 1 << 16 else 4
+        code = "H" if self.width == 2 else "I"
+        self.short = [struct.Struct(f"<{n}{code}").pack for n in range(32)]
         self.end = self.pack([end_id])
         self.marks = {c: self.direct(c) for c in ".,\n"}
         self.model, self.symbols = self.library.model, "".join(byte_symbols())
+        self.space = self.symbols[ord(" ")]
         self.later = Pieces(self.piece)
 
     def pack(self, ids: list[int]) -> bytes:
+        if len(ids) < len(self.short):
+            return self.short[len(ids)](*ids)
         return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
 
     def direct(self, text: str) -> bytes:
@@ -93,6 +98,8 @@ class LibraryEncoder:
 
     def piece(self, piece: str) -> bytes:
         """A later piece. Marks after letters, and a line feed, are words of their own."""
+        if piece.isalpha() and piece.isascii():  # the usual case; such letters stand for themselves
+            return self.pack([token.id for token in self.model.tokenize(self.space + piece)])
         if piece[-1] in ".," and piece[:-1].isalpha():
             return self.later[piece[:-1]] + self.marks[piece[-1]]
         if piece[0] == "\n":

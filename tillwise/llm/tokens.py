@@ -31,7 +31,8 @@ class Pieces(dict):
     def __missing__(self, piece: str):
         value = self.older.get(piece)
         if value is None:
-            value = None if is_odd(piece) else self.make(piece)
+            # letters alone are never odd
+            value = self.make(piece) if piece.isalpha() or not is_odd(piece) else None
             if value is None or len(piece) > LONGEST_KEPT:
                 return value
         if self.size > self.half:
