@@ -109,3 +109,12 @@ def test_tokens_beside_clashing_columns(spark, frame):
     got = {r.doc_id: r for r in bpe.add_tokens(docs, PATH).collect()}
     assert got[1].tokens.decoded == "Hello there" and got[1].ids == 2
     assert got[2].tokens.n_tokens == 0
+
+
+def test_a_worker_keeps_its_encoder_for_later_tasks():
+    encoder = records.library_encoder(PATH, 0)
+    first = encoder.encode("one two two")
+    met = len(encoder.later)
+    again = records.library_encoder(PATH, 0)
+    assert again is encoder and again.encode("one two two") == first and len(again.later) == met
+    assert records.library_encoder(PATH, 1).encode("one two two")[:-2] == first[:-2]

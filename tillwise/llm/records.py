@@ -20,6 +20,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -126,6 +127,12 @@ class LibraryEncoder:
             return self.direct(text) + self.end
 
 
+@lru_cache(maxsize=2)
+def library_encoder(path: str, end_id: int) -> LibraryEncoder:
+    """A worker's encoder, loaded once: later tasks find the pieces that earlier ones met."""
+    return LibraryEncoder(path, end_id)
+
+
 class ShardWriter:
     """Writes one task's records to rolling files with their indexes."""
 
@@ -190,7 +197,7 @@ def write_records(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = LibraryEncoder(path, end_id)
+        encoder = library_encoder(path, end_id)
         writer = ShardWriter(folder, TaskContext.get().partitionId(), file_bytes)
         done: list[tuple] = []
         for batch in batches:
