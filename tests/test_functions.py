@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import date, datetime
 from decimal import ROUND_HALF_UP, Decimal, localcontext
 
@@ -179,3 +180,27 @@ def test_quotients_are_rounded_once(spark):
         for row in found.collect():
             assert row["share"] == exact(row["a"] * 100, row["b"]), row
             assert row["each"] == exact(row["a"], Decimal(row["n"])), row
+
+
+def test_cheap_patterns_tell_the_same_texts_apart(spark):
+    """The anchored patterns against the searches that they stand for."""
+    rng = random.Random(5)
+    marks = "aZ09 .,-_%$€£¥\xa0\x85  é'[`{@!~\t\n\x1c\x7f"
+    cells = ["", " ", "a", " a ", " a\x85", "new-land  o'neil", "NATION_12", "u.S.", "5\x85", "$ 1,5"]
+    cells += ["".join(rng.choice(marks) for _ in range(rng.randint(0, 7))) for _ in range(3000)]
+    value = F.col("cell")
+    pairs = {
+        "usual": (value.rlike(text._USUAL), ~value.rlike(r"[^ -~]")),
+        "apart": (value.rlike(text._WORDS_APART), ~value.rlike(r"[^ A-Za-z][A-Za-z]|[^ -~]")),
+        "quiet": (
+            F.when(value.rlike(numeric._QUIET), F.regexp_replace(value, numeric._NOISE, "") == value),
+            F.when(value.rlike(numeric._QUIET), F.lit(True)),
+        ),
+        "strip": (text.strip(value), F.btrim(value, F.lit(text._SPACES))),
+        "clean": (text.clean_text(value), F.nullif(F.btrim(value, F.lit(text._SPACES)), F.lit(""))),
+        "blank": (text.is_blank(value), F.coalesce(F.btrim(value, F.lit(text._SPACES)) == "", F.lit(True))),
+    }
+    frame = spark.createDataFrame([(cell,) for cell in [None, *cells]], "cell string")
+    for name, (got, wanted) in pairs.items():
+        odd = frame.filter(~got.eqNullSafe(wanted)).collect()
+        assert not odd, (name, odd[:3])
