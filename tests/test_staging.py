@@ -59,3 +59,22 @@ def test_pipeline_reads_raw_tables_without_landing_them(spark, tmp_path, monkeyp
     assert not run._raw
     assert seen["orders"].count() == 1
     assert all(str(tmp_path) in name for frame in seen.values() for name in frame.inputFiles())
+
+
+def test_packed_tables_are_not_broadcast_by_their_files(spark, stage):
+    session = spark.newSession()
+    limits = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    session.conf.set(limits[0], "8MB")
+    session.conf.unset(limits[1])
+    catalog.run_of(session, "/a folder that is not read")
+    assert [session.conf.get(name) for name in limits] == ["256k", "8MB"]
+    packed = staging.Stage(session, stage.path).write(session.range(400_000).withColumn("x", F.lit("x" * 99)), "packed")
+    joined = session.range(9).join(packed, "id", "left")
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 9
+    few = session.range(9).withColumn("x", F.lit("x"))
+    joined = session.range(400_000).join(staging.Stage(session, stage.path).write(few, "few"), "id")
+    assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
+    session.conf.set(limits[0], "-1")
+    staging.broadcast_by_rows(session)
+    assert session.conf.get(limits[0]) == "-1"
