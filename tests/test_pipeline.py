@@ -38,6 +38,7 @@ from tillwise.plans.reporting import (
 from tillwise.plans.runlog import RunLog, assign_run_ids, list_runs, run_history
 from tillwise.sources.files import load_sources
 from tillwise.sources.sample import Sample
+from tillwise.staging import at_once
 
 FOLDER = "/root/testdata/sf0.001"
 KINDS = ("orders", "products", "inventory", "returns", "monthly_targets")
@@ -469,3 +470,36 @@ def test_returns_are_shuffled_once_to_meet_their_orders(spark):
     assert rows == {(str(i), True, 1 if i == 1 else None) for i in range(9)}
     # Returns, known orders and sold lines go by order, each of them once.
     assert plan.count("Exchange hashpartitioning(order_id") + plan.count("Exchange hashpartitioning(_") == 3, plan
+
+
+def test_totals_may_be_wider_than_their_column(spark):
+    frame = spark.createDataFrame(
+        [("a", D("9000000000000000.5"), 2_000_000_000)] * 2, "name string, target_revenue decimal(22,6), units int"
+    )
+    totals = section_totals(frame)
+    assert [tuple(r) for r in totals.collect()][-1] == ("Total", D("18000000000000001"), 4_000_000_000)
+    assert dict(totals.dtypes) == {"name": "string", "target_revenue": "decimal(32,6)", "units": "bigint"}
+    shown = spark.createDataFrame([("a", D("1.5"))], "name string, net_revenue decimal(28,2)")
+    assert section_totals(shown).dtypes == shown.dtypes
+
+
+def test_report_computes_shared_tables_once(processed):
+    analytics = report_analytics(processed, "2025-01")
+    sections = report_sections(processed, analytics)
+    for name, staged in {
+        "summary_kpis": "report-kpis", "summary_trend": "report-daily", "sales_daily": "report-daily",
+        "summary_categories": "report-categories", "products_categories": "report-categories",
+        "products_bands": "report-lines-products", "summary_alerts": "report-findings",
+        "summary_recommendations": "report-findings", "recommendations": "report-findings",
+    }.items():
+        files = sections[name].inputFiles()
+        assert files and all(staged in file for file in files), name
+    assert sections["recommendations"].collect() == analytics.recommendations.collect()
+    assert sections["summary_categories"].collect() == analytics.sales.categories.limit(10).collect()
+
+
+def test_steps_at_once_keep_their_order_and_fail_whole(spark):
+    done = at_once(spark, {str(n): (lambda n=n: spark.range(n).count()) for n in range(9)})
+    assert list(done.items()) == [(str(n), n) for n in range(9)]
+    with pytest.raises(ZeroDivisionError):
+        at_once(spark, {"a": lambda: 1, "b": lambda: 1 // 0})

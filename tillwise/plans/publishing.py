@@ -12,12 +12,14 @@ import json
 import uuid
 from collections.abc import Mapping
 from dataclasses import asdict, dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillwise.errors import ReportError
+from tillwise.staging import at_once
 
 MANIFESTS, PARTS = "_manifests", "parts"
 
@@ -132,12 +134,14 @@ def publish(sections: Mapping[str, DataFrame], path: str, overwrite: bool = Fals
             raise ReportError(f"The report '{path}' already exists. Choose another path.")
     number = max([0, *_numbers(spark, path, ".claim")]) + 1
     part = f"{PARTS}/{uuid.uuid4().hex}"
-    written = []
-    for name, table in sections.items():
+
+    def write(name: str, table: DataFrame) -> Section:
         folder = f"{part}/{name}"
         rows = _write(table, f"{path}/{folder}")
-        written.append(Section(name, folder, table.schema.json(), rows))
-    published = Manifest(number, tuple(written))
+        return Section(name, folder, table.schema.json(), rows)
+
+    written = at_once(spark, {name: partial(write, name, table) for name, table in sections.items()})
+    published = Manifest(number, tuple(written.values()))
     _commit(spark, path, published)
     return published
 
